@@ -1,0 +1,60 @@
+"""Extraction end to end: rules, model, or both with fall-back per conversation."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from turnloom.operators.extract import DEFAULT_EXTRACTORS, Extractor, annotate, extract_items
+from turnloom.operators.items import dedupe_items
+from turnloom.operators.reconcile import as_candidates, reconcile
+
+
+def encode(turns: DataFrame, extractors: Sequence[Extractor] = DEFAULT_EXTRACTORS, dedupe: bool = True) -> DataFrame:
+    """Turns -> attributed, de-duplicated items of each document."""
+    return dedupe_items(annotate(extract_items(turns, extractors)), by_content=dedupe)
+
+
+def extract_context(
+    turns: DataFrame,
+    mode: str = "deterministic",
+    model_items: DataFrame | None = None,
+    model_relations: DataFrame | None = None,
+    failures: DataFrame | None = None,
+    extractors: Sequence[Extractor] = DEFAULT_EXTRACTORS,
+) -> dict[str, DataFrame]:
+    """Items, relations and diagnostics of the selected turns.
+
+    `failures(conv_id, code)` are conversations whose model call failed. Hybrid mode keeps
+    their rule items with `fallback`; semantic mode leaves them out and reports them.
+    """
+    if mode == "deterministic":
+        return {"items": encode(turns, extractors).withColumn("fallback", F.lit(False))}
+    if model_items is None:
+        raise ValueError(f"{mode} mode needs model items")
+    lost = failures.select("conv_id").distinct() if failures is not None else None
+    model, relations = model_items, model_relations
+    if lost is not None:
+        model = model.join(lost, "conv_id", "left_anti")
+        relations = relations.join(lost, "conv_id", "left_anti") if relations is not None else None
+    said = as_candidates(model, "model", "semantic", 1)
+    if mode == "semantic":
+        parts = [said]
+    elif mode == "hybrid":
+        rules = dedupe_items(annotate(extract_items(turns, extractors)), scope=("doc_id", "conv_id"))
+        parts = [as_candidates(rules, "rules", "deterministic", 0), said]
+    else:
+        raise ValueError(f"unknown mode {mode!r}")
+    out = reconcile(parts, relations)
+    flag = F.lit(False)
+    items = out["items"]
+    if lost is not None and mode == "hybrid":
+        items = items.join(lost.withColumn("__lost", F.lit(True)), "conv_id", "left")
+        flag = F.coalesce("__lost", F.lit(False))
+    out["items"] = items.withColumn("fallback", flag).drop("__lost")
+    if failures is not None:
+        level, code = ("warning", "semantic_fallback") if mode == "hybrid" else ("error", "semantic_failed")
+        out["diagnostics"] = failures.select("conv_id", F.lit(level).alias("level"), F.lit(code).alias("code"), F.col("code").alias("cause"))
+    return out

@@ -17,6 +17,7 @@ from turnloom import schema as S
 from turnloom.functions import text as X
 from turnloom.operators.matching import match_in_order
 from turnloom.operators.ordering import first_wins, number_rows
+from turnloom.session import cut
 
 SAME_ITEM_OVERLAP = 0.5
 SAME_EVIDENCE_OVERLAP = 0.8
@@ -163,7 +164,8 @@ def group_candidates(extractors: list[DataFrame]) -> DataFrame:
     def founded(rows):
         return rows.withColumn("group_id", F.col("item_id")).withColumn("g_order", F.col("b_order"))
 
-    ready = [e.withColumn("key", content_key()).withColumn("b_order", _order()) for e in extractors]
+    # every candidate is read several times below: extraction runs once
+    ready = [cut(e.withColumn("key", content_key()).withColumn("b_order", _order())) for e in extractors]
     members = founded(ready[0])
     for arriving in ready[1:]:
         overlaps = overlap_pairs(members, arriving)
@@ -177,7 +179,7 @@ def group_candidates(extractors: list[DataFrame]) -> DataFrame:
             .withColumn("g_order", F.coalesce("g_order", "b_order"))
             .drop("a")
         )
-        members = members.unionByName(joined)
+        members = cut(members.unionByName(joined))
     return members
 
 
