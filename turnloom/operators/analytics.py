@@ -141,7 +141,7 @@ def debounce(events: DataFrame, key: str, ts: str, tie: str, seconds: int, windo
     key (their size follows the time span, not the number of events), and the blocks then
     emit independently. A key with any share of the events is spread over its blocks.
     """
-    us, window = F.unix_micros(F.col(ts)), seconds * 1_000_000
+    us, window = F.unix_micros(F.col(ts).cast("timestamp")), seconds * 1_000_000
     size = window * windows_per_block
     times = (
         events.filter(F.col(ts).isNotNull())

@@ -269,6 +269,9 @@ def f10_redact(spark, sf):
     return t.select("turn_id", F.md5(secrets.redact_text(F.col("content"))).alias("redacted"))
 
 
+_ASSIGNED = r"(?i)((?:token|secret|password|passwd|api_?key)[\"']?[ \t]*[:=][ \t]*[\"'])([^\"'\n \t]{12,200})([\"'])"
+
+
 def a14_report(spark, sf):
     t = _secret_turns(spark, sf)
     loose = t.filter(F.lit(False)).select("doc_id", F.lit(None).cast("string").alias("item_id"), "turn_id", "content")
@@ -467,7 +470,10 @@ select conv_id, 'input_too_large' as code from s where n > 1500""",
     "f9_secret_scan": (
         f9_scan, f"with {_scan_sql()} select turn_id, type, confidence, {_PREVIEW} as preview, count(*) as n from found group by all"
     ),
-    "f10_redact": (f10_redact, None),
+    "f10_redact": (
+        f10_redact,
+        "select 'doc' || doc_id || '_t0' as turn_id, md5(regexp_replace(text, " + O.lit(_ASSIGNED) + ", '\\1[REDACTED:Generic Secret]\\3', 'g')) as redacted from documents",
+    ),
     "f15_templates": (f15_templates, _F15),
     "f16_template_usage": (
         f16_templates, f"with {SEEDED} select role as category, 'tpl' || idx as name, count(*) as usage_count from seeded where role = 'user' group by all"

@@ -349,7 +349,7 @@ def _tampered(spark, sf):
         F.when((k == 7) & (n % 10 != 0), F.lit("mood")).otherwise(F.col("type")).alias("type"), "content",
         F.when((k == 6) & (n % 10 == 1), F.lit(1.5)).otherwise(F.col("confidence")).alias("confidence"), F.lit(None).cast("double").alias("importance"),
         "strength", "status", "language", "uri", F.lit("2025-01-02T00:00:00Z").alias("created_at"), F.lit("browser").alias("kind"),
-        F.when(F.col("conv_pos") % 2 == 0, "chatgpt").otherwise("claude").alias("platform"),
+        F.when(F.col("conv_pos") % 7 == 3, "elsewhere").when(F.col("conv_pos") % 2 == 0, "chatgpt").otherwise("claude").alias("platform"),
         F.when(k == 0, F.lit("nowhere")).when(k == 1, F.lit(None)).otherwise(F.col("conv_id")).alias("conversation_id"),
         F.when(k == 2, F.lit("c0_t0")).when(k == 3, F.lit("gone")).when(k == 4, F.lit(None)).otherwise(F.col("turn_id")).alias("turn_id"),
         F.col("start"), F.when(k == 5, F.lit(1_000_000)).otherwise(F.col("end")).alias("end"), "method", "agent", F.lit("2025-01-02T00:00:00Z").alias("captured_at"),
@@ -391,6 +391,7 @@ issues as (
   union all select doc_id, 'error', 'duplicate_id', path from claimed qualify row_number() over (partition by doc_id, id order by c_at) > 1
   union all select doc_id, 'error', 'duplicate_turn_index', '$.conversations[' || conv_pos || '].turns[' || idx || '].index' from st where idx = 3
   union all select doc_id, 'error', 'unknown_conversation', '$.items[' || i || '].provenance.conversation_id' from seen where p_conv is not null and not conv_known
+  union all select doc_id, 'warning', 'source_mismatch', '$.items[' || i || '].provenance.source' from seen where conv_known and conv_pos % 7 = 3
   union all select doc_id, 'error', 'turn_without_conversation', '$.items[' || i || '].provenance.turn_id' from seen where p_turn is not null and p_conv is null
   union all select doc_id, 'error', case when turn_known then 'turn_not_in_conversation' else 'unknown_turn' end, '$.items[' || i || '].provenance.turn_id' from seen
     where p_turn is not null and conv_known and turn_size is null
