@@ -60,75 +60,110 @@ def recent_relays(relays: DataFrame, n: int = 5) -> DataFrame:
 # -- debounce ---------------------------------------------------------------------
 
 
-def _next_index(ts: np.ndarray, window: int) -> np.ndarray:
-    """For each time the place of the first one at least `window` later (len when none)."""
-    return np.searchsorted(ts, ts + window, side="left")
-
-
-def _last_of_chain(ts: np.ndarray, window: int) -> np.ndarray:
-    """For each start the last event its chain of emissions reaches inside the array."""
-    n = len(ts)
-    jump = np.append(_next_index(ts, window), n)
-    last = np.append(np.arange(n), -1)
-    step = jump.copy()
-    while (step[:n] < n).any():
-        ahead = step[:n] < n
-        idx = np.nonzero(ahead)[0]
-        last[idx] = last[step[idx]]
-        step[idx] = step[step[idx]]
-    return last[:n]
-
-
-def _transfers(window: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Entry -> exit of one block: for every first emission possible, the last one of its chain."""
-        ts = np.sort(pdf["us"].to_numpy())
-        # an emission before the block is older than its start, so the first emission in the
-        # block lies in its first window, or is the first event after that
-        entries = int(np.searchsorted(ts, int(pdf["start_us"].iloc[0]) + window, side="left"))
-        exits = ts[_last_of_chain(ts, window)[: min(entries + 1, len(ts))]]
-        firsts = ts[: len(exits)]
-        # chains soon run together: one row per distinct exit, with the latest entry that takes it
-        keep = np.append(exits[1:] != exits[:-1], True)
-        return pd.DataFrame(
-            {"key": pdf["key"].iloc[0], "block": pdf["block"].iloc[0], "entry_us": firsts[keep], "exit_us": exits[keep]}
-        )
+def _whole_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Re-cut sorted Arrow batches so that no (key, block) is split between two of them."""
+    rest: list[pd.DataFrame] = []
+    for batch in batches:
+        if batch.empty:
+            continue
+        last = (batch["key"] == batch["key"].iloc[-1]) & (batch["block"] == batch["block"].iloc[-1])
+        first = int(last.to_numpy().argmax())
+        if first == 0 and rest and (rest[-1]["key"].iloc[-1], rest[-1]["block"].iloc[-1]) == (batch["key"].iloc[0], batch["block"].iloc[0]):
+            rest.append(batch)
+            continue
+        head = pd.concat([*rest, batch.iloc[:first]], ignore_index=True)
+        if not head.empty:
+            yield head
+        rest = [batch.iloc[first:]]
+    if rest:
+        yield pd.concat(rest, ignore_index=True)
+
+
+class _Blocks:
+    """Sorted events of whole blocks as arrays; every step below works on all blocks at once."""
+
+    def __init__(self, pdf: pd.DataFrame, window: int, size: int):
+        key, block = pdf["key"].to_numpy(), pdf["block"].to_numpy()
+        change = np.append(True, (key[1:] != key[:-1]) | (block[1:] != block[:-1]))
+        self.n, self.starts = len(pdf), np.nonzero(change)[0]
+        self.ends = np.append(self.starts[1:], self.n)
+        self.code = np.cumsum(change) - 1
+        self.us = pdf["us"].to_numpy()
+        self.rel = self.us - block * size
+        self.span = size + window + 1
+        self.place = self.code * self.span + self.rel
+        jump = np.searchsorted(self.place, self.place + window, side="left")
+        # beyond the block there is nothing to jump to
+        self.jump = np.where(jump < self.ends[self.code], jump, self.n)
+
+    def chain_ends(self) -> np.ndarray:
+        """The last event that the chain of emissions starting at each event reaches in its block."""
+        last, step = np.append(np.arange(self.n), self.n), np.append(self.jump, self.n)
+        while (step[: self.n] < self.n).any():
+            idx = np.nonzero(step[: self.n] < self.n)[0]
+            last[idx], step[idx] = last[step[idx]], step[step[idx]]
+        return last[: self.n]
+
+
+def _transfers(window: int, size: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Entry -> exit of blocks: for every first emission possible, the last one of its chain."""
+        for pdf in _whole_blocks(batches):
+            b = _Blocks(pdf, window, size)
+            # emissions before a block are older than its start, so its first emission lies in
+            # its first window, or is the first event after that
+            early = b.rel < window
+            after = ~early & np.append(True, early[:-1] | (b.code[1:] != b.code[:-1]))
+            at = np.nonzero(early | after)[0]
+            exits = b.us[b.chain_ends()[at]]
+            # chains soon run together: one row per distinct exit, with the latest entry that takes it
+            keep = np.append((exits[1:] != exits[:-1]) | (b.code[at][1:] != b.code[at][:-1]), True)
+            out = pdf.loc[at[keep], ["key", "block"]].reset_index(drop=True)
+            yield out.assign(entry_us=b.us[at[keep]], exit_us=exits[keep])
 
     return run
 
 
 def _entries(window: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Walk the blocks of a key: the last emission before each block."""
-        pdf = pdf.sort_values(["block", "entry_us"])
-        blocks, entry, exit_ = pdf["block"].to_numpy(), pdf["entry_us"].to_numpy(), pdf["exit_us"].to_numpy()
-        starts = np.append(np.nonzero(np.append(True, blocks[1:] != blocks[:-1]))[0], len(blocks))
-        last, out = None, []
-        for lo, hi in zip(starts[:-1], starts[1:]):
-            out.append((blocks[lo], last))
-            if last is None:
-                last = exit_[lo]
-                continue
-            at = lo + int(np.searchsorted(entry[lo:hi], last + window, side="left"))
-            if at < hi:
-                last = exit_[at]
-        return pd.DataFrame(
-            {"key": pdf["key"].iloc[0], "block": [b for b, _ in out], "last_us": pd.array([v for _, v in out], dtype="Int64")}
-        )
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Walk the blocks of each key in order: the last emission before each block. Only that
+        emission is carried on, so a key of any length streams through."""
+        key, last = None, None
+        for pdf in _whole_blocks(batches):
+            keys, blocks = pdf["key"].to_numpy(), pdf["block"].to_numpy()
+            entry, exit_ = pdf["entry_us"].to_numpy(), pdf["exit_us"].to_numpy()
+            change = np.append(True, (keys[1:] != keys[:-1]) | (blocks[1:] != blocks[:-1]))
+            starts = np.append(np.nonzero(change)[0], len(pdf))
+            seen = []
+            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+                if keys[lo] != key:
+                    key, last = keys[lo], None
+                seen.append(last)
+                at = lo if last is None else lo + int(np.searchsorted(entry[lo:hi], last + window, side="left"))
+                if at < hi:
+                    last = int(exit_[at])
+            first = starts[:-1]
+            yield pd.DataFrame({"key": keys[first], "block": blocks[first], "last_us": pd.array(seen, dtype="Int64")})
 
     return run
 
 
-def _emit(window: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ts = np.sort(pdf["us"].to_numpy())
-        last = pdf["last_us"].iloc[0]
-        at = 0 if pd.isna(last) else int(np.searchsorted(ts, int(last) + window, side="left"))
-        nxt, out = _next_index(ts, window), []
-        while at < len(ts):
-            out.append(ts[at])
-            at = int(nxt[at])
-        return pd.DataFrame({"key": pdf["key"].iloc[0], "us": np.array(out, dtype="int64")})
+def _emit(window: int, size: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _whole_blocks(batches):
+            b = _Blocks(pdf, window, size)
+            last = pdf["last_us"].iloc[b.starts]
+            known = last.notna().to_numpy()
+            earliest = last.fillna(0).to_numpy(dtype="int64") + window - pdf["block"].to_numpy()[b.starts] * size
+            target = np.where(known, np.clip(earliest, 0, b.span - 1), 0) + np.arange(len(b.starts)) * b.span
+            at = np.searchsorted(b.place, target, side="left")
+            at = at[at < b.ends]
+            hit = np.zeros(b.n, dtype=bool)
+            while len(at):
+                hit[at] = True
+                at = b.jump[at]
+                at = at[at < b.n]
+            yield pdf.loc[hit, ["key", "us"]]
 
     return run
 
@@ -148,14 +183,14 @@ def debounce(events: DataFrame, key: str, ts: str, tie: str, seconds: int, windo
         .groupBy(F.col(key).cast("string").alias("key"), us.alias("us"))
         .agg(F.min(tie).alias("__tie"))
         .withColumn("block", F.floor(F.col("us") / F.lit(size)).cast("bigint"))
-        .withColumn("start_us", F.col("block") * F.lit(size))
     )
-    slim = times.select("key", "block", "start_us", "us")
-    transfers = slim.groupBy("key", "block").applyInPandas(
-        _transfers(window), "key string, block long, entry_us long, exit_us long"
-    )
-    entered = transfers.groupBy("key").applyInPandas(_entries(window), "key string, block long, last_us long")
-    emitted = slim.join(entered, ["key", "block"]).groupBy("key", "block").applyInPandas(_emit(window), "key string, us long")
+    slim = times.select("key", "block", "us")
+    by_block = slim.repartition("key", "block").sortWithinPartitions("key", "block", "us")
+    transfers = by_block.mapInPandas(_transfers(window, size), "key string, block long, entry_us long, exit_us long")
+    by_key = transfers.repartition("key").sortWithinPartitions("key", "block", "entry_us")
+    entered = by_key.mapInPandas(_entries(window), "key string, block long, last_us long")
+    ready = slim.join(entered, ["key", "block"]).repartition("key", "block").sortWithinPartitions("key", "block", "us")
+    emitted = ready.mapInPandas(_emit(window, size), "key string, us long")
     firsts = times.join(emitted, ["key", "us"], "left_semi").select("key", "__tie")
     rows = events.withColumn("__key", F.col(key).cast("string"))
     return rows.join(firsts.withColumnsRenamed({"key": "__key", "__tie": tie}), ["__key", tie], "left_semi").drop("__key")

@@ -9,8 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnloom.functions import text as X
+from turnloom.operators.items import ITEM_ORDER
 from turnloom.operators.matching import match_in_order
 from turnloom.operators.ordering import first_wins
+from turnloom.session import cut
 
 COUNTS = ("gold", "predicted", "matched", "origin_correct", "provenance_correct", "unsupported", "forbidden")
 
@@ -70,7 +72,9 @@ def forbidden_hits(forbidden: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def evaluation_counts(gold: DataFrame, forbidden: DataFrame, items: DataFrame, turns: DataFrame) -> DataFrame:
-    """The seven counts of each fixture (doc_id)."""
+    """The seven counts of each fixture (doc_id). Items are read by several joins, so they are stored once."""
+    columns = ("doc_id", "item_id", "type", "content", "uri", "title", "filename", "origin", "turn_id", "start", "end", *ITEM_ORDER)
+    items = cut(items.select(*columns))
     sized = turns.select("turn_id", F.col("idx").alias("t_idx"), F.length("content").alias("t_size"))
     located = items.join(sized, "turn_id", "left")
     facts = located.select("doc_id", "item_id", F.col("origin").alias("i_origin"), "t_idx", "t_size", F.col("end").alias("i_end"))

@@ -9,7 +9,7 @@ from turnloom.functions import text as X
 from turnloom.operators import safety, selection as SEL
 from turnloom.plans import oracle as O
 from turnloom.plans.extraction import deduped_of, items_of
-from turnloom.plans.seeded import CONVS, SEEDED, conversations, seeded_turns
+from turnloom.plans.seeded import CONVS, SEEDED, conversations, documents, seeded_turns
 from turnloom.sources import turns as ST
 
 # Selection texts picked by arithmetic: good, reversed, below one, malformed, empty, spaced.
@@ -232,7 +232,7 @@ select conv_id, case when conv_pos % 3 < 2 then title else coalesce(nullif(first
 
 def _secret_turns(spark, sf):
     """Documents as one-turn conversations of their source, so that findings exist."""
-    d = spark.read.parquet(f"{sf}/documents.parquet")
+    d = documents(spark, sf)
     return d.select(
         F.col("source").alias("doc_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("conv_id"), F.lit(0).alias("idx"),
         F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit("_t0")).alias("turn_id"), F.col("text").alias("content"),
@@ -304,7 +304,7 @@ def f3_tokens(spark, sf):
 
 
 def f4_clean(spark, sf):
-    d = spark.read.parquet(f"{sf}/documents.parquet")
+    d = documents(spark, sf)
     return d.select("doc_id", F.md5(X.clean_text(F.col("text"))).alias("h"))
 
 
@@ -344,7 +344,7 @@ def f8_fence(spark, sf):
 
 
 def f17_latex(spark, sf):
-    d = spark.read.parquet(f"{sf}/documents.parquet")
+    d = documents(spark, sf)
     return d.select("doc_id", F.explode(media.latex(F.col("text"))).alias("m")).groupBy("doc_id", "m.display", "m.latex").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -373,12 +373,12 @@ _F18 = """select page_id, ['image/png','application/zip','text/typescript',null,
 
 
 def f19_assets(spark, sf):
-    d = spark.read.parquet(f"{sf}/documents.parquet")
+    d = documents(spark, sf)
     return d.groupBy(media.asset_key(F.col("text")).alias("key")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
 
 
 def a15_sizes(spark, sf):
-    d = spark.read.parquet(f"{sf}/documents.parquet")
+    d = documents(spark, sf)
     return d.groupBy("source").agg(F.count(F.lit(1)).alias("assets"), F.sum(F.octet_length("text")).alias("bytes"))
 
 

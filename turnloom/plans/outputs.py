@@ -19,7 +19,8 @@ from turnloom.operators import search as SE
 from turnloom.operators import store as ST
 from turnloom.plans import oracle as O
 from turnloom.plans.extraction import FILTER, _FILTER_SQL, _LABEL, _SECTION, deduped_of
-from turnloom.plans.seeded import CAPTURED, CONVS, SEEDED, conversations, seeded_turns
+from turnloom.plans.seeded import CAPTURED, CONVS, SEEDED, conversations, documents, seeded_turns
+from turnloom.session import spread
 from turnloom.sources import pages as PG
 from turnloom.sources import tree as TR
 
@@ -181,7 +182,7 @@ select conv_id, case when length(w) > 1500 then left(w, 1480) || chr(10) || '...
 
 
 def f14_tag(spark, sf):
-    d = spark.read.parquet(f"{sf}/documents.parquet")
+    d = documents(spark, sf)
     return d.select("doc_id", F.md5(RN.context_tag(F.col("text"))).alias("h"))
 
 
@@ -475,7 +476,7 @@ def s6_tree(spark, sf):
 
 @lru_cache(maxsize=16)
 def _pages(spark, sf):
-    return PG.read_pages(spark.read.parquet(f"{sf}/pages.parquet"))
+    return PG.read_pages(spread(spark.read.parquet(f"{sf}/pages.parquet"), "page_id"))
 
 
 def f20_markdown(spark, sf):

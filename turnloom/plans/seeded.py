@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnloom.session import spread
+
 PHRASES = (
     "Should we store sessions in Redis?",
     "The API must be versioned.",
@@ -34,7 +36,7 @@ CAPTURED = "2025-01-01T00:00:00Z"
 def raw_turns(spark: SparkSession, sf: str) -> DataFrame:
     """The table as it is, in the engine's turn layout."""
     t = spark.read.parquet(f"{sf}/conversations.parquet")
-    return t.select(
+    turns = t.select(
         F.concat(F.lit("d"), F.floor(F.col("conv_id") / 10).cast("string")).alias("doc_id"),
         F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("conv_id"),
         F.col("conv_id").cast("bigint").alias("conv_pos"),
@@ -45,6 +47,11 @@ def raw_turns(spark: SparkSession, sf: str) -> DataFrame:
         "role",
         F.col("text").alias("content"),
     )
+    return spread(turns, "turn_id")
+
+
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id")
 
 
 def phrase_of(conv: str = "conv_pos", turn: str = "idx"):

@@ -41,3 +41,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, so a lost executor does not replay the loop."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table stored in fewer files than there are cores, spread over them by a unique key.
+
+    For work that costs much more than reading. Tables of many files are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
