@@ -8,7 +8,7 @@ from turnloom.functions import media, platform as PF, secrets
 from turnloom.functions import text as X
 from turnloom.operators import safety, selection as SEL
 from turnloom.plans import oracle as O
-from turnloom.plans.extraction import deduped_of, items_of
+from turnloom.plans.extraction import stored_items, items_of
 from turnloom.plans.seeded import CONVS, SEEDED, conversations, documents, seeded_turns
 from turnloom.sources import turns as ST
 
@@ -59,7 +59,7 @@ def p3_lenient(spark, sf):
 
 def p4_items(spark, sf):
     """Every document asks for its constraints; one in three also for an id it does not have."""
-    items = deduped_of(spark, sf)
+    items = stored_items(spark, sf)
     wanted = items.filter(F.col("type") == "constraint").select("doc_id", "item_id")
     third = items.select("doc_id").distinct().filter(F.substring("doc_id", 2, 9).cast("int") % 3 == 0)
     wanted = wanted.unionByName(third.withColumn("item_id", F.lit("itm_missing")))

@@ -11,6 +11,7 @@ from turnloom.operators import extract as E
 from turnloom.operators import items as I
 from turnloom.plans import oracle as O
 from turnloom.plans.seeded import CONVS, RAW, SEEDED, conversations, raw_turns, seeded_turns
+from turnloom.session import cut
 from turnloom.sources.turns import with_default_index
 
 
@@ -28,6 +29,12 @@ def deduped_of(spark, sf):
     return I.dedupe_items(items_of(spark, sf))
 
 
+@lru_cache(maxsize=16)
+def stored_items(spark, sf):
+    """The items table as the operators behind extraction read it: written once."""
+    return cut(deduped_of(spark, sf))
+
+
 ITEM_OUT = (
     "item_id doc_id conv_id turn_id role rank type content start_at end_at strength status language filename uri title"
     " confidence method"
@@ -146,22 +153,22 @@ _FILTER_SQL = "type in ('constraint','decision','code_artifact') and confidence
 
 
 def p5_filter(spark, sf):
-    return out(I.decode_filter(deduped_of(spark, sf), **FILTER))
+    return out(I.decode_filter(stored_items(spark, sf), **FILTER))
 
 
 def a4_sections(spark, sf):
-    d = deduped_of(spark, sf)
+    d = stored_items(spark, sf)
     return I.sections(I.decode_filter(d, **FILTER), d)
 
 
 def a3_methods(spark, sf):
-    return I.methods(I.decode_filter(deduped_of(spark, sf), **FILTER))
+    return I.methods(I.decode_filter(stored_items(spark, sf), **FILTER))
 
 
 def a1_summary(spark, sf):
     t = seeded_turns(spark, sf)
     docs = t.select("doc_id").distinct()
-    s = I.summarize(docs, conversations(t), deduped_of(spark, sf))
+    s = I.summarize(docs, conversations(t), stored_items(spark, sf))
     counts = F.array_join(
         F.transform(F.array_sort(F.map_entries("item_counts")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ","
     )
@@ -169,11 +176,11 @@ def a1_summary(spark, sf):
 
 
 def a2_counts(spark, sf):
-    return I.type_counts(deduped_of(spark, sf))
+    return I.type_counts(stored_items(spark, sf))
 
 
 def w10_superseded(spark, sf):
-    d = deduped_of(spark, sf)
+    d = stored_items(spark, sf)
     old = d.filter(F.col("type") == "preference").select(F.lit("supersedes").alias("type"), F.col("item_id").alias("to"))
     return I.superseded(d, old).groupBy("type", "is_superseded").agg(F.count(F.lit(1)).alias("n"))
 

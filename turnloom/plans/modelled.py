@@ -13,7 +13,7 @@ from turnloom.operators import semantic as SEM
 from turnloom.operators import validate as V
 from turnloom.operators.pipeline import extract_context
 from turnloom.plans import oracle as O
-from turnloom.plans.extraction import deduped_of, items_of
+from turnloom.plans.extraction import stored_items, items_of
 from turnloom.plans.seeded import PHRASES, SEEDED, conversations, seeded_turns
 from turnloom.session import cut
 
@@ -77,7 +77,8 @@ def script_relations(spark, sf):
 
 @lru_cache(maxsize=16)
 def normalised(spark, sf, policy="strict"):
-    return SEM.normalize(script_rows(spark, sf), script_relations(spark, sf), seeded_turns(spark, sf), policy=policy)
+    items, relations, notes = SEM.normalize(script_rows(spark, sf), script_relations(spark, sf), seeded_turns(spark, sf), policy=policy)
+    return cut(items), relations, notes
 
 
 def _val(v):
@@ -421,7 +422,7 @@ def v11_upgrade(spark, sf):
 
 
 def _extension(spark, sf):
-    d = deduped_of(spark, sf)
+    d = stored_items(spark, sf)
     k = (F.col("conv_pos") + F.col("idx")) % 6
     notes = d.select(
         "doc_id", F.when(k == 0, F.concat(F.lit("x"), "item_id")).otherwise(F.col("item_id")).alias("item_id"),
@@ -486,22 +487,22 @@ _EV = f"with recursive {O.DEDUPED},{EVALSQL} "
 
 def h3_matches(spark, sf):
     gold, _ = _gold(spark, sf)
-    return EV.match_gold(gold, deduped_of(spark, sf)).select("doc_id", F.col("gpos").cast("bigint").alias("gpos"), "item_id")
+    return EV.match_gold(gold, stored_items(spark, sf)).select("doc_id", F.col("gpos").cast("bigint").alias("gpos"), "item_id")
 
 
 def j10_candidates(spark, sf):
     gold, _ = _gold(spark, sf)
-    return EV.gold_candidates(gold, deduped_of(spark, sf)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return EV.gold_candidates(gold, stored_items(spark, sf)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def j11_forbidden(spark, sf):
     _, bad = _gold(spark, sf)
-    return EV.forbidden_hits(bad, deduped_of(spark, sf)).select("doc_id", "item_id", "reason")
+    return EV.forbidden_hits(bad, stored_items(spark, sf)).select("doc_id", "item_id", "reason")
 
 
 def _counts(spark, sf):
     gold, bad = _gold(spark, sf)
-    return EV.evaluation_counts(gold, bad, deduped_of(spark, sf), seeded_turns(spark, sf))
+    return EV.evaluation_counts(gold, bad, stored_items(spark, sf), seeded_turns(spark, sf))
 
 
 _RATIO = "case when {d} = 0 then 1.0 else {n}::double / {d} end"

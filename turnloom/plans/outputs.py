@@ -18,9 +18,9 @@ from turnloom.operators import render as RN
 from turnloom.operators import search as SE
 from turnloom.operators import store as ST
 from turnloom.plans import oracle as O
-from turnloom.plans.extraction import FILTER, _FILTER_SQL, _LABEL, _SECTION, deduped_of
+from turnloom.plans.extraction import FILTER, _FILTER_SQL, _LABEL, _SECTION, stored_items
 from turnloom.plans.seeded import CAPTURED, CONVS, SEEDED, conversations, documents, seeded_turns
-from turnloom.session import spread
+from turnloom.session import cut, spread
 from turnloom.sources import pages as PG
 from turnloom.sources import tree as TR
 
@@ -29,7 +29,7 @@ NOW = "2025-06-01T00:00:00Z"
 
 @lru_cache(maxsize=16)
 def envelopes(spark, sf):
-    return D.assemble(conversations(seeded_turns(spark, sf)), deduped_of(spark, sf), F.lit(NOW))
+    return D.assemble(conversations(seeded_turns(spark, sf)), stored_items(spark, sf), F.lit(NOW))
 
 
 _SETID = "sum(('0x' || left(md5(conv_id), 15))::ubigint::hugeint)"
@@ -41,7 +41,7 @@ ENV = f"""env as (select c.doc_id, {O.stable_id('doc', 'c.n', 'c.ids')} as conte
 def k2_fragments(spark, sf):
     t = seeded_turns(spark, sf)
     conv = conversations(t)
-    items = deduped_of(spark, sf).join(conv.select("conv_id", "platform", "kind"), "conv_id")
+    items = stored_items(spark, sf).join(conv.select("conv_id", "platform", "kind"), "conv_id")
     items = items.withColumn("created_at", F.lit(NOW)).withColumn("captured_at", F.lit(CAPTURED))
     return D.json_fragments(envelopes(spark, sf), conv, t, D.with_wire_spans(items, t))
 
@@ -67,12 +67,12 @@ select * from frag"""
 @lru_cache(maxsize=16)
 def resolved(spark, sf):
     t = seeded_turns(spark, sf)
-    return I.resolve_provenance(I.decode_filter(deduped_of(spark, sf), **FILTER), conversations(t), t)
+    return I.resolve_provenance(I.decode_filter(stored_items(spark, sf), **FILTER), conversations(t), t)
 
 
 def f11_markdown(spark, sf):
     t = seeded_turns(spark, sf)
-    available = deduped_of(spark, sf).groupBy("doc_id").agg(F.count(F.lit(1)).alias("available_items"))
+    available = stored_items(spark, sf).groupBy("doc_id").agg(F.count(F.lit(1)).alias("available_items"))
     return RN.render_markdown(envelopes(spark, sf), conversations(t), resolved(spark, sf), available)
 
 
@@ -100,7 +100,7 @@ def f12_handoff(spark, sf):
     head = conversations(t).groupBy("doc_id").agg(F.min("platform").alias("platform"), F.max("captured_at").alias("captured_at"))
     env = envelopes(spark, sf).join(head, "doc_id")
     chosen = t.groupBy("doc_id").agg(F.count_if(F.col("idx") < 3).alias("selected"), F.count(F.lit(1)).alias("total_messages"))
-    return RN.handoff_items(env, I.decode_filter(deduped_of(spark, sf), **FILTER), chosen, annotated=False)
+    return RN.handoff_items(env, I.decode_filter(stored_items(spark, sf), **FILTER), chosen, annotated=False)
 
 
 _F12 = f"""with {O.DEDUPED},{CONVS},{ENV}, sel as (select *, {_SECTION} as section, {_LABEL} as label from deduped where {_FILTER_SQL}),
@@ -118,7 +118,7 @@ union all select doc_id, 100, 0, -1, '## Your job' || chr(10) || 'Acknowledge th
 def f25_notes(spark, sf):
     from turnloom.operators.extract import annotate
 
-    d = annotate(deduped_of(spark, sf))
+    d = annotate(stored_items(spark, sf))
     return d.select("item_id", RN.attribution_note(F.col("origin"), F.col("assertion")).alias("note"))
 
 
@@ -371,7 +371,8 @@ def f22_limits(spark, sf):
     t = seeded_turns(spark, sf)
     said = F.concat("content", F.lit("\n"), F.get(F.array(*[F.lit(x) for x in LIMITS]), ((F.col("conv_pos") + F.col("idx")) % 6).cast("int")))
     on = F.get(F.array(*[F.lit(x) for x in PLATFORMS]), ((F.col("conv_pos") * 5 + F.col("idx")) % 8).cast("int"))
-    return t.select("turn_id", on.alias("platform"), PF.limit_message(on, said).alias("message")).filter("message is not null")
+    rows = spread(t.select("turn_id", on.alias("platform"), said.alias("said")), "turn_id")
+    return rows.select("turn_id", "platform", PF.limit_message(F.col("platform"), F.col("said")).alias("message")).filter("message is not null")
 
 
 def _limit_sql():
@@ -418,7 +419,7 @@ _F24 = """select event_id, case when event_id % 2 = 0 and event_id % 7 <> 0 then
 @lru_cache(maxsize=16)
 def index_of(spark, sf):
     t = seeded_turns(spark, sf)
-    return SE.build_index(conversations(t), t)
+    return cut(SE.build_index(conversations(t), t))
 
 
 def _searches(spark, sf):

@@ -35,8 +35,12 @@ CAPTURED = "2025-01-01T00:00:00Z"
 
 def raw_turns(spark: SparkSession, sf: str) -> DataFrame:
     """The table as it is, in the engine's turn layout."""
+    return spread(_turns(spark, sf), "turn_id")
+
+
+def _turns(spark: SparkSession, sf: str) -> DataFrame:
     t = spark.read.parquet(f"{sf}/conversations.parquet")
-    turns = t.select(
+    return t.select(
         F.concat(F.lit("d"), F.floor(F.col("conv_id") / 10).cast("string")).alias("doc_id"),
         F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("conv_id"),
         F.col("conv_id").cast("bigint").alias("conv_pos"),
@@ -47,7 +51,6 @@ def raw_turns(spark: SparkSession, sf: str) -> DataFrame:
         "role",
         F.col("text").alias("content"),
     )
-    return spread(turns, "turn_id")
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,7 +63,8 @@ def phrase_of(conv: str = "conv_pos", turn: str = "idx"):
 
 
 def seeded_turns(spark: SparkSession, sf: str) -> DataFrame:
-    return raw_turns(spark, sf).withColumn("content", F.concat(F.col("content"), F.lit("\n"), phrase_of()))
+    seeded = _turns(spark, sf).withColumn("content", F.concat(F.col("content"), F.lit("\n"), phrase_of()))
+    return spread(seeded, "turn_id")
 
 
 def conversations(turns: DataFrame) -> DataFrame:
