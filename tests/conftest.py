@@ -11,7 +11,7 @@ from turnloom.streaming.jobs import ROCKSDB  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = local_session("turnloom-tests", 8)
+    s = local_session("turnloom-tests", 8, partitions=3)
     s.sparkContext.setLogLevel("ERROR")
     s.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     yield s

@@ -53,13 +53,14 @@ def test_each_fault_gives_its_issue(spark):
         d = copy.deepcopy(document())
         tamper(d)
         rows.append((name, json.dumps(d)))
-    t = V.parse_documents(spark.createDataFrame(rows, "doc_id string, raw string"))
+    rows.append(("tail", json.dumps(document()) + " and more"))
+    t = V.stored(V.parse_documents(spark.createDataFrame(rows, "doc_id string, raw string")))
     got = {}
     for r in V.validate(t).collect():
         got.setdefault(r.doc_id, set()).add((r.code, r.path))
     for name, (_, want) in CASES.items():
         assert got.get(name, set()) == want, name
-    assert got["broken"] == got["list"] == {("not_an_object", "$")}
+    assert got["broken"] == got["list"] == got["tail"] == {("not_an_object", "$")}
     extras = t.items.filter("doc_id = 'valid'").select(F.expr("variant_get(extras, '$.mood.a', 'int')")).first()[0]
     assert extras == 1
 

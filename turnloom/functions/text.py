@@ -71,6 +71,13 @@ def id_number(c: Column) -> Column:
     return F.conv(F.left(F.md5(c), F.lit(15)), 16, 10).cast("decimal(20,0)")
 
 
+def strict_json(c: Column) -> Column:
+    """The text as VARIANT, null unless it is exactly one JSON value. The parser stops at the end of
+    a value and would accept trailing text, which inside brackets is an error."""
+    listed = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    return F.when(F.try_variant_get(listed, "$[1]", "variant").isNull(), F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def token_estimate(c: Column) -> Column:
     return F.ceil(F.length(c) / F.lit(4)).cast("bigint")
 

@@ -53,7 +53,7 @@ def parse_outputs(outputs: DataFrame, raw: str = "output") -> tuple[DataFrame, D
         )
 
     reason = (
-        F.when(F.try_parse_json("__t").isNull(), F.lit("invalid_json"))
+        F.when(X.strict_json(F.col("__t")).isNull(), F.lit("invalid_json"))
         .when(items.isNull() | rels.isNull(), F.lit("schema"))
         .when((F.size(items) > MAX_ITEMS) | (F.size(rels) > MAX_RELATIONS), F.lit("too_many"))
         .when(~F.forall(items, good), F.lit("schema"))

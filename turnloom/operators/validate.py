@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from turnloom import schema as S
 from turnloom.functions import text as X
+from turnloom.session import cut
 from turnloom.sources.turns import ISO, iso_timestamp
 
 ID = r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$"
@@ -45,7 +46,7 @@ def parse_documents(raw: DataFrame, text: str = "raw") -> Tables:
     body = raw.select("doc_id", F.col(text).alias("__t")).select(
         "doc_id",
         F.from_json("__t", head).alias("d"),
-        F.coalesce(F.expr("schema_of_variant(try_parse_json(__t)) like 'OBJECT%'"), F.lit(False)).alias("is_object"),
+        F.coalesce(F.startswith(F.schema_of_variant(X.strict_json(F.col("__t"))), F.lit("OBJECT")), F.lit(False)).alias("is_object"),
     )
     source = "source:struct<kind:string,platform:string,client:string>"
     conv = f"struct<id:string,{source},title:string,url:string,captured_at:string,turns:array<string>>"
@@ -97,6 +98,19 @@ def parse_documents(raw: DataFrame, text: str = "raw") -> Tables:
     )
 
 
+def stored(t: Tables) -> Tables:
+    """The tables written once: a validation joins them many times and must not parse again each time."""
+    return Tables(*[cut(x) for x in (t.docs, t.conversations, t.turns, t.items)])
+
+
+def document_turns(t: Tables) -> DataFrame:
+    """Turns of parsed documents in the extractors' layout; ids and indexes are kept."""
+    conv = t.conversations.select("doc_id", "ci", F.col("id").alias("conv_id"))
+    return t.turns.join(conv, ["doc_id", "ci"]).select(
+        "doc_id", "conv_id", F.col("ci").cast("bigint").alias("conv_pos"), F.col("index").alias("idx"), F.col("id").alias("turn_id"), "role", "content"
+    )
+
+
 def _issue(severity: str, code: str, path: Column) -> Column:
     return F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), path.alias("path"))
 

@@ -321,7 +321,7 @@ from canon group by doc_id"""
 @lru_cache(maxsize=16)
 def tampered(spark, sf):
     """Documents with faults put in by arithmetic, stored once as the tables a validation reads."""
-    return V.Tables(*[cut(t) for t in _tampered(spark, sf)])
+    return V.stored(V.Tables(*_tampered(spark, sf)))
 
 
 def _tampered(spark, sf):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from turnloom.plans import choosing, extraction, modelled, outputs, streams
+from turnloom.plans import choosing, extraction, interchange, modelled, outputs, streams
 
-MODULES = (extraction, choosing, modelled, outputs, streams)
+MODULES = (extraction, choosing, modelled, interchange, outputs, streams)
 
 
 def all_queries() -> dict:
