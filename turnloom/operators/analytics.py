@@ -38,15 +38,16 @@ def top_property(events: DataFrame, event: str, prop: str, limit: int = 10) -> D
 
 
 def dashboard(relays: DataFrame, rate_limits: DataFrame) -> DataFrame:
-    """Totals of the usage page in one row."""
-    totals = relays.agg(
-        F.count(F.lit(1)).alias("total_relays"),
-        F.coalesce(F.sum("message_count"), F.lit(0)).alias("total_messages"),
+    """Totals of the usage page in one row, from one aggregation over both tables."""
+    sent = relays.select(F.lit(1).alias("relay"), F.col("message_count").cast("bigint").alias("messages"), "at")
+    hit = rate_limits.select(F.lit(0).alias("relay"), F.lit(None).cast("bigint").alias("messages"), F.lit(None).alias("at"))
+    totals = sent.unionByName(hit).agg(
+        F.count_if(F.col("relay") == 1).alias("total_relays"),
+        F.coalesce(F.sum("messages"), F.lit(0)).alias("total_messages"),
         F.max("at").alias("last_relay_at"),
+        F.count_if(F.col("relay") == 0).alias("rate_limits"),
     )
-    limits = rate_limits.agg(F.count(F.lit(1)).alias("rate_limits"))
-    one_row = totals.crossJoin(F.broadcast(limits))  # two single rows
-    return one_row.withColumn("tokens_saved", F.col("total_messages") * TOKENS_PER_MESSAGE)
+    return totals.withColumn("tokens_saved", F.col("total_messages") * TOKENS_PER_MESSAGE)
 
 
 def relays_by_source(relays: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from turnloom import schema as S
 from turnloom.operators import extract as E
 from turnloom.operators import semantic as SEM
 from turnloom.operators import validate as V
+from turnloom.operators.selection import size_gate
 from turnloom.plans import oracle as O
 from turnloom.plans.modelled import NORMAL, script_rows
 from turnloom.plans.seeded import CAPTURED, SEEDED, seeded_turns
@@ -126,14 +127,14 @@ def d3_provider(spark, sf):
         return str(len(prompt))
 
     t = seeded_turns(spark, sf)
-    out = SEM.call_provider(SEM.prompt_rows(t), generate)
+    out = SEM.call_provider(SEM.prompt_rows(size_gate(t)[0]), generate)
     return out.select("conv_id", F.col("output").isNotNull().alias("answered"), "code")
 
 
 def d4_replay(spark, sf):
     t = seeded_turns(spark, sf)
     recorded = t.filter((F.col("idx") == 0) & (F.col("conv_pos") % 3 > 0)).select("conv_id", F.left("content", F.lit(20)).alias("output"))
-    return SEM.replay_provider(SEM.prompt_rows(t), recorded)
+    return SEM.replay_provider(SEM.prompt_rows(size_gate(t)[0]), recorded)
 
 
 QUERIES = {
