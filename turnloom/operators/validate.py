@@ -317,20 +317,31 @@ def reference_issues(t: Tables) -> DataFrame:
 
 
 def validate(t: Tables) -> DataFrame:
-    """All issues. The version gate stops a document; structural errors stop its cross checks."""
-    gate = version_issues(t.docs)
-    stopped = gate.filter("severity = 'error'").select("doc_id").distinct()
-
-    def minus(tables, ids):
-        return Tables(*[x.join(ids, "doc_id", "left_anti") for x in (tables.docs, tables.conversations, tables.turns, tables.items)])
-
-    passed = minus(t, stopped)
-    odd = unknown_types(passed.items, passed.docs)
-    structure = structural_issues(passed)
-    sound = minus(passed, structure.select("doc_id").distinct())
-    known = Tables(sound.docs, sound.conversations, sound.turns, sound.items.filter(F.col("type").isin(*S.ITEM_TYPES)))
-    deep = (calendar_issues(known), duplicate_ids(known), duplicate_turn_indexes(known.turns), reference_issues(known))
-    return reduce(DataFrame.unionByName, (gate, odd, structure, *deep))
+    """All issues. The version gate stops a document; structural errors stop its cross checks.
+
+    Every check runs once over its whole table and carries its stage; what a document was
+    stopped before is dropped at the end, with one join on a small table of stops.
+    """
+    known = Tables(t.docs, t.conversations, t.turns, t.items.filter(F.col("type").isin(*S.ITEM_TYPES)))
+    gate, structure = version_issues(t.docs), structural_issues(t)
+    stages = (
+        (0, gate),
+        (1, unknown_types(t.items, t.docs)),
+        (2, structure),
+        (3, calendar_issues(known)),
+        (3, duplicate_ids(known)),
+        (3, duplicate_turn_indexes(known.turns)),
+        (3, reference_issues(known)),
+    )
+    found = reduce(DataFrame.unionByName, (x.withColumn("stage", F.lit(n)) for n, x in stages))
+    stops = (
+        gate.filter("severity = 'error'").select("doc_id", F.lit(0).alias("last"))
+        .unionByName(structure.select("doc_id", F.lit(2).alias("last")))
+        .groupBy("doc_id").agg(F.min("last").alias("last"))
+    )
+    return found.join(stops, "doc_id", "left").filter(F.col("stage") <= F.coalesce("last", F.lit(9))).select(
+        "doc_id", "severity", "code", "path"
+    )
 
 
 def extension_issues(items: DataFrame, turns: DataFrame, annotations: DataFrame, relations: DataFrame) -> DataFrame:
