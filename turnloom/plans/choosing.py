@@ -79,6 +79,18 @@ select 'items' as what, count(*) as n from kept union all select 'annotations',
 union all select 'relations', count(distinct doc_id) from kept union all select 'unknown', count(*) from bad"""
 
 
+def u5_unknown_ids(spark, sf):
+    """Asked ids a document does not have."""
+    items = stored_items(spark, sf)
+    asked = items.select("doc_id", F.when((F.col("conv_pos") + F.col("idx")) % 4 == 0, F.concat("item_id", F.lit("x"))).otherwise(F.col("item_id")).alias("item_id"))
+    notes = items.select("item_id", "origin")
+    none = items.select(F.lit("t").alias("type"), F.col("item_id").alias("from"), F.col("item_id").alias("to")).filter(F.lit(False))
+    return SEL.select_items(items, notes, none, asked)[3]
+
+
+_U5 = f"with {O.DEDUPED} select doc_id, item_id || 'x' as item_id from deduped where (conv_pos + idx) % 4 = 0"
+
+
 def j12_review(spark, sf):
     t = seeded_turns(spark, sf)
     chosen = t.filter(F.col("idx") < 2).select("conv_id", F.col("idx").cast("bigint").alias("pos"))
@@ -451,6 +463,7 @@ QUERIES = {
         f"""with {SEEDED}, s as (select conv_id, sum(length(json_object('ref', 'm', 'role', role, 'content', content)::varchar) + 8) as n from seeded group by conv_id)
 select conv_id, 'input_too_large' as code from s where n > 1500""",
     ),
+    "u5_unknown_ids": (u5_unknown_ids, _U5),
     "j12_review_check": (j12_review, _J12),
     "f1_dedupe_form": (f1_normalise, f"with {SEEDED} select turn_id, md5({O.norm('content')}) as h from seeded"),
     "f2_stable_ids": (f2_ids, f"with {O.ITEMS} select turn_id, item_id, type from items"),

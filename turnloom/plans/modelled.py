@@ -250,6 +250,18 @@ select c.item_id, c.doc_id, c.type, c.content, greatest(c.confidence, coalesce(o
 from canon c left join grouped o on o.grp = c.grp and o.pos <> c.pos"""
 
 
+def u2_evidence(spark, sf):
+    """Evidence and extractors of merged items after the union, one row per piece of evidence."""
+    items = reconciled(spark, sf)["items"].filter("merged > 0")
+    return items.select("item_id", F.explode("evidence").alias("e"), F.size("extractors").cast("bigint").alias("extractors")).select(
+        "item_id", "e.turn_id", F.col("e.start").alias("start_at"), F.col("e.end").alias("end_at"), "extractors"
+    )
+
+
+_U2 = _RECON + """ select distinct c.item_id, g.turn_id, g.s as start_at, g.t as end_at, 2 as extractors from canon c join grouped g using (grp)
+where (select count(*) from grouped o where o.grp = c.grp) > 1"""
+
+
 def h1_merged(spark, sf):
     return reconciled(spark, sf)["merged"].select("canonical_id", "extractor", "type", "content", "confidence")
 
@@ -551,6 +563,7 @@ select conv_id, md5(prompt) as h, length(prompt) as n from p""",
     "j6_overlap_pairs": (j6_pairs, _J6),
     "h1_reconcile": (h1_items, _H1),
     "h2_merged_from": (h1_merged, _MERGED),
+    "u2_u3_evidence_union": (u2_evidence, _U2),
     "j7_j8_relations": (j7_j8_relations, _REL),
     "a12_reconcile_report": (a12_report, _A12),
     "u1_union": (

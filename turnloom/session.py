@@ -27,7 +27,7 @@ def local_session(app: str = "turnloom", cpus: str | int = "*", partitions: int
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster; a private one only where none is configured."""
     sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if configured:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(configured)
