@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from turnloom.operators import evaluate as EV
 from turnloom.operators.extract import annotate
-from turnloom.operators.pipeline import encode
+from turnloom.operators.context import encode
 from turnloom.sources.fixtures import fixture_gold, fixture_turns, read_fixtures
 
 U, A, S = "user", "assistant", "system"

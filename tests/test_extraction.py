@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from turnloom.functions import text as X
 from turnloom.operators.extract import Extractor, _draft, extract_items, mask_fences
 from turnloom.operators.items import dedupe_items
-from turnloom.operators.pipeline import encode
+from turnloom.operators.context import encode
 from turnloom.sources.turns import conversation_key
 
 

@@ -11,7 +11,7 @@ from turnloom.operators import safety
 from turnloom.operators import search as SE
 from turnloom.operators import store as ST
 from turnloom.operators.items import resolve_provenance
-from turnloom.operators.pipeline import encode
+from turnloom.operators.context import encode
 from turnloom.session import cut
 from turnloom.streaming import jobs as J
 

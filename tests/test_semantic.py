@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from turnloom.operators import reconcile as REC
 from turnloom.operators import semantic as SEM
-from turnloom.operators.pipeline import encode, extract_context
+from turnloom.operators.context import encode, extract_context
 
 
 def item(ref="i1", type="fact", content="x", origin="user", assertion="explicit", confidence=0.9, evidence=(("m0", "xx"),), **more):

@@ -11,7 +11,7 @@ from turnloom.operators import evaluate as EV
 from turnloom.operators import reconcile as REC
 from turnloom.operators import semantic as SEM
 from turnloom.operators import validate as V
-from turnloom.operators.pipeline import extract_context
+from turnloom.operators.context import extract_context
 from turnloom.operators.selection import size_gate
 from turnloom.plans import oracle as O
 from turnloom.plans.extraction import stored_items, items_of
