@@ -25,13 +25,15 @@ def local_session(app: str = "turnloom", cpus: str | int = "*", partitions: int
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a private one only where none is configured."""
+    """The shared folder of the cluster; a private one only in a local session without one."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if configured:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     path = tempfile.mkdtemp(prefix="turnloom-checkpoint-")
     sc.setCheckpointDir(path)
     return path
