@@ -43,7 +43,7 @@ def _priced(value: np.ndarray, lengths: np.ndarray, capacity: int, most: int) ->
     return out
 
 
-def _filling(need: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[list[dict[int, int]], np.ndarray]:
+def _filling(need: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[list[dict[int, int]], np.ndarray, list[int]]:
     """A first basis: full patterns around the longest length left, each used until a length runs out.
 
     The pattern that uses up a length is that length's column, and later patterns
@@ -52,6 +52,7 @@ def _filling(need: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[list
     left = need.copy()
     patterns: list[dict[int, int]] = [{} for _ in lengths]
     x = np.zeros(len(lengths))
+    order: list[int] = []
     place = {k: i for i, k in enumerate(lengths.tolist())}
     while left.any():
         here = lengths[left > 0]
@@ -65,9 +66,31 @@ def _filling(need: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[list
             left[place[k]] = max(left[place[k]] - n * times, 0.0)
         left[out] = 0.0
         patterns[out], x[out] = dict(pattern), times
+        order.append(out)
     for i, k in enumerate(lengths.tolist()):
-        patterns[i] = patterns[i] or {k: capacity // k}  # ran out together with another: a column with count 0
-    return patterns, x
+        if not patterns[i]:  # ran out together with another: a column with count 0
+            patterns[i] = {k: capacity // k}
+            order.append(i)
+    return patterns, x, order[::-1]
+
+
+def _column(pattern: dict[int, int], place: dict[int, int]) -> np.ndarray:
+    column = np.zeros(len(place))
+    for k, n in pattern.items():
+        column[place[k]] = n
+    return column
+
+
+def _times(matrix: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Matrix times a sparse column, without threads of a numeric library."""
+    at = np.flatnonzero(column)
+    return (matrix[:, at] * column[at]).sum(axis=1)
+
+
+def _pivot(inverse: np.ndarray, out: int, moved: np.ndarray) -> None:
+    row = inverse[out] / moved[out]
+    inverse -= np.outer(moved, row)
+    inverse[out] = row
 
 
 def relaxed(demand: dict[int, int], capacity: int, slack: float = 2e-4, rounds: int = 120) -> list[tuple[dict[int, int], float]]:
@@ -79,28 +102,23 @@ def relaxed(demand: dict[int, int], capacity: int, slack: float = 2e-4, rounds:
     lengths = np.array(sorted(demand), np.int64)
     need = np.array([demand[x] for x in lengths.tolist()], float)
     m, place = len(lengths), {x: i for i, x in enumerate(lengths.tolist())}
-    patterns, x = _filling(need, lengths, capacity)
-    matrix = np.zeros((m, m))
-    for j, pattern in enumerate(patterns):
-        for k, n in pattern.items():
-            matrix[place[k], j] = n
-    inverse = np.linalg.inv(matrix)
+    patterns, x, order = _filling(need, lengths, capacity)
+    inverse = np.eye(m)
+    for out in order:  # each column has its own length last, so the pivots are never zero
+        _pivot(inverse, out, _times(inverse, _column(patterns[out], place)))
     room = float((lengths * need).sum()) / capacity
     for _ in range(rounds):
         total = x.sum()
         duals = inverse.sum(axis=0)
         priced = _priced(np.maximum(duals, 0.0), lengths, capacity, 32)
-        bound = max(room, (duals @ need) / max(priced[0][0], 1.0))
+        bound = max(room, float((duals * need).sum()) / max(priced[0][0], 1.0))
         if total - bound <= max(0.5, slack * total):
             break
         moves = 0
         for _, pattern in priced:
-            column = np.zeros(m)
-            for length, n in pattern.items():
-                column[place[length]] = n
-            if inverse.sum(axis=0) @ column <= 1 + 1e-9:
+            moved = _times(inverse, _column(pattern, place))
+            if moved.sum() <= 1 + 1e-9:
                 continue  # an earlier column of this round has taken its place
-            moved = inverse @ column
             up = moved > 1e-9
             if not up.any():
                 continue
@@ -111,9 +129,7 @@ def relaxed(demand: dict[int, int], capacity: int, slack: float = 2e-4, rounds:
             x -= step * moved
             x[out] = step
             np.maximum(x, 0.0, out=x)
-            row = inverse[out] / moved[out]
-            inverse -= np.outer(moved, row)
-            inverse[out] = row
+            _pivot(inverse, out, moved)
             patterns[out] = pattern
             moves += 1
         if not moves:
@@ -125,8 +141,8 @@ def whole(demand: dict[int, int], capacity: int, slack: float = 2e-4) -> list[tu
     """Patterns with whole counts that use each length exactly as often as demanded.
 
     Fractional counts are rounded down, then up where every part is still
-    wanted; what is left (fewer sequences than there are lengths) is filled one
-    sequence after the other, the longest part first.
+    wanted; what is left (fewer sequences than there are lengths) goes first-fit,
+    longest first.
     """
     demand = {x: n for x, n in demand.items() if n}
     if not demand:
@@ -147,18 +163,14 @@ def whole(demand: dict[int, int], capacity: int, slack: float = 2e-4) -> list[tu
     for pattern, x in sorted(solved, key=lambda p: -(p[1] % 1)):
         if sum(k * n for k, n in pattern.items()) >= capacity * 0.99:
             use(pattern, 1)
-    while any(left.values()):
-        here = np.array(sorted(k for k in left if left[k]), np.int64)
-        first = int(here[-1])
-        pattern, room = Counter({first: 1}), capacity - first
-        if here[0] <= room:
-            for k, n in sorted(_priced(here * (1 + 1e-6 * here), here, room, 1)[0][1].items(), reverse=True):
-                pattern[k] += min(n, left[k] - pattern[k])
-        room = capacity - sum(k * n for k, n in pattern.items())
-        for k in here[::-1].tolist():  # the filling may have wanted more of a length than there is
-            n = min(room // k, left[k] - pattern[k])
-            if n > 0:
-                pattern[k] += n
-                room -= k * n
-        use(dict(+pattern), min(left[k] // n for k, n in pattern.items() if n))
-    return out
+    bins: list[tuple[int, Counter[int]]] = []  # room left, parts
+    for length in sorted((k for k in left if left[k]), reverse=True):
+        for _ in range(left[length]):
+            at = next((i for i, (room, _) in enumerate(bins) if room >= length), None)
+            if at is None:
+                bins.append((capacity - length, Counter({length: 1})))
+            else:
+                room, parts = bins[at]
+                parts[length] += 1
+                bins[at] = (room - length, parts)
+    return out + [(dict(parts), 1) for _, parts in bins]
