@@ -44,7 +44,7 @@ class ByteIds:
         if new and len(self._known) + len(new) > MEMORY:
             self._known.clear()
             new = wanted
-        lines = [c for c in new if c.strip(" ") and not c[-1].isspace()]
+        lines = [c for c in new if (bare := c.lstrip(" ")) and not bare[0].isspace() and not bare[-1].isspace()]
         for c in new.difference(lines):
             self._known[c] = self._plain(c).tobytes()
         if lines:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import jaccard, language, neighbours, packing, pieces, quality, sharding, toxicity
+from turnloom.llm import jaccard, language, lines, neighbours, packing, pieces, quality, sharding, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -42,6 +42,11 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.join(table(spark, sf), k=4, percent=85)
 
 
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    rows = lines.without_repeats(table(spark, sf).select("doc_id", "text"))
+    return rows.select("doc_id", "text", F.col("__removed").alias("n_removed"))
+
+
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.encode_pieces(table(spark, sf), tokenizer_path("piece_bpe_32k.model"))
 
@@ -74,6 +79,7 @@ QUERIES = {
     "op3_shards": (op3, None),
     "op4_packing": (op4, None),
     "op5_jaccard": (op5, None),
+    "op6_lines": (op6, None),
     "op7_pieces": (op7, None),
     "op8_quality": (op8, None),
     "op9_language": (op9, None),

@@ -17,9 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.arrays import IS_SPACE, Block, blocks, columns
+from turnloom.llm.arrays import IS_SPACE, Block, blocks, columns, mix
 
-BITS = 18
+BITS = 20
+BALANCE = 1.5  # most that a toxic document weighs in training
+PREFIXES: tuple[int, ...] = (5, 7)  # bytes: beginnings of words are features beside the words
+SUFFIXES: tuple[int, ...] = ()
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?\n")] = True
 _WORD = ~IS_SPACE & np.array([i >= 128 or chr(i).isalnum() or i == 0x27 for i in range(256)])
@@ -32,7 +35,9 @@ class Model:
 
 
 def instances(block: Block, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(sentence of each word, bucket of each word, document of each sentence, first byte of each sentence).
+    """(sentence of each feature, its bucket, document of each sentence, first byte of each sentence).
+
+    A word gives itself, its beginnings and its ends; features are in the order of the text.
 
     Sentences end at . ! ? and line feeds, and with the text; only those with a word count.
     """
@@ -43,8 +48,18 @@ def instances(block: Block, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, n
     stops = np.cumsum(_STOP[block.data])
     key = texts * (int(stops[-1]) + 2) + stops[starts]
     _, first, sentence = np.unique(key, return_index=True, return_inverse=True)
-    bucket = (block.hashes(starts, ends, lower=True) >> np.uint64(64 - bits)).astype(np.int64)
-    return sentence, bucket, texts[first], starts[first]
+    parts = [(np.arange(len(starts)), block.hashes(starts, ends, lower=True))]
+    length = ends - starts
+    for n in PREFIXES:
+        long = np.flatnonzero(length > n)
+        parts.append((long, block.hashes(starts[long], starts[long] + n, lower=True) + np.uint64(1)))
+    for n in SUFFIXES:
+        long = np.flatnonzero(length > n)
+        parts.append((long, block.hashes(ends[long] - n, ends[long], lower=True) + np.uint64(2)))
+    word = np.concatenate([x for x, _ in parts])
+    bucket = (mix(np.concatenate([h for _, h in parts])) >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.argsort(word, kind="stable")
+    return sentence[word[order]], bucket[order], texts[first], starts[first]
 
 
 def _sentence_scores(sentence: np.ndarray, bucket: np.ndarray, n: int, model: Model) -> np.ndarray:
@@ -56,11 +71,11 @@ def _noisy_or(chance: np.ndarray, document: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(np.bincount(document, np.log1p(-np.minimum(chance, 1 - 1e-12)), minlength=n))
 
 
-def train(sentence: np.ndarray, bucket: np.ndarray, document: np.ndarray, toxic: np.ndarray, bits: int = BITS, rounds: int = 80) -> Model:
-    """Weights by Adam on the likelihood of the document labels; words of fewer than 3 documents are not used."""
+def train(sentence: np.ndarray, bucket: np.ndarray, document: np.ndarray, toxic: np.ndarray, bits: int = BITS, rounds: int = 60, ridge: float = 0.5, least: int = 5) -> Model:
+    """Weights by Adam on the likelihood of the document labels; features of fewer than `least` documents are not used."""
     size, n = 1 << bits, len(document)
     pairs = np.unique(document[sentence] * size + bucket) if len(bucket) else np.zeros(0, np.int64)
-    common = np.bincount(pairs % size, minlength=size) >= 3
+    common = np.bincount(pairs % size, minlength=size) >= least
     use = common[bucket]
     sentence, bucket = sentence[use], bucket[use]
     kinds, local = np.unique(bucket, return_inverse=True)
@@ -68,13 +83,13 @@ def train(sentence: np.ndarray, bucket: np.ndarray, document: np.ndarray, toxic:
     m, v = np.zeros_like(w), np.zeros_like(w)
     w[-1] = bias
     share = max(float(toxic.mean()) if len(toxic) else 0.0, 1e-6)
-    weight = np.where(toxic > 0, min(0.5 / share, 20.0), 0.5 / max(1 - share, 1e-6))[document] if n else np.zeros(0)
+    weight = np.where(toxic > 0, min(0.5 / share, BALANCE), 0.5 / max(1 - share, 1e-6))[document] if n else np.zeros(0)
     for t in range(1, rounds + 1):
         z = w[-1] + np.bincount(sentence, w[local], minlength=n)
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         whole = np.clip(_noisy_or(p, document, len(toxic)), 1e-9, 1 - 1e-9)[document]
         dz = weight * np.where(toxic[document] > 0, -p * (1 - whole) / whole, p)
-        g = np.append(np.bincount(local, dz[sentence], minlength=len(kinds)), dz.sum()) + 0.5 * np.append(w[:-1], 0.0)
+        g = np.append(np.bincount(local, dz[sentence], minlength=len(kinds)), dz.sum()) + ridge * np.append(w[:-1], 0.0)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     weights = np.zeros(size)
@@ -82,7 +97,7 @@ def train(sentence: np.ndarray, bucket: np.ndarray, document: np.ndarray, toxic:
     return Model(weights, float(w[-1]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, bits: int = BITS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, bits: int = BITS) -> Model:
     """A model from at most `sample` labelled documents, those of smallest hash of their id.
 
     docs(doc_id, text), labels(doc_id, toxic): null labels and ids are not used; a
