@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from turnloom.llm.arrays import Block, blocks, columns, grams, mix, per_block, sequence_hash
 from turnloom.llm.tables import stored
 from turnloom.operators.components import components
+from turnloom.operators.ordering import first_wins
 
 LOW = np.uint64((1 << 64) // 5)
 
@@ -230,9 +231,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` without the others of each group: the smallest doc_id stays, then the smallest text. Empty sets all stay."""
-    from turnloom.operators.ordering import first_wins
-
     named, names = groups(docs, k, percent)
-    rows = nodes(docs, docs.columns, k).join(names, "__node", "left")
-    full = first_wins(rows.filter("__n > 0").withColumn("__group", F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("n"), F.col("__node")))), ["__group"], [F.col("doc_id").asc_nulls_last(), F.col("text")])
+    rows = nodes(docs, docs.columns, k).join(names.withColumnRenamed("component_id", "__component"), "__node", "left")
+    full = first_wins(rows.filter("__n > 0").withColumn("__group", F.coalesce(F.col("__component").cast("string"), F.concat(F.lit("n"), F.col("__node")))), ["__group"], [F.col("doc_id").asc_nulls_last(), F.col("text")])
     return full.select(*docs.columns).unionByName(rows.filter("__n = 0").select(*docs.columns))

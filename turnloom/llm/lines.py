@@ -62,7 +62,7 @@ def repeats(docs: DataFrame, words: int = 50) -> tuple[DataFrame, DataFrame]:
 
 
 def _kept(lines: DataFrame, runs: DataFrame) -> DataFrame:
-    """(__id, __text, keep): slices (start, n) of all lines that stay, for documents that lose any."""
+    """(__id, __text, __keep): slices (start, n) of all lines that stay, for documents that lose any."""
     by = W.partitionBy(*_KEY).orderBy("from", "to")
     seen = runs.distinct().withColumn("top", F.max("to").over(by.rowsBetween(W.unboundedPreceding, -1)))
     joined = seen.withColumn("new", F.when(F.col("top").isNull() | (F.col("from") > F.col("top") + 1), 1).otherwise(0))
@@ -73,7 +73,7 @@ def _kept(lines: DataFrame, runs: DataFrame) -> DataFrame:
         *_KEY, F.expr("transform(r, x -> struct(a[x.from].i as lo, a[x.to].i as hi))").alias("r")
     )
     gaps = "transform(r, (x, i) -> struct(if(i = 0, 0, r[i - 1].hi + 1) as start, x.lo - if(i = 0, 0, r[i - 1].hi + 1) as n))"
-    return cuts.select(*_KEY, F.expr(f"concat({gaps}, array(struct(element_at(r, -1).hi + 1 as start, 1000000000 as n)))").alias("keep"), F.expr("aggregate(r, 0, (t, x) -> t + x.hi - x.lo + 1)").alias("__removed"))
+    return cuts.select(*_KEY, F.expr(f"concat({gaps}, array(struct(element_at(r, -1).hi + 1 as start, 1000000000 as n)))").alias("__keep"), F.expr("aggregate(r, 0, (t, x) -> t + x.hi - x.lo + 1)").alias("__removed"))
 
 
 def without_repeats(docs: DataFrame, words: int = 50) -> DataFrame:
@@ -86,11 +86,11 @@ def without_repeats(docs: DataFrame, words: int = 50) -> DataFrame:
     null or empty text stays as it is. The first place of a line is never deleted.
     """
     lines, runs = repeats(docs, words)
-    kept = _kept(lines, stored(runs)).select(F.col("__id").alias("__id2"), F.col("__text").alias("__text2"), "keep", "__removed")
+    kept = _kept(lines, stored(runs)).select(F.col("__id").alias("__id2"), F.col("__text").alias("__text2"), "__keep", "__removed")
     rows = docs.withColumn("__text", F.xxhash64("text"))
     out = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__id2")) & (F.col("__text") == F.col("__text2")), "left")
-    cut = F.expr("array_join(flatten(transform(keep, g -> slice(split(text, '\\n', -1), g.start + 1, g.n))), '\\n')")
+    cut = F.expr("array_join(flatten(transform(__keep, g -> slice(split(text, '\\n', -1), g.start + 1, g.n))), '\\n')")
     return out.select(
-        *[F.when(F.col("keep").isNotNull(), cut).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns],
+        *[F.when(F.col("__keep").isNotNull(), cut).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns],
         F.coalesce("__removed", F.lit(0)).alias("__removed"),
     )

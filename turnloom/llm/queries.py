@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import jaccard, language, lines, neighbours, packing, pieces, quality, sharding, toxicity
+from turnloom.llm import jaccard, language, lines, neighbours, packing, pieces, quality, scoring, sharding, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -30,6 +30,11 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", held_out(5, 0).alias("held_out"), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"), F.col("__spans").alias("spans"))
 
 
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    rows = scoring.score(table(spark, sf), language.remainder("doc_id", 5) != 1, tokenizer_path("byte_bpe_50k.json"))
+    return rows.withColumn("held_out", held_out(5, 1))
+
+
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.place(table(spark, sf), 8)
 
@@ -76,6 +81,7 @@ select query_id, rank::int as rank, vec_id, score from
 
 QUERIES = {
     "op1_toxicity": (op1, None),
+    "op2_scores": (op2, None),
     "op3_shards": (op3, None),
     "op4_packing": (op4, None),
     "op5_jaccard": (op5, None),
