@@ -1,7 +1,8 @@
 """Size-aware similarity join of word-shingle sets.
 
 Sets are ordered by one global order of shingles: first the fifth with the
-smallest hashes, rarest first, then the others by hash. Two sets whose overlap
+smallest hashes, rarest first, then the others, counted in the sets that need
+them (those whose fifth is too short), rarest first. Two sets whose overlap
 reaches the wanted Jaccard similarity share at least k of the first
 n - ceil(t * n) + k shingles. Small sets enumerate all 2-subsets of those (k = 2),
 large sets are listed under each of those (k = 1); sets near the boundary do
@@ -68,7 +69,7 @@ def nodes(docs: DataFrame, keep: list[str], k: int) -> DataFrame:
 
 
 def _tokens(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(token, node, n, m, low): the fifth of smallest hashes of each set, and more by hash where a prefix needs more; m counts the fifth."""
+    """(token, node, n, m, low): the fifth of smallest hashes of each set, and the whole set where a prefix needs more; m counts the fifth."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
@@ -86,7 +87,7 @@ def _tokens(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     done.clear()
                 done.add(name)
                 m = int(np.searchsorted(s, LOW))
-                take = max(m, min(n, room + 2))
+                take = m if m >= room + 2 else n
                 token.append(s[:take].astype(np.int64))
                 low.append(np.arange(take) < m)
                 for out, value in ((node, name), (size, n), (lows, m)):
@@ -105,18 +106,14 @@ def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, n, one, two): shared tokens with their counts among the first shingles, for k = 1 and 2."""
     counted = _tokens(docs, k, percent).groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     shared = _tokens(docs, k, percent).join(counted, "token")
-    per = shared.groupBy("node", "n", "m").agg(
-        F.array_sort(F.collect_set(F.struct((~F.col("low")).alias("late"), F.when(F.col("low"), F.col("c")).otherwise(0).alias("order"), "token", "c"))).alias("s")
-    )
-    early = F.size(F.filter("s", lambda x: ~x["late"]))
+    per = shared.groupBy("node", "n", "m").agg(F.array_sort(F.collect_set(F.struct((~F.col("low")).alias("late"), "c", "token"))).alias("s"))
+    per = per.withColumn("early", F.size(F.filter("s", lambda x: ~x["late"])))
+    # behind the tokens of their class that no other set has, which come first and are not listed
+    place = lambda x, i: F.when(x["late"], i + F.col("n") - F.size("s")).otherwise(i + F.col("m") - F.col("early"))
     room = F.expr(f"n - cast(ceil(n * {percent} / 100D - 1e-9) as int)")
-    # shared low tokens stand behind the low ones that no other set has; of late tokens only those inside a prefix are there
-    place = lambda i: i + F.col("m") - early
-    within = lambda more: F.transform(
-        F.filter(F.transform("s", lambda x, i: F.struct(x["token"].alias("token"), x["c"].alias("c"), place(i).alias("at"), x["late"].alias("late"))), lambda x: x["late"] | (x["at"] < room + more)),
-        lambda x: F.struct(x["token"].alias("token"), x["c"].alias("c")),
-    )
-    return per.select("node", "n", within(1).alias("one"), within(2).alias("two")).filter(F.size("two") > 0)
+    listed = per.select("node", "n", room.alias("room"), F.transform("s", lambda x, i: F.struct(x["token"].alias("token"), x["c"].alias("c"), place(x, i).alias("at"))).alias("s"))
+    two = listed.select("node", "n", "room", F.filter("s", lambda x: x["at"] < F.col("room") + 2).alias("two")).filter(F.size("two") > 0)
+    return two.select("node", "n", "two", F.filter("two", lambda x: x["at"] < F.col("room") + 1).alias("one"))
 
 
 def boundary(prefixes: DataFrame) -> int:
