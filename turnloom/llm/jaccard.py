@@ -28,6 +28,7 @@ from turnloom.llm.tables import stored
 from turnloom.operators.components import components
 from turnloom.operators.ordering import first_wins
 
+MEETS = 4  # members of a list that one entry meets, at most, for the cost: most of a long list is one component after the first meeting
 LOW = np.uint64((1 << 64) // 5)
 
 
@@ -119,7 +120,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
 def boundary(prefixes: DataFrame) -> int:
     """Largest size of a small set: the one with the least subsets enumerated below and list entries scanned above."""
     s = F.size("two").cast("double")
-    scan = F.aggregate("one", F.lit(0.0), lambda t, x: t + x["c"])
+    scan = F.aggregate("one", F.lit(0.0), lambda t, x: t + F.least(x["c"], F.lit(MEETS)))
     rows = (
         prefixes.groupBy(F.floor(F.log2("n") * 4).cast("int").alias("bin"))
         .agg(F.max("n").alias("top"), F.sum(s * (s - 1) / 2).alias("small"), F.sum(scan).alias("large")).orderBy("bin").collect()
