@@ -19,9 +19,9 @@ def daily_counts(events: DataFrame, event: str, now: Column, days: int = 30) ->
 
 
 def sum_property(events: DataFrame, event: str, prop: str) -> DataFrame:
-    """Sum of a numeric property; texts and absent values do not count."""
+    """Sum of a numeric property; texts, truth values and absent values do not count."""
     field = F.try_variant_get(F.try_parse_json("properties"), f"$.{prop}", "variant")
-    numeric = F.when(F.schema_of_variant(field) != "STRING", F.try_variant_get(field, "$", "double"))
+    numeric = F.when(F.schema_of_variant(field).rlike("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"), F.try_variant_get(field, "$", "double"))
     return events.filter(F.col("event") == event).agg(F.coalesce(F.sum(numeric), F.lit(0.0)).alias("total"))
 
 

@@ -281,7 +281,7 @@ def f10_redact(spark, sf):
     return t.select("turn_id", F.md5(secrets.redact_text(F.col("content"))).alias("redacted"))
 
 
-_ASSIGNED = r"(?i)((?:token|secret|password|passwd|api_?key)[\"']?[ \t]*[:=][ \t]*[\"'])([^\"'\n \t]{12,200})([\"'])"
+_ASSIGNED = r"(?i)((?:token|secret|password|passwd|api_?key)[\"']?[ \t]*[:=][ \t]*[\"'])([^\"'\n \t]{12,})([\"'])"
 
 
 def a14_report(spark, sf):

@@ -41,6 +41,17 @@ class _Node:
             yield node
             stack.extend(c for c in reversed(node.children) if isinstance(c, _Node))
 
+    def within(self, tags: tuple[str, ...]) -> Iterator["_Node"]:
+        """Nodes of the tags below this one, in order, without what lies in an inner table."""
+        stack = list(reversed(self.children))
+        while stack:
+            node = stack.pop()
+            if isinstance(node, _Node):
+                if node.tag in tags:
+                    yield node
+                elif node.tag != "table":
+                    stack.extend(reversed(node.children))
+
     def text(self, breaks: bool = False) -> str:
         out, stack = [], [self]
         while stack:
@@ -95,17 +106,23 @@ def _language(pre: _Node) -> str:
     return (code.attrs.get("data-language", "") if code else "") or pre.attrs.get("data-language", "")
 
 
+def _span(value: str, most: int) -> int:
+    """A span attribute as a number; the HTML standard clamps it to `most`."""
+    digits = re.match(r"\s*\d+", value)
+    return min(max(1, int(digits.group())), most) if digits else 1
+
+
 def _grid(table: _Node) -> list[list[str]]:
     """Cells of a table with row and column spans filled in."""
     held: dict[tuple[int, int], str] = {}
     rows = []
-    for r, tr in enumerate(n for n in table.walk() if n.tag == "tr"):
+    for r, tr in enumerate(table.within(("tr",))):
         row: list[str] = []
-        for cell in (n for n in tr.walk() if n.tag in ("td", "th")):
+        for cell in tr.within(("td", "th")):
             while (r, len(row)) in held:
                 row.append(held[(r, len(row))])
             value = re.sub(r"\s+", " ", cell.text()).strip().replace("|", "\\|")
-            wide, tall = (max(1, int(m.group())) if (m := re.match(r"\d{1,3}", cell.attrs.get(k, ""))) else 1 for k in ("colspan", "rowspan"))
+            wide, tall = (_span(cell.attrs.get(k, ""), most) for k, most in (("colspan", 1000), ("rowspan", 65534)))
             for _ in range(wide):
                 held.update({(r + down, len(row)): value for down in range(1, tall)})
                 row.append(value)
