@@ -1,15 +1,19 @@
 """Size-aware similarity join of word-shingle sets.
 
-Sets are ordered by one global order of shingles: first the fifth with the
+Sets are ordered by one global order of shingles: first a share with the
 smallest hashes, rarest first, then the others, counted in the sets that need
-them (those whose fifth is too short), rarest first. Two sets whose overlap
+them (those whose share is too short), rarest first. The share is 5/3 of what a
+set may lack, so common shingles seldom come among the first. Two sets whose overlap
 reaches the wanted Jaccard similarity share at least k of the first
 n - ceil(t * n) + k shingles. Small sets enumerate all 2-subsets of those (k = 2),
 large sets are listed under each of those (k = 1); sets near the boundary do
 both, so no pair is missed. The boundary is chosen by the cost of both ways.
 
-Equal sets are one node. Members of a subset or list meet its smallest member
-first; components are formed; then only members of different components meet.
+Equal sets are one node. Members of a subset or list first meet its most typical
+member, the one with the fullest prefix of shared shingles; components are
+formed; then only members of different components meet. Pairs are sifted by
+parity bits: their Hamming distance is never above the number of shingles in one
+set only, so what it rejects cannot link.
 A group of near copies so costs a number of pairs in proportion to its size, and
 every pair that could join two components is compared exactly.
 """
@@ -29,7 +33,8 @@ from turnloom.operators.components import components
 from turnloom.operators.ordering import first_wins
 
 MEETS = 4  # members of a list that one entry meets, at most, for the cost: most of a long list is one component after the first meeting
-LOW = np.uint64((1 << 64) // 5)
+PARITY = 512  # bits
+_BITS = [f"__b{i}" for i in range(PARITY // 64)]
 
 
 def shingle_sets(block: Block, k: int) -> list[np.ndarray]:
@@ -56,6 +61,23 @@ def least_overlap(n: int | np.ndarray, percent: int):
     return -(-percent * n // 100)
 
 
+def low_hashes(percent: int) -> np.uint64:
+    """Hashes below this bound are the share that is ordered first."""
+    return np.uint64(min((1 << 64) - 1, (1 << 64) * (100 - percent) // 60))
+
+
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Is the number of shingles odd, by the last bits of the hash; as 64-bit words."""
+    odd = np.bincount((shingles % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def may_link(a: str, b: str, percent: int) -> Column:
+    """False only for rows a and b (n, parity bits) that cannot reach the similarity."""
+    apart = " + ".join(f"bit_count({a}.{c} ^ {b}.{c})" for c in _BITS)
+    return F.expr(f"least({a}.n, {b}.n) * 100 >= greatest({a}.n, {b}.n) * {percent} and ({apart}) * {100 + percent} <= ({a}.n + {b}.n) * {100 - percent}")
+
+
 def nodes(docs: DataFrame, keep: list[str], k: int) -> DataFrame:
     """The named columns with `__n` (set size) and `__node`."""
     chosen = docs.select(*keep, *([] if "text" in keep else [F.col("text").cast("string").alias("text")]))
@@ -70,7 +92,8 @@ def nodes(docs: DataFrame, keep: list[str], k: int) -> DataFrame:
 
 
 def _tokens(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(token, node, n, m, low): the fifth of smallest hashes of each set, and the whole set where a prefix needs more; m counts the fifth."""
+    """(token, node, n, m, low): the share of smallest hashes of each set, and the whole set where a prefix needs more; m counts the share."""
+    bound = low_hashes(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
@@ -87,7 +110,7 @@ def _tokens(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 if len(done) > 1_000_000:
                     done.clear()
                 done.add(name)
-                m = int(np.searchsorted(s, LOW))
+                m = int(np.searchsorted(s, bound))
                 take = m if m >= room + 2 else n
                 token.append(s[:take].astype(np.int64))
                 low.append(np.arange(take) < m)
@@ -104,7 +127,7 @@ def _tokens(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(node, n, one, two): shared tokens with their counts among the first shingles, for k = 1 and 2."""
+    """(node, n, one, two, typical): shared tokens with their counts among the first shingles, for k = 1 and 2, and how full of them the first are."""
     counted = _tokens(docs, k, percent).groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     shared = _tokens(docs, k, percent).join(counted, "token")
     per = shared.groupBy("node", "n", "m").agg(F.array_sort(F.collect_set(F.struct((~F.col("low")).alias("late"), "c", "token"))).alias("s"))
@@ -114,7 +137,8 @@ def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     room = F.expr(f"n - cast(ceil(n * {percent} / 100D - 1e-9) as int)")
     listed = per.select("node", "n", room.alias("room"), F.transform("s", lambda x, i: F.struct(x["token"].alias("token"), x["c"].alias("c"), place(x, i).alias("at"))).alias("s"))
     two = listed.select("node", "n", "room", F.filter("s", lambda x: x["at"] < F.col("room") + 2).alias("two")).filter(F.size("two") > 0)
-    return two.select("node", "n", "two", F.filter("two", lambda x: x["at"] < F.col("room") + 1).alias("one"))
+    full = F.shiftleft((F.size("two") * 1000 / (F.col("room") + 2)).cast("bigint"), 40) + F.col("node").bitwiseAND((1 << 40) - 1)  # ties by name
+    return two.select("node", "n", "two", F.filter("two", lambda x: x["at"] < F.col("room") + 1).alias("one"), full.alias("typical"))
 
 
 def boundary(prefixes: DataFrame) -> int:
@@ -134,28 +158,32 @@ def boundary(prefixes: DataFrame) -> int:
 
 
 def _buckets(prefixes: DataFrame, small: int, percent: int) -> DataFrame:
-    """(sig, node, n) for sigs of two nodes or more."""
-    lists = prefixes.filter(F.col("n") * 100 > small * percent).select(F.explode("one.token").alias("sig"), "node", "n").withColumn("kind", F.lit(1))
+    """(sig, node, n, center) for sigs of two nodes or more."""
+    lists = prefixes.filter(F.col("n") * 100 > small * percent).select(F.explode("one.token").alias("sig"), "node", "n", "typical").withColumn("kind", F.lit(1))
     tokens = F.array_sort("two.token")
     subsets = F.flatten(F.transform(tokens, lambda a: F.transform(F.filter(tokens, lambda b: b > a), lambda b: F.xxhash64(a, b))))
-    pairs = prefixes.filter(F.col("n") <= small).select(F.explode(subsets).alias("sig"), "node", "n").withColumn("kind", F.lit(2))
+    pairs = prefixes.filter(F.col("n") <= small).select(F.explode(subsets).alias("sig"), "node", "n", "typical").withColumn("kind", F.lit(2))
     rows = lists.unionByName(pairs)
-    many = rows.groupBy("sig", "kind").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
-    return rows.join(many.select("sig", "kind", F.col("lo").alias("center")), ["sig", "kind"]).select(F.xxhash64("sig", "kind").alias("sig"), "node", "n", "center")
+    many = rows.groupBy("sig", "kind").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max_by("node", "typical").alias("center")).filter("lo < hi")
+    return rows.join(many.select("sig", "kind", "center"), ["sig", "kind"]).select(F.xxhash64("sig", "kind").alias("sig"), "node", "n", "center")
 
 
 def _sets(docs: DataFrame, named: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, shingles) of the wanted nodes, made again from one text each."""
+    """(node, shingles, n, parity bits) of the wanted nodes, made again from one text each."""
     one = named.join(wanted, named["__node"] == wanted["node"], "left_semi").groupBy("__node").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"))).alias("d"))
     ids = one.select(F.col("d.doc_id").alias("__id"), F.col("__node").alias("__want"))
     rows = docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"])).select(F.col("text").cast("string").alias("text"), "__want")
 
     def work(block: Block) -> pa.RecordBatch:
         sets = shingle_sets(block, k)
-        return columns(block, ["__want"], node=np.array([node_of(s) for s in sets], np.int64), shingles=pa.array([s.tobytes() for s in sets], pa.binary()))
+        bits = np.array([parity(s) for s in sets], np.int64).reshape(-1, len(_BITS))
+        return columns(
+            block, ["__want"], node=np.array([node_of(s) for s in sets], np.int64), shingles=pa.array([s.tobytes() for s in sets], pa.binary()),
+            n=np.array([len(s) for s in sets], np.int64), **dict(zip(_BITS, bits.T)),
+        )
 
-    made = rows.mapInArrow(per_block(work), "__want bigint, node bigint, shingles binary")
-    return made.filter("node = __want").select("node", "shingles").dropDuplicates(["node"])
+    made = rows.mapInArrow(per_block(work), "__want bigint, node bigint, shingles binary, n bigint, " + ", ".join(f"{c} bigint" for c in _BITS))
+    return made.filter("node = __want").drop("__want").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -181,23 +209,23 @@ def linked(docs: DataFrame, named: DataFrame, k: int, percent: int) -> DataFrame
     prefixes = stored(_prefixes(docs, k, percent))
     buckets = stored(_buckets(prefixes, boundary(prefixes), percent))
     sets = stored(_sets(docs, named, buckets.select("node").distinct(), k))
-    close: Column = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    sizes = buckets.groupBy("node").agg(F.first("n").alias("n"))
-    with_sizes = lambda pairs: pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(
-        sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b"
-    ).filter(close).select("a", "b")
-    star = stored(with_sizes(buckets.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()))
+    marks = sets.select("node", "n", *_BITS)
+    pairs = buckets.filter("node <> center").select("center", "node").distinct()
+    met = pairs.join(marks.alias("x"), pairs["center"] == F.col("x.node")).join(marks.alias("y"), pairs["node"] == F.col("y.node"))
+    star = stored(met.filter(may_link("x", "y", percent)).select(F.col("center").alias("a"), F.col("y.node").alias("b")))
     edges = stored(_verified(star, sets, percent))
     roots = components(edges)
 
-    labelled = buckets.join(roots, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("root"))
+    labelled = buckets.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
     mixed = labelled.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig")
     rest = stored(labelled.join(mixed, "sig"))
     groups = rest.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c"))
     major = groups.groupBy("sig").agg(F.max_by("root", F.struct("c", "root")).alias("major"))
-    minor = rest.join(major, "sig").filter("root <> major").select("sig", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"))
-    met = minor.join(rest, "sig").filter((F.col("rx") != F.col("root")) & (F.least("nx", "n") * 100 >= F.greatest("nx", "n") * percent))
-    cross = met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    marked = rest.join(marks, "node")
+    minor = marked.join(major, "sig").filter("root <> major").drop("major")
+    across = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") != F.col("y.root")) & may_link("x", "y", percent)
+    met = minor.alias("x").join(marked.alias("y"), across)
+    cross = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = stored(_verified(stored(cross.join(tested, ["a", "b"], "left_anti")), sets, percent))
     return components(edges.union(more)) if not more.isEmpty() else roots
