@@ -151,6 +151,25 @@ def test_jaccard_components_equal_brute_force(docs, empty):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] in (6, 7, 8)) == [6]
 
 
+@pytest.mark.parametrize("k, percent, small", [(4, 85, 6), (5, 80, 4)])
+def test_jaccard_links_a_small_set_inside_a_larger_one(spark, k, percent, small):
+    """A set that may lack nothing itself still links to one with a shingle more."""
+    rows, want = [], []
+    for n in range(1, 12):
+        for extra in range(3):
+            text = [f"n{n}w{j}" for j in range(n + k - 1 + extra)]
+            rows.append((10 * n + extra, " ".join(text)))
+        reach = [e for e in (1, 2) if 100 * n >= percent * (n + e)]  # subsets of one another: the overlap is the smaller size
+        step = 100 * (n + 1) >= percent * (n + 2)
+        first = 10 * n
+        second = first if 1 in reach else first + 1
+        third = second if step or 2 in reach else first + 2
+        want += [(first, n, first), (first + 1, n + 1, second), (first + 2, n + 2, third)]
+    assert (10 * small + 1, small + 1, 10 * small) in want
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert key(tuple(r) for r in jaccard.join(table, k, percent).collect()) == key(want)
+
+
 def test_repeated_runs_of_lines_go(docs, empty):
     rows = lines.without_repeats(docs.select("doc_id", "text", F.lit(1).alias("keep"), F.lit(2).alias("digest"))).collect()
     by = collections.defaultdict(list)

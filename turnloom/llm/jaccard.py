@@ -102,8 +102,8 @@ def _tokens(docs: DataFrame, k: int, percent: int) -> DataFrame:
             for s in shingle_sets(block, k):
                 n = len(s)
                 room = n - int(least_overlap(n, percent))
-                if not room:
-                    continue  # links to equal sets only
+                if not room and 100 * n < percent * (n + 1):
+                    continue  # links to equal sets only: not even one further shingle is allowed on the other side
                 name = node_of(s)
                 if name in done:
                     continue
