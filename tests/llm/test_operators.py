@@ -181,6 +181,47 @@ def test_repeated_runs_of_lines_go(docs, empty):
     assert lines.without_repeats(empty).count() == 0
 
 
+def cut_runs(table, least):
+    """Texts by doc_id without the runs of `least` words or more that equal any earlier run; table: (doc_id, text) in order."""
+    before, out = [], {}
+    for i, t in table:
+        every = t.split("\n")
+        at = [j for j, x in enumerate(every) if WORD.search(x)]
+        own = [every[j] for j in at]
+        gone = set()
+        for a in range(len(own)):
+            for b in range(a, len(own)):
+                run = own[a : b + 1]
+                if sum(len(WORD.findall(x)) for x in run) < least:
+                    continue
+                for other in [*before, own[:a]]:
+                    if any(other[j : j + len(run)] == run for j in range(len(other) - len(run) + 1)):
+                        gone.update(range(a, b + 1))
+        runs = []
+        for j in sorted(gone):
+            if runs and runs[-1][1] == j - 1:
+                runs[-1][1] = j
+            else:
+                runs.append([j, j])
+        cut = {x for a, b in runs for x in range(at[a], at[b] + 1)}
+        out[i] = "\n".join(x for j, x in enumerate(every) if j not in cut)
+        before.append(own)
+    return out
+
+
+def test_every_line_of_a_repeated_run_goes(spark):
+    """Also the tail behind the last window, inside one document and against a place that is not the first."""
+    a, b, c = "a b c d e f", "g h i j", "k l"
+    table = [(1, "\n".join([a, b, c, "between", a, b, c])), (2, "first " + a + "\n" + b), (3, "second " + a + "\n" + b + "\n" + c + "\nend"), (4, "third\n" + "second " + a + "\n" + b + "\n" + c)]
+    rng = np.random.default_rng(11)
+    kinds = ["p", "q r", "s t u", "v w x y z", "", "1 2 3 4 5 6 7 8 9"]
+    table += [(10 + n, "\n".join(rng.choice(kinds, rng.integers(1, 16)))) for n in range(40)]
+    want = cut_runs(table, 8)
+    assert want[1] == "\n".join([a, b, c, "between"]) and want[4] == "third"
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["text"] for r in lines.without_repeats(docs, 8).collect()} == want
+
+
 def test_quality_counts_and_guarantee(spark, docs, empty):
     labels = spark.createDataFrame([(1, 1), (6, 1), (14, 0), (None, 1), (8, None)], "doc_id long, quality int")
     rows = quality.judge(docs, labels, ["doc_id", "text"]).collect()

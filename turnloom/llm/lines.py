@@ -1,10 +1,12 @@
-"""Line dedup by winnowing: later copies of runs of lines are deleted.
+"""Line dedup by windows of lines: later copies of runs of lines are deleted.
 
-A window starts at every line that has a word and is the shortest run of lines
-with at least `words` words. Its fingerprint is the smallest line hash in it,
-with a digest of the window. Any run of `words` words or more that occurs twice
-holds a whole window, so both places share a fingerprint. Every later place is
-joined with the first one and the match is extended both ways, line by line.
+At every line that has a word the shortest run of lines with at least `words`
+words starts, and another ends there. All these windows are joined by digest
+(with the smallest line hash beside it, as a second hash); no minima are
+selected. A run of `words` words or more that occurs twice is covered by the
+windows inside it: a line with `words` words from it to the end of the run by
+one that starts there, the lines behind by the one that ends with the run. So
+each window is held against its first place only and nothing is extended.
 
 Only DataFrame functions are used. Per line a row of hashes is shuffled; the
 texts are shuffled once, at the end.
@@ -12,7 +14,7 @@ texts are shuffled once, at the end.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,35 +32,28 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _windows(lines: DataFrame, words: int) -> DataFrame:
-    """One row per window: fingerprint, place (lines j to e), and the hashes of up to `words` lines before and after."""
-    length = f"aggregate(slice(a, j + 1, {words}), struct(0 as s, 0 as n), (t, x) -> if(t.s < {words}, struct(t.s + x.w as s, t.n + 1 as n), t))"
-    at = lines.select(*_KEY, "a", F.expr("explode(sequence(0, size(a) - 1)) as j")).withColumn("t", F.expr(length)).filter(f"t.s >= {words}")
-    cut = at.select(
-        *_KEY, "j", F.expr("j + t.n - 1").alias("e"),
-        F.expr("transform(slice(a, j + 1, t.n), x -> x.h)").alias("own"),
-        F.expr(f"reverse(transform(slice(a, greatest(j - {words}, 0) + 1, least(j, {words})), x -> x.h))").alias("before"),
-        F.expr(f"transform(slice(a, j + t.n + 1, {words}), x -> x.h)").alias("after"),
-    )
-    return cut.select(*_KEY, "j", "e", F.array_min("own").alias("print"), F.xxhash64("own").alias("digest"), "before", "after")
-
-
-def _equal_from_start(a: str, b: str) -> Column:
-    return F.expr(f"if(array_position(zip_with({a}, {b}, (x, y) -> x <=> y), false) > 0, array_position(zip_with({a}, {b}, (x, y) -> x <=> y), false) - 1, size({a}))")
+    """One row per window: place (lines j to e) and fingerprint, of the shortest windows that start and of those that end at each line."""
+    add = f"(t, x) -> if(t.s < {words}, struct(t.s + x.w as s, t.n + 1 as n), t)"
+    ahead = f"aggregate(slice(a, j + 1, {words}), struct(0 as s, 0 as n), {add})"
+    behind = f"aggregate(reverse(slice(a, greatest(j - {words - 1}, 0) + 1, least(j + 1, {words}))), struct(0 as s, 0 as n), {add})"
+    at = lines.select(*_KEY, "a", F.expr("explode(sequence(0, size(a) - 1)) as j")).withColumns({"t": F.expr(ahead), "b": F.expr(behind)})
+    # a window that ends here is no new one if it is also the shortest that starts at its first line: without this line it is too short
+    ends = f"if(b.s - a[j].w >= {words}, struct(j - b.n + 1 as j, j as e), null)"
+    spans = F.expr(f"explode(filter(array(if(t.s >= {words}, struct(j as j, j + t.n - 1 as e), null), {ends}), x -> x is not null)) as p")
+    cut = at.select(*_KEY, "a", spans).select(*_KEY, "p.j", "p.e", F.expr("transform(slice(a, p.j + 1, p.e - p.j + 1), x -> x.h)").alias("own"))
+    return cut.select(*_KEY, "j", "e", F.array_min("own").alias("print"), F.xxhash64("own").alias("digest"))
 
 
 def repeats(docs: DataFrame, words: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(lines, runs): the worded lines, and the runs (from, to) of each document that repeat an earlier place."""
+    """(lines, runs): the worded lines, and the windows (from, to) of each document that repeat an earlier place."""
     lines = stored(_lines(docs))
     found = stored(_windows(lines, words))
-    place = F.struct(F.col("__id").isNull().alias("no"), "__id", "__text", "j", "e", "before", "after")
+    place = F.struct(F.col("__id").isNull().alias("no"), "__id", "__text", "j", "e")
     firsts = found.groupBy("print", "digest").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     met = found.join(firsts.select("print", "digest", "f"), ["print", "digest"])
     same = F.col("__id").eqNullSafe(F.col("f.__id")) & (F.col("__text") == F.col("f.__text"))
-    later = met.withColumn("same", same).filter("not same or j > f.e")
-    runs = later.withColumn("back", F.when(F.col("same"), 0).otherwise(_equal_from_start("before", "f.before"))).withColumn(
-        "on", F.when(F.col("same"), 0).otherwise(_equal_from_start("after", "f.after"))
-    )
-    return lines, runs.select(*_KEY, (F.col("j") - F.col("back")).cast("int").alias("from"), (F.col("e") + F.col("on")).cast("int").alias("to"))
+    later = met.filter(~same | (F.col("j") > F.col("f.e")))
+    return lines, later.select(*_KEY, F.col("j").cast("int").alias("from"), F.col("e").cast("int").alias("to"))
 
 
 def _kept(lines: DataFrame, runs: DataFrame) -> DataFrame:
