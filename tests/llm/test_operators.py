@@ -245,6 +245,24 @@ def test_quality_counts_and_guarantee(spark, docs, empty):
     assert abs(quality.tail(10, 1, 0.1) - (0.9**10 + 10 * 0.1 * 0.9**9)) < 1e-12
 
 
+def test_small_languages_get_a_cutoff_within_the_allowed_share(spark):
+    rows, labels = [], []
+    for n, lang in enumerate(("en", "es", "fr", "de")):
+        for i in range(320):
+            d = 1000 * n + i
+            text = [f"{lang}{i}x{j}" for j in range(20)]
+            good = i % 8 != 0
+            if not good or lang == "fr" and i % 8 == 1:  # in fr a seventh of the good ones look like the bad
+                text[::2] = [x + "##" for x in text[::2]]
+            rows.append((d, " ".join(text), lang))
+            labels.append((d, int(good)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["__kept"] for r in quality.judge(table, spark.createDataFrame(labels, "doc_id long, quality int"), ["doc_id"]).collect()}
+    lost = collections.Counter(rows[k][2] for k, (d, q) in enumerate(labels) if q and not got[d])
+    stay = collections.Counter(rows[k][2] for k, (d, q) in enumerate(labels) if not q and got[d])
+    assert not lost and stay == {"fr": 40}
+
+
 def test_language_profiles(spark, docs, empty):
     en, de = "the thing and the other thing with that", "der und die schlicht keit ung nicht ein"
     train = spark.createDataFrame([(en, "en"), (de, "de"), (en, None), (None, "en")], "text string, lang string")

@@ -1,18 +1,19 @@
 """Quality rules whose cutoffs carry a guarantee on labelled holdouts.
 
-Each rule rejects documents whose value lies above a cutoff. Per stratum and
-rule, cutoffs are tested from the loosest to the strictest: a cutoff stands
-while an exact binomial test shows that it rejects less than the allowed share
-of good documents. The level is split over all rules and strata, and the
-allowed share over the rules, so with probability 1 - `delta` no stratum loses
-more than `allowed` of its good documents. Among cutoffs that stand, the one
-that parts bad from good best is used; a rule that gains nothing is off.
+Each rule rejects documents whose value lies above a cutoff. Half of the labelled
+documents of a stratum choose one sequence of sets of cutoffs, from the loosest
+to the strictest, rule after rule. The other half tests it: a set stands while
+an exact binomial test shows that all its rules together reject less than the
+allowed share of good documents, and the first that does not ends the sequence.
+Only the level is split, over the strata, so with probability 1 - `delta` no
+stratum loses more than `allowed` of its good documents. Among the sets that
+stand, the one that parts bad from good best is used; what gains nothing is off.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -103,55 +104,94 @@ def tail(n: int, k: int, p: float) -> float:
     return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
 
 
-def best_cutoff(good: np.ndarray, bad: np.ndarray, allowed: float, level: float) -> float:
-    """Cutoff for one rule and stratum from the numbers of good and bad documents by step (index: smallest step at or above the value)."""
+def _best_step(good: np.ndarray, bad: np.ndarray, stands: Callable[[int, int], bool]) -> int:
+    """Of the cutoffs from the loosest on that stand, the one that parts bad from good best; cutoff i rejects what is counted above i, the last one nothing."""
     n_good, n_bad = int(good.sum()), int(bad.sum())
-    best, gain = math.inf, 0.0
-    for step in range(STEPS, -1, -1):  # cutoff step / STEPS rejects the values of higher steps
+    best, gain = len(good) - 1, 0.0
+    for step in range(len(good) - 2, -1, -1):
         lost, won = int(good[step + 1 :].sum()), int(bad[step + 1 :].sum())
-        if not n_good or lost > allowed * n_good or tail(n_good, lost, allowed) > level:
+        if not n_good or not stands(n_good, lost):
             break
         if n_bad and won / n_bad - 20 * lost / n_good > gain:
-            best, gain = step / STEPS, won / n_bad - 20 * lost / n_good
+            best, gain = step, won / n_bad - 20 * lost / n_good
     return best
 
 
+def _certified(allowed: float, level: float) -> Callable[[int, int], bool]:
+    return lambda n, lost: lost <= allowed * n and tail(n, lost, allowed) <= level
+
+
+def best_cutoff(good: np.ndarray, bad: np.ndarray, allowed: float, level: float) -> float:
+    """Cutoff for one sequence of STEPS from the numbers of good and bad documents by step (index: smallest step at or above the value)."""
+    step = _best_step(good, bad, _certified(allowed, level))
+    return step / STEPS if step <= STEPS else math.inf
+
+
+def sequence(good: np.ndarray, bad: np.ndarray, allowed: float) -> list[tuple[int, int]]:
+    """Moves (rule, step) that tighten the cutoffs one by one, from counts [rule, step] of the learning half.
+
+    The rule that parts bad from good best comes first, down to its best cutoff, then the next.
+    """
+    moves, n_good, n_bad = [], max(1, int(good[0].sum())), max(1, int(bad[0].sum()))
+    for rule in range(len(good)):
+        best = _best_step(good[rule], bad[rule], lambda n, lost: lost <= allowed * n)
+        won, lost = int(bad[rule][best + 1 :].sum()), int(good[rule][best + 1 :].sum())
+        moves += [(lost / n_good * 20 - won / n_bad, rule, -s) for s in range(STEPS, best - 1, -1) if bad[rule][s + 1]]
+    return [(rule, -s) for _, rule, s in sorted(moves)]
+
+
 def cutoffs(values: DataFrame, labels: DataFrame, stratum: str, allowed: float, delta: float) -> DataFrame:
     """`stratum`, one cutoff column per rule, from the labelled documents of `values`.
 
-    values(doc_id, stratum, rule columns); labels(doc_id, quality), where 1 is good and
-    null or other values are not used. A document labelled both ways is not used.
+    values(doc_id, stratum, rule columns, __base_failed); labels(doc_id, quality), where 1 is good and
+    null or other values are not used. A document labelled both ways is not used. Half
+    of the ids choose the sequence of each stratum, the others test it. Bad documents
+    that the base rules reject count as no gain.
     """
     known = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("__lo"), F.max("quality").alias("__hi"))
-    joined = values.join(known.filter("__lo = __hi").select("doc_id", F.col("__lo").alias("__good")), "doc_id")
-    steps = F.array(*[F.struct(F.lit(r).alias("rule"), F.ceil(F.col(r) * STEPS).cast("int").alias("step")) for r in RULES])
-    table = (
-        joined.select(stratum, "__good", F.explode(steps).alias("s"))
-        .groupBy(stratum, "s.rule", "s.step").agg(F.sum("__good").alias("good"), F.sum(1 - F.col("__good")).alias("bad"))
-    )
-    table = table.withColumn("__strata", F.lit(max(1, joined.select(stratum).distinct().count())))
+    steps = F.array(*[F.ceil(F.col(r) * STEPS).cast("int") for r in RULES])
+    joined = values.join(known.filter("__lo = __hi").select("doc_id", F.col("__lo").alias("__good")), "doc_id").filter("__good = 1 or not __base_failed")
+    joined = stored(joined.select(stratum, "__good", (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).alias("__learn"), steps.alias("__steps")))
+    sums = [F.sum("__good").alias("good"), F.sum(1 - F.col("__good")).alias("bad")]
+    table = joined.filter("__learn").select(stratum, "__good", F.posexplode("__steps").alias("rule", "step")).groupBy(stratum, "rule", "step").agg(*sums)
+    strata = max(1, joined.select(stratum).distinct().count())
     names = list(RULES)
 
+    def order(rows: pd.DataFrame) -> pd.DataFrame:
+        good, bad = np.zeros((len(names), STEPS + 2), np.int64), np.zeros((len(names), STEPS + 2), np.int64)
+        at = (rows["rule"].to_numpy(int), rows["step"].to_numpy(int))
+        np.add.at(good, at, rows["good"].to_numpy(int))
+        np.add.at(bad, at, rows["bad"].to_numpy(int))
+        moves = sequence(good, bad, allowed)
+        return pd.DataFrame([{stratum: rows[stratum].iloc[0], "rules": [r for r, _ in moves], "ends": [s for _, s in moves]}])
+
+    moves = stored(table.groupBy(stratum).applyInPandas(order, f"`{stratum}` string, rules array<int>, ends array<int>").filter("size(rules) > 0"))
+    held = joined.filter("not __learn").join(F.broadcast(moves) if moves.count() <= SMALL else moves, stratum)
+    # how many of the moves, counted from the last, reject the document by any rule
+    depth = F.expr("array_max(transform(rules, (r, i) -> if(__steps[r] > ends[i], size(rules) - i, 0))) as depth")
+    tested = held.select(stratum, "__good", depth).groupBy(stratum, "depth").agg(*sums).join(moves, stratum)
+
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        level = delta / (len(names) * int(rows["__strata"].iloc[0]))
-        out = {stratum: rows[stratum].iloc[0]}
-        for rule in names:
-            own = rows[rows["rule"] == rule]
-            good, bad = np.zeros(STEPS + 2, np.int64), np.zeros(STEPS + 2, np.int64)
-            np.add.at(good, own["step"].to_numpy(int), own["good"].to_numpy(int))
-            np.add.at(bad, own["step"].to_numpy(int), own["bad"].to_numpy(int))
-            out[f"__cut_{rule}"] = best_cutoff(good, bad, allowed / len(names), level)
-        return pd.DataFrame([out])
+        rules, ends = rows["rules"].iloc[0], rows["ends"].iloc[0]
+        good, bad = np.zeros(len(rules) + 2, np.int64), np.zeros(len(rules) + 2, np.int64)
+        np.add.at(good, rows["depth"].to_numpy(int), rows["good"].to_numpy(int))
+        np.add.at(bad, rows["depth"].to_numpy(int), rows["bad"].to_numpy(int))
+        taken = max(0, len(rules) - _best_step(good, bad, _certified(allowed, delta / strata)))
+        out = {f"__cut_{r}": math.inf for r in names}
+        for rule, end in list(zip(rules, ends))[:taken]:
+            out[f"__cut_{names[rule]}"] = end / STEPS
+        return pd.DataFrame([{stratum: rows[stratum].iloc[0], **out}])
 
     schema = f"`{stratum}` string, " + ", ".join(f"__cut_{r} double" for r in names)
-    return table.groupBy(stratum).applyInPandas(choose, schema)
+    return tested.groupBy(stratum).applyInPandas(choose, schema)
 
 
 SMALL = 10_000  # strata
 
 def _valued(rows: DataFrame) -> DataFrame:
     stratum = F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit("null"))
-    return rows.withColumn("__stratum", stratum).withColumns({f"__r_{r}": F.expr(e) for r, e in RULES.items()})
+    base = (F.col("__n_words") < 10) | (100 * F.col("__n_repeat_words") > 20 * F.col("__n_words"))
+    return rows.withColumn("__stratum", stratum).withColumn("__base_failed", base).withColumns({f"__r_{r}": F.expr(e) for r, e in RULES.items()})
 
 
 def judge(docs: DataFrame, labels: DataFrame, keep: Sequence[str], allowed: float = 0.03, delta: float = 0.1) -> DataFrame:
@@ -163,12 +203,11 @@ def judge(docs: DataFrame, labels: DataFrame, keep: Sequence[str], allowed: floa
     """
     carried = list(dict.fromkeys([*keep, "doc_id", "lang"]))
     narrow = _valued(stored(measured(docs, ["doc_id", "lang"])))
-    chosen = stored(cutoffs(narrow.selectExpr("doc_id", "__stratum", *[f"__r_{r} as `{r}`" for r in RULES]), labels.select("doc_id", "quality"), "__stratum", allowed, delta))
+    chosen = stored(cutoffs(narrow.selectExpr("doc_id", "__stratum", "__base_failed", *[f"__r_{r} as `{r}`" for r in RULES]), labels.select("doc_id", "quality"), "__stratum", allowed, delta))
     chosen = F.broadcast(chosen) if chosen.count() <= SMALL else chosen
     rows = narrow if set(carried) <= {"doc_id", "lang"} else _valued(measured(docs, carried))
-    base = (F.col("__n_words") < 10) | (100 * F.col("__n_repeat_words") > 20 * F.col("__n_words"))
     rejected = F.lit(False)
     for r in RULES:
         rejected = rejected | (F.col(f"__r_{r}") > F.coalesce(F.col(f"__cut_{r}"), F.lit(math.inf)))
-    out = rows.join(chosen, "__stratum", "left").withColumn("__base_failed", base).withColumn("__kept", ~base & ~rejected)
+    out = rows.join(chosen, "__stratum", "left").withColumn("__kept", ~F.col("__base_failed") & ~rejected)
     return out.select(*carried, *[f"__{c}" for c in _COUNTS], "__base_failed", "__kept")
