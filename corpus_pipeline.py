@@ -21,10 +21,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or unlike every language of the corpus (cosine not above 0), go."""
+    """Documents without a letter, or less like their nearest language than any good document that it names, go.
+
+    The cosine must reach the lowest of the documents labelled good that have the same
+    nearest language, and `language.NOISE` in any case.
+    """
     names, vectors = language.prototypes(docs)
-    known = language.identify(docs, names, vectors, docs.columns)
-    return known.filter("__lang <> 'und' and __score > 0.5").select(*docs.columns)
+    known = stored(language.identify(docs, names, vectors, docs.columns))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")
+    lowest = known.join(good, "doc_id", "left_semi").groupBy("__lang").agg(F.min("__score").alias("__least"))
+    least = F.greatest(F.lit((1 + language.NOISE) / 2), F.coalesce("__least", F.lit(0.0)))
+    rows = known.join(F.broadcast(lowest), "__lang", "left")  # a row per language
+    return rows.filter((F.col("__lang") != "und") & (F.col("__score") >= least)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

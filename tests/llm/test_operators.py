@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from turnloom.llm import attention as A
 from turnloom.llm import cutting, jaccard, language, lines, neighbours, packing, pieces, quality, scoring, sharding, toxicity
 from turnloom.llm.queries import tokenizer_path
@@ -263,6 +264,20 @@ def test_small_languages_get_a_cutoff_within_the_allowed_share(spark):
     assert not lost and stay == {"fr": 40}
 
 
+def test_text_in_no_language_of_the_corpus_goes(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    lists = {lang: ["".join(rng.choice(list(letters), rng.integers(2, 9))) for _ in range(150)] for lang, letters in (("en", "etaoinshrdl"), ("de", "enisratdhulcgmäü"))}
+    rows = [(i, " ".join(rng.choice(lists[lang], 40)), lang) for i, lang in enumerate(["en", "de"] * 40)]
+    other = {"greek": "αβγδεζηθικλμνξοπρστυφχψω", "latin": "abcdefghijklmnopqrstuvwxyz", "han": [chr(0x4E00 + i) for i in range(3000)]}
+    strange = [(1000 + i, " ".join("".join(rng.choice(list(other[k]), 6)) for _ in range(40)), None) for i, k in enumerate(sorted(other) * 20)]
+    strange += [(2000, "123 !!", None), (2001, None, "en")]
+    table = spark.createDataFrame(rows + strange, "doc_id long, text string, lang string")
+    spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(80)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.language_id(spark, table, str(tmp_path))
+    got = {r["doc_id"] for r in kept.collect()}
+    assert kept.columns == table.columns and got >= {i for i in range(80) if i % 3} and not got & {r[0] for r in strange} and len(got) >= 76
+
+
 def test_language_profiles(spark, docs, empty):
     en, de = "the thing and the other thing with that", "der und die schlicht keit ung nicht ein"
     train = spark.createDataFrame([(en, "en"), (de, "de"), (en, None), (None, "en")], "text string, lang string")

@@ -22,6 +22,7 @@ DIM = 512
 N = 3
 BOUNDARY = 0x20
 ROWS = 48  # documents per matrix product
+NOISE = 3 / DIM**0.5  # cosines of unlike texts have a standard deviation of about 1 / sqrt(DIM)
 
 
 @lru_cache(maxsize=1)
