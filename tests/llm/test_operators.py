@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from turnloom.llm import attention as A
 from turnloom.llm import cutting, jaccard, language, lines, neighbours, packing, pieces, quality, scoring, sharding, toxicity
-from turnloom.llm.queries import tokenizer_path
+from turnloom.llm.queries import NEAREST, tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = {i: i + 32 for i in range(65, 91)}
@@ -366,6 +366,22 @@ def test_neighbours_equal_brute_force(spark):
     assert neighbours.search(table.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_neighbours_keep_rows_that_repeat_an_id(spark):
+    """The SQL over different rows, whatever the blocks."""
+    import duckdb
+
+    rng = np.random.default_rng(6)
+    rows = [(int(i), [float(x) for x in rng.standard_normal(8)]) for i in [*range(90), *range(0, 90, 3), *range(0, 90, 9)]]
+    con = duckdb.connect()
+    con.execute("create table embeddings(vec_id bigint, embedding double[])")
+    con.executemany("insert into embeddings values (?, ?)", rows)
+    want = [(q, r, v, round(s, 9)) for q, r, v, s in con.execute(NEAREST.replace("% 100", "% 20")).fetchall()]
+    table = spark.createDataFrame(rows + rows[:40], "vec_id long, embedding array<double>").repartition(3)
+    for size in (16, 1000):
+        got = neighbours.search(table, F.col("vec_id") % 20 == 0, 10, block_rows=size).collect()
+        assert key((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got) == key(want)
+
+
 def test_native_operators_hold_no_python(docs):
     for df in (sharding.place(docs, 8), lines.without_repeats(docs)):
         plan = df._jdf.queryExecution().executedPlan().toString()
