@@ -61,7 +61,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-ORACLE_SQL = None  # the language profiles and the packing are not SQL; tests hold each stage against a plain version
+ORACLE_SQL = None  # the language profiles and the packing are not SQL; tests hold the operators and language_id against plain versions, run() as a whole not yet
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
