@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import jaccard, language, lines, neighbours, packing, pieces, quality, scoring, sharding, toxicity
+from turnloom.llm import fingerprints, jaccard, language, lines, neighbours, packing, pieces, quality, scoring, sharding, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -73,6 +73,10 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.search(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.join(table(spark, sf), k=3, segments=16)
+
+
 NEAREST = """with v as (select vec_id, embedding::double[] as e from embeddings where vec_id is not null and embedding is not null
   and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
 d as (select q.vec_id as query_id, c.vec_id, list_distance(q.e, c.e) as score from v q join v c on q.vec_id <> c.vec_id and q.vec_id % 100 = 0)
@@ -90,4 +94,5 @@ QUERIES = {
     "op8_quality": (op8, None),
     "op9_language": (op9, None),
     "op10_neighbours": (op10, NEAREST),
+    "op11_simhash": (op11, None),
 }
