@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import fingerprints, jaccard, language, lines, neighbours, packing, pieces, quality, scoring, sharding, toxicity, vectorcodes
+from turnloom.llm import fingerprints, jaccard, language, lines, neighbours, packing, pieces, quality, repair, scoring, sharding, toxicity, vectorcodes
 
 
 def tokenizer_path(name: str) -> str:
@@ -81,6 +81,11 @@ def op12(spark: SparkSession, sf: str) -> DataFrame:
     return vectorcodes.compress(table(spark, sf, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
 
 
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations")
+    return repair.repair(repair.damage(rows), rows)
+
+
 NEAREST = """with v as (select vec_id, embedding::double[] as e from embeddings where vec_id is not null and embedding is not null
   and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
 d as (select q.vec_id as query_id, c.vec_id, list_distance(q.e, c.e) as score from v q join v c on q.vec_id <> c.vec_id and q.vec_id % 100 = 0)
@@ -100,4 +105,5 @@ QUERIES = {
     "op10_neighbours": (op10, NEAREST),
     "op11_simhash": (op11, None),
     "op12_codes": (op12, vectorcodes.rounds_sql(rounds=6, parts=8, entries=16, scale=4096)),
+    "op13_repair": (op13, None),
 }
