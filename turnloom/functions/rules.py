@@ -66,11 +66,8 @@ LINK = rf"(!?)\[([^\]\n]{{1,200}})\]\((https?://[^{WS_CHARS})]+)\)"
 BARE_URL = rf"https?://[^{WS_CHARS}<>()\[\]\"'`]+"
 LIST_MARKER = rf"^(?:[-*•]|\d{{1,3}}[.)]){WS}+"
 LETTERS = r"[A-Za-z\x{00C0}-\x{FFFF}]{2}|[\x{10000}-\x{10FFFF}]"
-# What ends a piece: white space after a sentence mark, or a line end. A mark put
-# after each cut makes the pieces tile the text, so offsets are sums of lengths.
+# What ends a piece: white space after a sentence mark, or a line end.
 CUT = r"([.!?][" + WS_CHARS.replace(r"\n", "") + r"]+|\n)"
-CUT_MARK = "\uffff"
-CUT_MARK_SAFE = "\ufffe"
 
 # Hint sets of the rule summary: a sentence scores one point per pattern hit.
 DECISION_HINTS = (

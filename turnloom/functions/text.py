@@ -6,6 +6,8 @@ convert to UTF-16 units where a document leaves it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -144,20 +146,74 @@ def fence(code: Column, language: Column) -> Column:
     return F.concat(ticks, shown, F.lit("\n"), code, F.lit("\n"), ticks)
 
 
-def spans(text: Column, matches: Column, whole) -> Column:
-    """Start offset of each match, left to right, as array<int>.
+# Tiles: a text is cut once, at marks put around or behind the matches of a pattern, so that
+# the pieces joined are the text and every offset is a sum of lengths. U+FFFF marks the cuts;
+# where a text holds it (or U+FFFE), both are spelled with U+FFFE and a digit while it is cut.
+MARK, ESCAPE = "\uffff", "\ufffe"
+BLOCK = 256  # elements summed in one fold; folds copy what they have gathered
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _escape(c: Column) -> Column:
+    spelled = F.replace(F.replace(c, F.lit(ESCAPE), F.lit(ESCAPE + "0")), F.lit(MARK), F.lit(ESCAPE + "1"))
+    return F.when(F.contains(c, F.lit(MARK)) | F.contains(c, F.lit(ESCAPE)), spelled).otherwise(c)
+
+
+def _unescape(c: Column) -> Column:
+    plain = F.replace(F.replace(c, F.lit(ESCAPE + "1"), F.lit(MARK)), F.lit(ESCAPE + "0"), F.lit(ESCAPE))
+    return F.when(F.contains(c, F.lit(ESCAPE)), plain).otherwise(c)
+
+
+def _split(marked: Column) -> Column:
+    return F.transform(F.split(marked, MARK), _unescape)
+
+
+def running_sums(sizes: Column) -> Column:
+    """The sum of the elements before each one: array<int>, in time proportional to the array.
 
-    `matches` comes from `regexp_extract_all` over `text`; `whole(m)` is the
-    full matched text of one element.
+    Blocks of `BLOCK` elements are summed on their own and moved by the sums of the blocks before.
     """
+    zero = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("sum"))
+
+    def add(acc, n):
+        return F.struct(F.concat(acc["out"], F.array(acc["sum"])).alias("out"), (acc["sum"] + n).cast("int").alias("sum"))
+
+    def moved(blocks):
+        firsts = F.aggregate(blocks, zero, lambda acc, b: add(acc, b["sum"]), lambda acc: acc["out"])
+        return let(firsts, lambda s: F.flatten(F.transform(blocks, lambda b, i: F.transform(b["out"], lambda x: x + F.get(s, i)))))
+
+    def summed(n):
+        last = F.floor((F.size(n) - 1) / F.lit(BLOCK)).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.aggregate(F.slice(n, i * BLOCK + 1, F.lit(BLOCK)), zero, add))
+        return F.when(F.size(n) <= BLOCK, F.aggregate(n, zero, add, lambda acc: acc["out"])).otherwise(let(blocks, moved))
+
+    return let(sizes, summed)
+
+
+def _placed(pieces: Column) -> Column:
+    """array<struct<text, start>> of pieces that tile a text."""
+
+    def place(p):
+        return F.zip_with(p, running_sums(F.transform(p, F.length)), lambda t, at: F.struct(t.alias("text"), at.alias("start")))
+
+    return let(pieces, place)
+
+
+def tiles(text: Column, pattern: str) -> Column:
+    """array<struct<text, start, hit>>: the matches of a pattern (never empty ones) and what lies between, in order."""
+    marked = F.regexp_replace(_escape(text), pattern, f"{MARK}$0{MARK}")
+    return F.transform(_placed(_split(marked)), lambda t, i: F.struct(t["text"], t["start"], (i % 2 == 1).alias("hit")))
+
 
-    def step(acc, m):
-        at = F.call_function("locate", whole(m), text, acc["pos"])
-        return F.struct(
-            F.concat(acc["out"], F.array((at - 1).cast("int"))).alias("out"),
-            (at + F.length(whole(m))).cast("int").alias("pos"),
-        )
+def matches(text: Column, pattern: str) -> Column:
+    """array<struct<text, start, hit>> of the matches alone."""
+    return F.filter(tiles(text, pattern), lambda t: t["hit"])
 
-    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(1).alias("pos"))
-    return F.aggregate(matches, start, step, lambda acc: acc["out"])
 
+def cut_behind(text: Column, pattern: str) -> Column:
+    """array<struct<text, start>>: the text cut behind every match of the first group of `pattern`."""
+    return _placed(_split(F.regexp_replace(_escape(text), pattern, "$1" + MARK)))

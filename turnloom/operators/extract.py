@@ -35,30 +35,19 @@ def _draft(**values) -> Column:
 # -- structure ---------------------------------------------------------------
 
 
-def _fence_parts(content: Column) -> Column:
-    return F.arrays_zip(
-        F.regexp_extract_all(content, F.lit(R.FENCE), F.lit(0)).alias("whole"),
-        F.regexp_extract_all(content, F.lit(R.FENCE), F.lit(1)).alias("info"),
-        F.regexp_extract_all(content, F.lit(R.FENCE), F.lit(2)).alias("body"),
-    )
-
-
 def _has_fence(content: Column) -> Column:
     return F.contains(content, F.lit("```"))
 
 
 def fenced_blocks(content: Column) -> Column:
     """array<struct<start, end, info, body>> of the fenced blocks of a text."""
-    parts = _fence_parts(content)
-    starts = X.spans(content, parts, lambda m: m["whole"])
-    blocks = F.zip_with(
-        parts,
-        starts,
-        lambda p, at: F.struct(
-            at.alias("start"),
-            (at + F.length(p["whole"])).cast("int").alias("end"),
-            X.strip(p["info"]).alias("info"),
-            F.regexp_replace(p["body"], r"\n\z", "").alias("body"),
+    blocks = F.transform(
+        X.matches(content, R.FENCE),
+        lambda m: F.struct(
+            m["start"].alias("start"),
+            (m["start"] + F.length(m["text"])).cast("int").alias("end"),
+            X.strip(F.regexp_extract(m["text"], R.FENCE, 1)).alias("info"),
+            F.regexp_replace(F.regexp_extract(m["text"], R.FENCE, 2), r"\n\z", "").alias("body"),
         ),
     )
     empty = F.array().cast("array<struct<start:int,end:int,info:string,body:string>>")
@@ -67,21 +56,10 @@ def fenced_blocks(content: Column) -> Column:
 
 def mask_fences(content: Column) -> Column:
     """The text with fenced blocks blanked and every offset unchanged."""
-    parts = _fence_parts(content)
-
-    def blank(acc, m):
-        at = F.call_function("locate", m["whole"], acc["text"], acc["pos"])
-        return F.struct(
-            F.overlay(
-                acc["text"], F.regexp_replace(m["whole"], r"[^\n]", " "), at, F.length(m["whole"])
-            ).alias("text"),
-            (at + F.length(m["whole"])).cast("int").alias("pos"),
-        )
-
-    masked = F.aggregate(
-        parts, F.struct(content.alias("text"), F.lit(1).alias("pos")), blank, lambda acc: acc["text"]
+    blanked = F.transform(
+        X.tiles(content, R.FENCE), lambda t: F.when(t["hit"], F.regexp_replace(t["text"], r"[^\n]", " ")).otherwise(t["text"])
     )
-    return F.when(_has_fence(content), masked).otherwise(content)
+    return F.when(_has_fence(content), F.array_join(blanked, "")).otherwise(content)
 
 
 def segments(prose: Column, keep: Callable[[Column], Column] | None = None) -> Column:
@@ -89,30 +67,16 @@ def segments(prose: Column, keep: Callable[[Column], Column] | None = None) -> C
 
     `keep` may drop pieces early; it sees the raw piece.
     """
-    safe = F.translate(prose, R.CUT_MARK, R.CUT_MARK_SAFE)
-    pieces = F.split(F.regexp_replace(safe, R.CUT, "$1" + R.CUT_MARK), R.CUT_MARK)
-    wanted = keep or (lambda p: F.lit(True))
-
-    def step(acc, piece):
-        here = F.array(F.struct(piece.alias("piece"), acc["pos"].alias("at")))
-        return F.struct(
-            F.when(wanted(piece), F.concat(acc["out"], here)).otherwise(acc["out"]).alias("out"),
-            (acc["pos"] + F.length(piece)).cast("int").alias("pos"),
-        )
-
-    placed = F.aggregate(
-        pieces,
-        F.struct(F.array().cast("array<struct<piece:string,at:int>>").alias("out"), F.lit(0).alias("pos")),
-        step,
-        lambda acc: acc["out"],
-    )
+    placed = X.cut_behind(prose, R.CUT)
+    if keep:
+        placed = F.filter(placed, lambda p: keep(p["text"]))
 
     def shape(p):
-        body = X.strip(p["piece"])
+        body = X.strip(p["text"])
         marker = F.length(F.regexp_extract(body, R.LIST_MARKER, 0))
-        lead = F.length(F.regexp_extract(p["piece"], f"^{X.WS}*", 0))
+        lead = F.length(F.regexp_extract(p["text"], f"^{X.WS}*", 0))
         text = F.substring(body, marker + 1, F.length(body))
-        start = (p["at"] + lead + marker).cast("int")
+        start = (p["start"] + lead + marker).cast("int")
         return F.struct(
             text.alias("text"), start.alias("start"), (start + F.length(text)).cast("int").alias("end")
         )
@@ -156,32 +120,20 @@ def code_drafts(t: "TurnColumns") -> Column:
 def reference_drafts(t: "TurnColumns") -> Column:
     """Markdown links first, then bare URLs that do not start inside a link or image."""
     prose = t.prose
-    found = F.arrays_zip(
-        *[
-            F.regexp_extract_all(prose, F.lit(R.LINK), F.lit(i)).alias(n)
-            for i, n in enumerate(("whole", "bang", "label", "url"))
-        ]
-    )
-    starts = X.spans(prose, found, lambda m: m["whole"])
-    links = F.zip_with(
-        found,
-        starts,
-        lambda m, at: F.struct(
-            m["bang"].alias("bang"),
-            m["label"].alias("label"),
-            m["url"].alias("url"),
-            at.alias("start"),
-            (at + F.length(m["whole"])).cast("int").alias("end"),
-        ),
-    )
-    raw = F.regexp_extract_all(prose, F.lit(f"({R.BARE_URL})"), F.lit(1))
-    bare = F.zip_with(
-        raw, X.spans(prose, raw, lambda m: m), lambda u, at: F.struct(u.alias("url"), at.alias("start"))
-    )
-    free = F.filter(
-        bare,
-        lambda u: ~F.exists(links, lambda k: (u["start"] >= k["start"]) & (u["start"] < k["end"])),
-    )
+
+    def link(m):
+        part = lambda i: F.regexp_extract(m["text"], R.LINK, i)
+        return F.struct(
+            part(1).alias("bang"), part(2).alias("label"), part(3).alias("url"), m["start"].alias("start"),
+            (m["start"] + F.length(m["text"])).cast("int").alias("end"),
+        )
+
+    # links blanked but for the "!" in front, which may end a bare URL: no URL starts inside a link then
+    blank = lambda s: F.concat(F.regexp_extract(s, "^!?", 0), F.repeat(F.lit(" "), F.length(F.regexp_replace(s, "^!", ""))))
+    cut = X.tiles(prose, R.LINK)
+    links = F.transform(F.filter(cut, lambda m: m["hit"]), link)
+    unlinked = F.array_join(F.transform(cut, lambda m: F.when(m["hit"], blank(m["text"])).otherwise(m["text"])), "")
+    free = X.matches(unlinked, R.BARE_URL)
     linked = F.transform(
         F.filter(links, lambda k: k["bang"] != "!"),
         lambda k, i: _draft(
@@ -200,7 +152,7 @@ def reference_drafts(t: "TurnColumns") -> Column:
     )
 
     def plain(u, i):
-        uri = F.regexp_replace(u["url"], r"[.,;:!?]+$", "")
+        uri = F.regexp_replace(u["text"], r"[.,;:!?]+$", "")
         return _draft(
             rank=1,
             seq=i + F.lit(1_000_000),

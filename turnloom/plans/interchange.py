@@ -101,12 +101,10 @@ _S9 = f"""with {SEEDED},{NORMAL} select conv_id, idx::bigint as call, case when
 
 def _names(t: E.TurnColumns):
     """An extractor of our own: product names as references."""
-    found = F.regexp_extract_all(t.prose, F.lit(r"(Redis|Firebase|PostgreSQL|Fastify)"), F.lit(1))
-    starts = E.X.spans(t.prose, found, lambda m: m)
     return F.transform(
-        F.arrays_zip(found.alias("m"), starts.alias("s")),
-        lambda x, i: E._draft(seq=i, type="reference", content=x["m"], start=x["s"], end=x["s"] + F.length(x["m"]), uri=x["m"], confidence=1.0,
-                              method="deterministic", agent="names@1"),
+        E.X.matches(t.prose, "Redis|Firebase|PostgreSQL|Fastify"),
+        lambda x, i: E._draft(seq=i, type="reference", content=x["text"], start=x["start"], end=x["start"] + F.length(x["text"]), uri=x["text"],
+                              confidence=1.0, method="deterministic", agent="names@1"),
     )
 
 
