@@ -61,10 +61,12 @@ def r3_snapshots(spark, sf):
 def r4_append(spark, sf):
     base = _run_dir(spark)
     t = _table(spark, sf, "conversations").select(
-        F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("conv_id"), F.col("turn").alias("position"), "role", F.col("text").alias("content")
+        F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("conv_id"), F.col("turn").alias("position"), "role", F.col("text").alias("content"),
+        F.timestamp_seconds(F.col("turn") + F.lit(1_600_000_000)).alias("ts"),  # a second per turn; chats are not in order of time between each other
     )
     with_rocksdb(spark)
-    return J.run_to_table(J.append_messages(t), f"{base}/out", f"{base}/cp").select("conv_id", "idx", "role", F.md5("content").alias("h"))
+    turns = J.run_in_order(t, "ts", lambda rows: J.append_messages(rows, "ts", "30 days"), f"{base}/out", f"{base}/cp", f"{base}/marks")
+    return turns.select("conv_id", "idx", "role", F.md5("content").alias("h"))
 
 
 def with_rocksdb(spark) -> None:
@@ -75,8 +77,9 @@ def with_rocksdb(spark) -> None:
 def r5_alerts(spark, sf):
     base = _run_dir(spark)
     with_rocksdb(spark)
-    out = J.debounced_alerts(_events(spark, sf), "user_id", "ts", "event_id", 12 * 3600)
-    return J.run_to_table(out, f"{base}/out", f"{base}/cp").select("event_id", F.col("key").cast("bigint").alias("user_id"))
+    e = _events(spark, sf).select("user_id", "ts", "event_id")
+    out = J.run_in_order(e, "ts", lambda rows: J.debounced_alerts(rows, "user_id", "ts", "event_id", 12 * 3600, "40 days"), f"{base}/out", f"{base}/cp", f"{base}/marks")
+    return out.select("event_id", F.col("key").cast("bigint").alias("user_id"))
 
 
 def r6_counters(spark, sf):

@@ -7,10 +7,12 @@ log, and the store is a view over that log.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,75 +99,172 @@ def sessions(events: DataFrame, key: str, ts: str, gap: str, delay: str = "1 day
     )
 
 
-class _Debouncer(StatefulProcessor):
-    """State of a key: the time of its last emitted event."""
+class _InOrder(StatefulProcessor):
+    """Rows of a key wait in list state until the watermark has passed them and are then released by time.
 
-    def __init__(self, window_us: int, ttl_ms: int | None):
-        self.window_us, self.ttl_ms = window_us, ttl_ms
+    Rows that may still come are later than the watermark, so a release is final: the
+    order is that of the event times, whatever files or batches the rows came in. One
+    timer per key stands at its earliest waiting row (or at the time its memory may be
+    forgotten), so a key is visited once per watermark that concerns it. What waits is
+    bounded by the delay. Rows are kept packed, one state value per arriving batch.
+    Spark's first watermark is 1970: rows not later than that are dropped as late.
+    """
+
+    memory: str  # schema of what a key remembers between releases
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "us long", self.ttl_ms)
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.kept = handle.getValueState("kept", self.memory)
+        self.due = handle.getValueState("due", "ms long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0] if self.last.exists() else None
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for batch in rows:
-            keep = []
-            for i, us in sorted(zip(batch.index, batch["us"], strict=True), key=lambda x: x[1]):
-                if last is None or us - last >= self.window_us:
-                    keep.append(i)
-                    last = us
-            yield pd.DataFrame({"key": batch.loc[keep, "key"], "event_id": batch.loc[keep, "event_id"]})
-        if last is not None:
-            self.last.update((int(last),))
+            batch = batch.drop(columns="at")
+            if len(batch):
+                self.waiting.appendValue((pa.ipc.serialize_pandas(batch, preserve_index=False).to_pybytes(),))
+                low = int(batch["us"].min())
+                first = low if first is None else min(first, low)
+        if first is not None:
+            self._wake(first)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.due.clear()
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        packed = [pa.ipc.open_stream(r[0]).read_pandas() for r in self.waiting.get()] if self.waiting.exists() else []
+        rows = pd.concat(packed, ignore_index=True) if packed else None
+        memory = self.kept.get() if self.kept.exists() else None
+        later = None
+        if rows is not None:
+            ready = (rows["us"] <= passed).to_numpy()
+            if ready.any():
+                out, memory = self.release(rows[ready], memory)
+                self.kept.update(memory)
+                yield out
+                self.waiting.clear()
+                if not ready.all():
+                    self.waiting.put([(pa.ipc.serialize_pandas(rows[~ready], preserve_index=False).to_pybytes(),)])
+            later = int(rows["us"][~ready].min()) if not ready.all() else None
+        until = self.forget_at(memory) if memory is not None else None
+        if until is not None and until <= passed:
+            self.kept.clear()
+            until = None
+        wanted = [t for t in (later, until) if t is not None]
+        if wanted:
+            self._wake(min(wanted))
+
+    def _wake(self, us: int) -> None:
+        ms = us // 1000 + 1
+        if self.due.exists():
+            if self.due.get()[0] <= ms:
+                return
+            self.handle.deleteTimer(self.due.get()[0])
+        self.handle.registerTimer(ms)
+        self.due.update((ms,))
+
+    def release(self, rows: pd.DataFrame, memory: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        """The output for rows whose time has come, and what is remembered."""
+        raise NotImplementedError
+
+    def forget_at(self, memory: tuple) -> int | None:
+        """The time (us) from which the memory makes no difference, or may be dropped."""
+        return None
 
     def close(self) -> None:
         pass
 
 
-def debounced_alerts(events: DataFrame, key: str, ts: str, event_id: str, seconds: int, ttl_ms: int | None = None) -> DataFrame:
-    """Alerts at least `seconds` after the last emitted one of their key, in arrival order.
+class _Debouncer(_InOrder):
+    """Remembers the time of the key's last emitted event, until the window behind it is over."""
+
+    memory = "us long"
+
+    def __init__(self, window_us: int):
+        self.window_us = window_us
+
+    def release(self, rows: pd.DataFrame, memory: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        rows = rows.sort_values(["us", "event_id"], kind="stable").drop_duplicates("us")
+        us, hits = rows["us"].to_numpy(), []
+        at = 0 if memory is None else int(np.searchsorted(us, memory[0] + self.window_us))
+        while at < len(us):  # one step per emitted event
+            hits.append(at)
+            at = int(np.searchsorted(us, us[at] + self.window_us))
+        last = int(us[hits[-1]]) if hits else memory[0]
+        return rows.iloc[hits][["key", "event_id"]], (last,)
+
+    def forget_at(self, memory: tuple) -> int:
+        return memory[0] + self.window_us
 
+
+def debounced_alerts(events: DataFrame, key: str, ts: str, event_id: str, seconds: int, delay: str = "1 hour") -> DataFrame:
+    """Alerts at least `seconds` after the last emitted one of their key, by event time; of equal times the least id.
+
+    Events later than `delay` behind the newest are dropped (Spark's watermark).
     Needs the RocksDB state store (`spark.sql.streaming.stateStore.providerClass`).
     """
-    rows = events.select(
-        F.col(key).cast("string").alias("key"), F.col(event_id).cast("bigint").alias("event_id"), F.unix_micros(ts).alias("us")
+    rows = events.withWatermark(ts, delay).select(
+        F.col(key).cast("string").alias("key"), F.col(event_id).cast("bigint").alias("event_id"), F.unix_micros(ts).alias("us"), F.col(ts).alias("at")
     )
     return rows.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=_Debouncer(seconds * 1_000_000, ttl_ms),
-        outputStructType="key string, event_id long",
-        outputMode="Append",
-        timeMode="ProcessingTime" if ttl_ms else "None",
+        statefulProcessor=_Debouncer(seconds * 1_000_000), outputStructType="key string, event_id long", outputMode="Append", timeMode="EventTime"
     )
 
 
-class _Appender(StatefulProcessor):
-    """State of a conversation: the index of its next message."""
+class _Appender(_InOrder):
+    """Remembers the index of the next message of a conversation."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.next = handle.getValueState("next", "idx long")
+    memory = "idx long, us long"
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        at = self.next.get()[0] if self.next.exists() else 0
-        for batch in rows:
-            ordered = batch.sort_values("position")
-            out = pd.DataFrame({"conv_id": ordered["conv_id"], "role": ordered["role"], "content": ordered["content"]})
-            out.insert(1, "idx", range(at, at + len(ordered)))
-            at += len(ordered)
-            yield out
-        self.next.update((int(at),))
+    def __init__(self, idle_us: int | None):
+        self.idle_us = idle_us
+
+    def release(self, rows: pd.DataFrame, memory: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        at = memory[0] if memory else 0
+        rows = rows.sort_values(["us", "position"], kind="stable")
+        out = pd.DataFrame({"conv_id": rows["conv_id"], "idx": range(at, at + len(rows)), "role": rows["role"], "content": rows["content"]})
+        return out, (at + len(rows), int(rows["us"].iloc[-1]))
+
+    def forget_at(self, memory: tuple) -> int | None:
+        return None if self.idle_us is None else memory[1] + self.idle_us
 
-    def close(self) -> None:
-        pass
 
+def append_messages(deltas: DataFrame, ts: str, delay: str = "1 hour", idle_seconds: int | None = None) -> DataFrame:
+    """Live messages (conv_id, position, role, content and their time) as turns with the next index of their chat.
 
-def append_messages(deltas: DataFrame) -> DataFrame:
-    """Live messages (conv_id, position, role, content) as turns with the next index of their chat."""
-    return deltas.groupBy("conv_id").transformWithStateInPandas(
-        statefulProcessor=_Appender(),
+    Messages are ordered by time, then position, over all files and batches. With
+    `idle_seconds`, a chat without a message for so long leaves the state; one that
+    goes on after that starts at 0 again.
+    """
+    rows = deltas.withWatermark(ts, delay).select("conv_id", "position", "role", "content", F.unix_micros(ts).alias("us"), F.col(ts).alias("at"))
+    return rows.groupBy("conv_id").transformWithStateInPandas(
+        statefulProcessor=_Appender(None if idle_seconds is None else idle_seconds * 1_000_000),
         outputStructType="conv_id string, idx long, role string, content string",
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime",
+    )
+
+
+END = "2262-01-01 00:00:00"  # the time of the mark that ends a bounded stream; pandas knows none after that year
+
+
+def run_in_order(stream: DataFrame, ts: str, build: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, marks: str) -> DataFrame:
+    """Run `build(stream)`, which waits for a watermark, to the end of a bounded stream and read the result back.
+
+    The stream is joined by a folder of end marks, empty at first. When the rows are
+    through, one row of that time is put there and the query goes on from its
+    checkpoint: the watermark passes every row, and all that waits is released.
+    """
+    spark = stream.sparkSession
+    mark = spark.range(1).select(
+        *[(F.lit(END).cast("timestamp") if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in stream.schema.fields]
     )
+    mark.limit(0).write.mode("overwrite").parquet(marks)
+    ended = spark.readStream.schema(stream.schema).parquet(marks)
+    run_to_table(build(stream.unionByName(ended)), path, checkpoint)
+    mark.write.mode("append").parquet(marks)
+    return run_to_table(build(stream.unionByName(ended)), path, checkpoint)
 
 
 def flush_index(stream: DataFrame, path: str, checkpoint: str, build, every: str = "5 seconds", once: bool = False) -> StreamingQuery:
