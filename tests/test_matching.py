@@ -3,9 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from turnloom.operators.matching import match_in_order
+from turnloom.operators.matching import match_by_class, match_in_order
 from turnloom.operators.ordering import first_n, number_rows
-from turnloom.operators.reconcile import group_candidates
+from turnloom.operators.reconcile import group_candidates, reconcile
 
 
 def greedy(pairs):
@@ -85,3 +85,77 @@ def test_first_n_is_limited_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 2).alias("k"), "id").repartition(4)
     plan = first_n(df, ["k"], [F.col("id").desc()], 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 2 and "Partial" in plan
+
+
+def test_a_chain_of_ten_thousand_links(spark):
+    """Every b could take the a of the one before it: only one after the other is there an order."""
+    pairs = [(i, i) for i in range(10_000)] + [(i - 1, i) for i in range(1, 10_000)]
+    df = spark.createDataFrame([(f"a{a}", a, f"b{b}", b) for a, b in pairs], "a string, a_order int, b string, b_order int")
+    got = {(r.a, r.b) for r in match_in_order(df).collect()}
+    assert got == {(f"a{i}", f"b{i}") for i in range(10_000)}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_walk_without_rounds_equals_the_sequential_one(spark, seed):
+    rnd = random.Random(seed)
+    pairs = {(rnd.randrange(40), rnd.randrange(50)) for _ in range(90)}
+    df = spark.createDataFrame([(a, a, b, b) for a, b in pairs], "a int, a_order int, b int, b_order int").repartition(5)
+    assert {(r.a, r.b) for r in match_in_order(df, rounds=0).collect()} == greedy(pairs)
+
+
+def by_class(members, arriving, choices):
+    """Sequential: the first free a of the class or of the choices."""
+    lists, front, taken, out = {}, {}, set(), set()
+    for k, a in sorted(members, key=lambda m: m[1]):
+        lists.setdefault(k, []).append(a)
+    own = {}
+    for a, b in choices:
+        own.setdefault(b, []).append(a)
+    for k, b in sorted(arriving, key=lambda m: m[1]):
+        while front.get(k, 0) < len(lists.get(k, [])) and lists[k][front.get(k, 0)] in taken:
+            front[k] = front.get(k, 0) + 1
+        options = [a for a in own.get(b, []) if a not in taken] + lists.get(k, [])[front.get(k, 0):front.get(k, 0) + 1]
+        if options:
+            taken.add(min(options))
+            out.add((min(options), b))
+    return out
+
+
+def classes(spark, members, arriving, choices):
+    m = spark.createDataFrame([(k, f"a{a}", a, a // 64) for k, a in members], "key string, a string, a_order int, a_block int").repartition(4)
+    v = spark.createDataFrame([(k, f"b{b}", b, b // 64) for k, b in arriving], "key string, b string, b_order int, b_block int").repartition(4)
+    c = spark.createDataFrame([(f"a{a}", f"b{b}") for a, b in choices], "a string, b string")
+    return {(int(r.a[1:]), int(r.b[1:])) for r in match_by_class(m, v, c, ["key"]).collect()}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_classes_equal_the_sequential_walk(spark, seed):
+    rnd = random.Random(seed)
+    keys = [rnd.choice("xxxyzuvw") for _ in range(300)]
+    members = [(keys[i], i) for i in range(150)] + [(rnd.choice("xyz"), rnd.randrange(150)) for _ in range(10)]
+    members = list(dict.fromkeys(members))
+    arriving = [(keys[150 + i], i) for i in range(150)]
+    choices = {(rnd.randrange(150), rnd.randrange(150)) for _ in range(40)}
+    assert classes(spark, members, arriving, choices) == by_class(members, arriving, choices)
+
+
+def test_a_hundred_thousand_equal_copies_with_crossings(spark):
+    rnd = random.Random(3)
+    n = 100_000
+    members = [("hot" if i % 50 else f"k{i % 7}", i) for i in range(n)]
+    arriving = [("hot" if i % 40 else f"k{i % 9}", i) for i in range(n)]
+    choices = {(rnd.randrange(n), rnd.randrange(n)) for _ in range(3000)}
+    assert classes(spark, members, arriving, choices) == by_class(members, arriving, choices)
+
+
+def test_one_chat_in_two_documents_is_reconciled_in_each(spark):
+    rnd = random.Random(6)
+    rows = [candidate_rows(rnd, e, 12, ["alpha", "alpha", "beta"], ["t1", "t2"]) for e in range(2)]
+    one = [candidates(spark, e, r) for e, r in enumerate(rows)]
+    two = [c.unionByName(c.withColumn("doc_id", F.lit("d2"))) for c in one]
+    single, double = reconcile(one), reconcile(two)
+    for name in ("items", "merged", "relations", "members"):
+        want = sorted(map(repr, single[name].drop("b_order", "g_order").collect()))
+        for doc in ("d", "d2"):
+            got = double[name].filter(F.col("doc_id") == doc).withColumn("doc_id", F.lit("d")).drop("b_order", "g_order")
+            assert sorted(map(repr, got.collect())) == want

@@ -55,6 +55,13 @@ def u16_offset(content: Column, n: Column) -> Column:
     return u16_length(F.left(content, n))
 
 
+def code_point_offset(content: Column, n: Column) -> Column:
+    """Code point offset of UTF-16 offset `n` in `content`: a unit is put behind each character that takes two."""
+    units = F.regexp_replace(F.translate(content, "\uffff", "\ufffe"), r"([\x{10000}-\x{10FFFF}])", "$1\uffff")
+    wide = F.length(F.replace(F.left(units, n), F.lit("\uffff"), F.lit("")))
+    return F.when(F.length(content) == F.octet_length(content), n).otherwise(wide)
+
+
 def dedupe_form(c: Column) -> Column:
     """Key under which two statements count as the same one."""
     lowered = F.regexp_replace(F.lower(c), "’", "'")

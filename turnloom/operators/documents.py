@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from turnloom import schema as S
 from turnloom.functions import text as X
+from turnloom.operators.ordering import shared_keys
 
 
 def assemble(conversations: DataFrame, items: DataFrame, now: Column, agent: str = "turnloom@1") -> DataFrame:
@@ -66,8 +67,8 @@ def item_json(kind: Column | None = None) -> Column:
 
 def with_wire_spans(items: DataFrame, turns: DataFrame) -> DataFrame:
     """Code point spans converted to UTF-16 units against the turn they point into."""
-    text = turns.select("turn_id", F.col("content").alias("__turn"))
-    joined = items.join(text, "turn_id", "left")
+    keys = shared_keys(items, turns, "turn_id")
+    joined = items.join(turns.select(*keys, F.col("content").alias("__turn")), keys, "left")
     return joined.select(
         *items.columns,
         X.u16_offset(F.col("__turn"), F.col("start")).alias("u16_start"),

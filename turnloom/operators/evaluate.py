@@ -5,13 +5,12 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnloom.functions import text as X
 from turnloom.operators.items import ITEM_ORDER
 from turnloom.operators.matching import match_in_order
-from turnloom.operators.ordering import first_wins
+from turnloom.operators.ordering import first_wins, number_rows, shared_keys
 from turnloom.session import cut
 
 COUNTS = ("gold", "predicted", "matched", "origin_correct", "provenance_correct", "unsupported", "forbidden")
@@ -48,10 +47,9 @@ def gold_candidates(gold: DataFrame, items: DataFrame) -> DataFrame:
     )
     hits = text.join(wanted, ["doc_id", "type"]).filter(_holds_all(F.col("__text"), F.col("words")))
     placed = hits.select("doc_id", "type", "gpos", "item_id", "a_order")
-    most = gold.groupBy("doc_id", "type").count().agg(F.max("count")).first()[0] or 1
-    place = F.row_number().over(W.partitionBy("doc_id", "gpos").orderBy("a_order"))
-    few = placed.withColumn("place", place).filter(F.col("place") <= int(most))
-    return few.join(sizes, ["doc_id", "type"]).filter("place <= g").select("doc_id", "gpos", "item_id", "a_order")
+    # hits of a gold row are numbered in blocks, so a keyword that every item holds is no single task
+    numbered = number_rows(placed, ["doc_id", "gpos"], F.floor(F.col("a_order.conv_pos") / F.lit(64)), ["a_order"], "place")
+    return numbered.join(sizes, ["doc_id", "type"]).filter("place < g").select("doc_id", "gpos", "item_id", "a_order")
 
 
 def match_gold(gold: DataFrame, items: DataFrame) -> DataFrame:
@@ -75,8 +73,8 @@ def evaluation_counts(gold: DataFrame, forbidden: DataFrame, items: DataFrame, t
     """The seven counts of each fixture (doc_id). Items are read by several joins, so they are stored once."""
     columns = ("doc_id", "item_id", "type", "content", "uri", "title", "filename", "origin", "turn_id", "start", "end", *ITEM_ORDER)
     items = cut(items.select(*columns))
-    sized = turns.select("turn_id", F.col("idx").alias("t_idx"), F.length("content").alias("t_size"))
-    located = items.join(sized, "turn_id", "left")
+    keys = shared_keys(items, turns, "turn_id")
+    located = items.join(turns.select(*keys, F.col("idx").alias("t_idx"), F.length("content").alias("t_size")), keys, "left")
     facts = located.select("doc_id", "item_id", F.col("origin").alias("i_origin"), "t_idx", "t_size", F.col("end").alias("i_end"))
     matched = match_gold(gold, items).join(gold, ["doc_id", "gpos"]).join(facts, ["doc_id", "item_id"]).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("matched"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turnloom import schema as S
 from turnloom.functions import text as X
-from turnloom.operators.ordering import first_n, first_wins
+from turnloom.operators.ordering import first_n, first_wins, shared_keys
 
 ITEM_ORDER = ("conv_pos", "idx", "rank", "seq")
 
@@ -36,10 +36,10 @@ def resolve_provenance(items: DataFrame, conversations: DataFrame, turns: DataFr
         "doc_id", "conv_id", F.col("title").alias("conv_title"), F.col("url").alias("conv_url"), "platform", "kind"
     )
     turn = turns.select(
-        "conv_id", "turn_id", F.col("idx").alias("turn_index"), F.col("role").alias("turn_role"), "content"
+        "doc_id", "conv_id", "turn_id", F.col("idx").alias("turn_index"), F.col("role").alias("turn_role"), "content"
     ).withColumnRenamed("content", "__turn_text")
     base = items.drop("turn_index", "turn_role", "platform", "kind")
-    joined = base.join(conv, ["doc_id", "conv_id"], "left").join(turn, ["conv_id", "turn_id"], "left")
+    joined = base.join(conv, ["doc_id", "conv_id"], "left").join(turn, ["doc_id", "conv_id", "turn_id"], "left")
     span = F.col("start").isNotNull()
     excerpt = F.when(span, F.substring("__turn_text", F.col("start") + 1, F.col("end") - F.col("start")))
     return joined.withColumn("excerpt", excerpt).drop("__turn_text")
@@ -63,24 +63,25 @@ def describe_provenance(captured_at: Column | None = None) -> Column:
 
 def explain_item(items: DataFrame, conversations: DataFrame, turns: DataFrame, item_ids: DataFrame) -> DataFrame:
     """Where do these items come from? The lookup happens before the joins."""
-    wanted = items.join(item_ids.select("item_id"), "item_id", "left_semi")
+    wanted = items.join(item_ids, shared_keys(items, item_ids, "item_id"), "left_semi")
     return resolve_provenance(wanted, conversations, turns)
 
 
 def message_numbers(items: DataFrame, turns: DataFrame) -> DataFrame:
-    t = turns.select("turn_id", (F.col("idx") + 1).alias("message_number"))
-    return items.join(t, "turn_id", "left")
+    keys = shared_keys(items, turns, "turn_id")
+    return items.join(turns.select(*keys, (F.col("idx") + 1).alias("message_number")), keys, "left")
 
 
 def with_annotations(items: DataFrame, annotations: DataFrame) -> DataFrame:
-    return items.join(annotations, "item_id", "left")
+    return items.join(annotations, shared_keys(items, annotations, "item_id"), "left")
 
 
 def with_origin(items: DataFrame, annotations: DataFrame, turns: DataFrame) -> DataFrame:
     """Annotation origin, else role of the source turn, else unknown."""
-    a = annotations.select("item_id", F.col("origin").alias("__annotated"))
-    t = turns.select("turn_id", F.col("role").alias("__role"))
-    joined = items.drop("origin").join(a, "item_id", "left").join(t, "turn_id", "left")
+    by_item, by_turn = shared_keys(items, annotations, "item_id"), shared_keys(items, turns, "turn_id")
+    a = annotations.select(*by_item, F.col("origin").alias("__annotated"))
+    t = turns.select(*by_turn, F.col("role").alias("__role"))
+    joined = items.drop("origin").join(a, by_item, "left").join(t, by_turn, "left")
     return joined.withColumn("origin", F.coalesce("__annotated", "__role", F.lit("unknown"))).drop(
         "__annotated", "__role"
     )
@@ -175,7 +176,9 @@ def last_user_message(turns: DataFrame) -> DataFrame:
 
 def superseded(items: DataFrame, relations: DataFrame) -> DataFrame:
     """Flags items that a newer one may replace; no row is removed."""
-    hit = relations.filter(F.col("type") == "supersedes").select(F.col("to").alias("item_id")).distinct()
-    return items.join(hit.withColumn("is_superseded", F.lit(True)), "item_id", "left").withColumn(
+    newer = relations.filter(F.col("type") == "supersedes").withColumn("item_id", F.col("to"))
+    keys = shared_keys(items, newer, "item_id")
+    hit = newer.select(*keys).distinct()
+    return items.join(hit.withColumn("is_superseded", F.lit(True)), keys, "left").withColumn(
         "is_superseded", F.coalesce("is_superseded", F.lit(False))
     )

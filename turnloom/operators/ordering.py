@@ -14,6 +14,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def shared_keys(a: DataFrame, b: DataFrame, *names: str) -> list[str]:
+    """The join keys for rows of documents: a chat may be saved in several, so doc_id is one wherever both sides have it."""
+    return [*(["doc_id"] if "doc_id" in a.columns and "doc_id" in b.columns else []), *names]
+
+
 def first_wins(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column | str]) -> DataFrame:
     return first_n(df, keys, order, 1)
 

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from turnloom import schema as S
 from turnloom.functions import text as X
-from turnloom.operators.matching import match_in_order
-from turnloom.operators.ordering import first_wins, number_rows
+from turnloom.operators.matching import match_by_class
+from turnloom.operators.ordering import first_wins
 from turnloom.session import cut
 
 SAME_ITEM_OVERLAP = 0.5
@@ -103,60 +103,7 @@ def overlap_pairs(members: DataFrame, arriving: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def key_pairs(members: DataFrame, arriving: DataFrame, overlaps: DataFrame) -> DataFrame:
-    """(group, item) with equal content, without pairing every copy with every copy.
-
-    In a class of equal content the k-th arriving copy can only end at a group near the
-    k-th place: earlier copies fill the groups before it, except where one of them could
-    go to an overlapping group elsewhere (`leavers`), and items from outside the class can
-    take at most `guests` of its groups. Classes without either give one pair per copy.
-    """
-    cls = ["doc_id", "type", "origin", "key"]
-    a = members.select(*cls, F.col("group_id").alias("a"), F.col("g_order").alias("a_order")).distinct()
-    b = arriving.select(*cls, F.col("item_id").alias("b"), "b_order", "conv_pos")
-    shared = a.join(b.select(*cls).distinct(), cls, "left_semi")
-    wanted = b.join(a.select(*cls).distinct(), cls, "left_semi")
-    a_rank = number_rows(
-        shared.withColumn("__c", F.col("a_order.conv_pos")).withColumn("__e", F.col("a_order.ext_pos")),
-        cls, F.struct("__e", F.floor(F.col("__c") / F.lit(_BLOCK))), ["a_order"], "ka",
-    ).drop("__c", "__e")
-    b_rank = number_rows(wanted, cls, F.floor(F.col("conv_pos") / F.lit(_BLOCK)), ["b_order"], "kb").drop("conv_pos")
-
-    in_a, in_b = a.select(*cls, "a"), b.select(*cls, "b")
-    crossing = overlaps.select("a", "b").join(in_b, "b").withColumnsRenamed({c: f"b_{c}" for c in cls})
-    crossing = crossing.join(in_a, "a")
-    elsewhere = F.lit(False)
-    for c in cls:
-        elsewhere = elsewhere | (F.col(c) != F.col(f"b_{c}"))
-    crossing = crossing.filter(elsewhere)
-    leavers = crossing.groupBy(*[F.col(f"b_{c}").alias(c) for c in cls]).agg(F.countDistinct("b").alias("leavers"))
-    guests = crossing.groupBy(*cls).agg(F.countDistinct("b").alias("guests"))
-    # a group that holds several contents lets the items of its other classes in as well
-    many = in_a.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a")
-    multi = in_a.join(many, "a", "left_semi")
-    sizes = in_b.groupBy(*cls).agg(F.count(F.lit(1)).alias("size"))
-    other = multi.withColumnsRenamed({c: f"x_{c}" for c in cls}).join(multi, "a")
-    differs = F.lit(False)
-    for c in cls:
-        differs = differs | (F.col(c) != F.col(f"x_{c}"))
-    through = (
-        other.filter(differs).select(*cls, *[f"x_{c}" for c in cls]).distinct()
-        .join(sizes.withColumnsRenamed({c: f"x_{c}" for c in cls}), [f"x_{c}" for c in cls])
-        .groupBy(*cls).agg(F.sum("size").alias("through"))
-    )
-    zero = F.lit(0).cast("bigint")
-    ranked = b_rank.join(leavers, cls, "left").join(guests, cls, "left").join(through, cls, "left").select(
-        *cls,
-        "b",
-        "b_order",
-        F.explode(
-            F.sequence(
-                F.greatest(F.col("kb") - F.coalesce("leavers", zero) - F.coalesce("through", zero), zero),
-                F.col("kb") + F.coalesce("guests", zero) + F.coalesce("through", zero),
-            )
-        ).alias("ka"),
-    )
-    return ranked.join(a_rank, [*cls, "ka"]).select("a", "a_order", "b", "b_order")
+CLASS = ["doc_id", "type", "origin", "key"]
 
 
 def group_candidates(extractors: list[DataFrame]) -> DataFrame:
@@ -169,8 +116,11 @@ def group_candidates(extractors: list[DataFrame]) -> DataFrame:
     members = founded(ready[0])
     for arriving in ready[1:]:
         overlaps = overlap_pairs(members, arriving)
-        pairs = overlaps.unionByName(key_pairs(members, arriving, overlaps))
-        matched = match_in_order(pairs)
+        # a group holds a content key per member: it is in the class of each
+        groups = members.select(*CLASS, F.col("group_id").alias("a"), F.col("g_order").alias("a_order"))
+        groups = groups.withColumn("a_block", F.struct("a_order.ext_pos", F.floor(F.col("a_order.conv_pos") / F.lit(_BLOCK)).alias("c")))
+        coming = arriving.select(*CLASS, F.col("item_id").alias("b"), "b_order", F.floor(F.col("conv_pos") / F.lit(_BLOCK)).alias("b_block"))
+        matched = match_by_class(groups, coming, overlaps, CLASS)
         orders = members.select(F.col("group_id").alias("a"), "g_order").distinct()
         joined = (
             arriving.join(matched.withColumnRenamed("b", "item_id"), "item_id", "left")
@@ -194,8 +144,31 @@ def prefer_order() -> list[Column]:
     ]
 
 
+_SEP = "/"
+
+
+def _within(doc: str, c: str) -> Column:
+    """An id made unique over documents: the same chat may be saved in several."""
+    return F.concat(F.col(doc), F.lit(_SEP), F.col(c)).alias(c)
+
+
+def _bare(doc: str, c: str) -> Column:
+    return F.substr(F.col(c), F.char_length(doc) + 2).alias(c)
+
+
+def _rename(df: DataFrame, change, *names: str) -> DataFrame:
+    return df.select(*[change("doc_id", c) if c in names else F.col(c) for c in df.columns])
+
+
 def reconcile(extractors: list[DataFrame], relations: DataFrame | None = None) -> dict[str, DataFrame]:
-    """items, merged members, evidence, relations and the report of a reconciliation."""
+    """items, merged members, evidence, relations and the report of a reconciliation, each document on its own."""
+    wide = [_rename(e, _within, "item_id") for e in extractors]
+    out = _reconciled(wide, _rename(relations, _within, "from", "to") if relations is not None else None)
+    ids = {"items": ("item_id", "group_id"), "merged": ("canonical_id",), "relations": ("from", "to"), "members": ("item_id", "group_id")}
+    return {name: _rename(df, _bare, *ids.get(name, ())) for name, df in out.items()}
+
+
+def _reconciled(extractors: list[DataFrame], relations: DataFrame | None) -> dict[str, DataFrame]:
     members = group_candidates(extractors)
     # a group holds at most one member per extractor, so its lists are short
     canon = first_wins(members, ["group_id"], prefer_order())
@@ -204,7 +177,7 @@ def reconcile(extractors: list[DataFrame], relations: DataFrame | None = None) -
         canon.select("group_id", F.col("item_id").alias("canonical_id")), "group_id"
     ).select("item_id", "canonical_id")
     merged = rest.join(canon_of, "item_id").select(
-        "canonical_id", "b_order", "extractor", "type", "content", "confidence", "assertion", "evidence"
+        "doc_id", "canonical_id", "b_order", "extractor", "type", "content", "confidence", "assertion", "evidence"
     )
     folded = merged.groupBy("canonical_id").agg(
         F.count(F.lit(1)).alias("merged"),

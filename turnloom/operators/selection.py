@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.functions import text as X
-from turnloom.operators.ordering import first_wins
+from turnloom.operators.ordering import first_wins, shared_keys
 
 
 def parse_selection(selections: DataFrame, expr: str = "selection") -> tuple[DataFrame, DataFrame]:
@@ -61,12 +61,12 @@ def select_items(
     """
     unknown = wanted.join(items.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_anti")
     usable = wanted.join(unknown.select("doc_id").distinct(), "doc_id", "left_anti")
-    ids = usable.select("item_id")
+    ids = usable.select("doc_id", "item_id")
     kept = items.join(usable, ["doc_id", "item_id"], "left_semi")
-    notes = annotations.join(ids, "item_id", "left_semi")
-    edges = relations.join(ids.withColumnRenamed("item_id", "from"), "from", "left_semi").join(
-        ids.withColumnRenamed("item_id", "to"), "to", "left_semi"
-    )
+    notes = annotations.join(ids, shared_keys(annotations, ids, "item_id"), "left_semi")
+    edges = relations
+    for end in ("from", "to"):
+        edges = edges.join(ids.withColumnRenamed("item_id", end), shared_keys(relations, ids, end), "left_semi")
     return kept, notes, edges, unknown
 
 

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import functions as F
 
 from turnloom import schema as S
+from turnloom.operators import archive as AR
 from turnloom.operators import evaluate as EV
 from turnloom.operators import reconcile as REC
 from turnloom.operators import semantic as SEM
 from turnloom.operators import validate as V
 from turnloom.operators.context import extract_context
+from turnloom.operators.documents import assemble
+from turnloom.operators.ordering import number_rows
 from turnloom.operators.selection import size_gate
 from turnloom.plans import oracle as O
 from turnloom.plans.extraction import stored_items, items_of
-from turnloom.plans.seeded import PHRASES, SEEDED, conversations, seeded_turns
-from turnloom.session import cut
+from turnloom.plans.seeded import CAPTURED, PHRASES, SEEDED, conversations, seeded_turns
+from turnloom.session import checkpoint_dir, cut
 
 # What the scripted model says about a turn with phrase k. Fields:
 # ref suffix, type, content, claimed origin, assertion, confidence, strength, status, quote (null: the phrase itself)
@@ -284,6 +288,42 @@ select distinct c.doc_id, 'supersedes', x.canonical_id, y.canonical_id from ends
   join accepted c on c.item_id = e.from_id where e.from_id <> e.to_id and x.canonical_id <> y.canonical_id"""
 
 
+@lru_cache(maxsize=16)
+def hybrid_archive(spark, sf):
+    """The reconciled documents of the seeded view, with a field of our own on every turn and item."""
+    t, r = seeded_turns(spark, sf), reconciled(spark, sf)
+    conv = conversations(t)
+    items = number_rows(r["items"], ["doc_id"], F.floor(F.col("conv_pos") / F.lit(64)), ["conv_pos", "o1", "o2", "o3", "item_id"], "i")
+    now = F.lit("2025-06-01T00:00:00Z")
+    own = {
+        "items": F.to_variant_object(F.struct(F.length("content").alias("letters"), F.struct(F.col("type").alias("of")).alias("kind"))),
+        "turns": F.to_variant_object(F.struct(F.col("idx").alias("n"))),
+    }
+    return AR.from_tables(assemble(conv, items, now), conv, t, items, r["merged"], r["relations"], F.lit(CAPTURED), now, own)
+
+
+@lru_cache(maxsize=16)
+def read_back(spark, sf):
+    """Written, half of the documents as lines and the longer ones as fragments, and read again."""
+    path = f"{checkpoint_dir(spark)}/archive-{uuid.uuid4().hex}"
+    AR.write(hybrid_archive(spark, sf), path, whole=40_000)
+    return AR.to_tables(AR.read(spark, path))
+
+
+def k2_items(spark, sf):
+    r = read_back(spark, sf)["items"]
+    kept = (F.try_variant_get("open", "$.letters", "int") == F.length("content")) & (F.try_variant_get("open", "$.kind.of", "string") == F.col("type"))
+    return r.select(
+        "item_id", "doc_id", "type", "content", "confidence", "assertion", F.coalesce(F.size("merged_from"), F.lit(0)).cast("bigint").alias("merged"),
+        F.size("evidence").cast("bigint").alias("evidence"), F.array_join("extractors", ",").alias("extractors"), kept.alias("own_fields"),
+    )
+
+
+def k2_turns(spark, sf):
+    t = read_back(spark, sf)["turns"]
+    return t.select("doc_id", "conv_id", "turn_id", F.col("idx").cast("int").alias("idx"), "role", F.md5("content").alias("h"), F.try_variant_get("open", "$.n", "int").alias("n"))
+
+
 def a12_report(spark, sf):
     return reconciled(spark, sf)["report"]
 
@@ -565,6 +605,9 @@ select conv_id, md5(prompt) as h, length(prompt) as n from p""",
     "h2_merged_from": (h1_merged, _MERGED),
     "u2_u3_evidence_union": (u2_evidence, _U2),
     "j7_j8_relations": (j7_j8_relations, _REL),
+    "k2_s4_round_trip_items": (k2_items, f"select *, true as own_fields from ({_H1})"),
+    "k2_s4_round_trip_relations": (lambda spark, sf: read_back(spark, sf)["relations"].select("doc_id", "type", "from", "to"), _REL),
+    "k2_s4_round_trip_turns": (k2_turns, f"with {SEEDED} select doc_id, conv_id, turn_id, idx, role, md5(content) as h, idx as n from seeded"),
     "a12_reconcile_report": (a12_report, _A12),
     "u1_union": (
         u1_union,
