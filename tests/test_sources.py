@@ -69,4 +69,17 @@ def test_selection_errors_and_strictness(spark, turns):
     chosen, errors = SEL.parse_selection(picks)
     kept, missing = SEL.select_turns(t, chosen)
     assert sorted(r.turn_id for r in kept.collect()) == ["a_t1", "a_t4", "a_t5"]
-    assert [(r.conv_id, r.pos) for r in missing.collect()] == [("b", 1)] and errors.count() == 0
+    assert [(r.conv_id, r.lo, r.hi) for r in missing.collect()] == [("b", 1, 1)] and errors.count() == 0
+
+
+def test_endless_selections_cost_what_the_chat_has(spark, turns):
+    t = turns({"a": [("user", f"m{i}") for i in range(3000)], "b": [("user", "x")]}).filter("not (conv_id = 'a' and idx = 17)")
+    huge = "9" * 40
+    picks = spark.createDataFrame([("a", f"1-999999999, 5-{huge}"), ("b", "001-000000000000000000000000001"), ("c", "2-4"), ("d", f"{huge}-1")], "conv_id string, selection string")
+    chosen, errors = SEL.parse_selection(picks)
+    assert [(r.conv_id, r.code) for r in errors.collect()] == [("d", "reversed")]
+    kept, missing = SEL.select_turns(t, chosen)
+    assert {r.conv_id for r in kept.collect()} == {"b"}
+    assert sorted((r.conv_id, r.lo, r.hi) for r in missing.collect()) == [("a", 17, 17), ("a", 3000, 999_999_998), ("a", 3000, 10**18 - 1), ("c", 1, 3)]
+    lenient, empty = SEL.select_turns_lenient(t, chosen)
+    assert lenient.filter("conv_id = 'a'").count() == 2999 and [r.conv_id for r in empty.collect()] == ["c"]

@@ -88,3 +88,16 @@ def test_upgrade_chain(spark):
     loop = [V.Upgrade("0.0", "0.1", mark("x")), V.Upgrade("0.1", "0.0", mark("y"))]
     _, stuck = V.upgrade(docs.filter("doc_id = 'a'"), loop, current="0.5")
     assert stuck.first().code == "upgrade_cycle"
+
+
+def test_lists_must_be_there_and_be_lists(spark):
+    good = {"context_version": "0.1", "id": "d", "metadata": {"created_at": "2025-01-01T00:00:00Z", "updated_at": "2025-01-01T00:00:00Z"}, "conversations": [], "items": []}
+    conv = {"id": "c", "source": {"kind": "cli", "platform": "p"}, "captured_at": "2025-01-01T00:00:00Z"}
+    cases = {
+        "none": {k: v for k, v in good.items() if k not in ("conversations", "items")}, "text": good | {"conversations": "[]", "items": "x"}, "object": good | {"conversations": {}, "items": {"a": 1}},
+        "null": good | {"conversations": None, "items": None}, "turns": good | {"conversations": [conv, conv | {"turns": {}}, conv | {"turns": []}]}, "good": good,
+    }
+    raw = spark.createDataFrame([(k, json.dumps(v)) for k, v in cases.items()], "doc_id string, raw string")
+    got = {(r.doc_id, r.path) for r in V.validate(V.parse_documents(raw)).filter("code = 'schema'").collect()}
+    both = {(n, p) for n in ("none", "text", "object", "null") for p in ("$.conversations", "$.items")}
+    assert got == both | {("turns", "$.conversations[0].turns"), ("turns", "$.conversations[1].turns")}

@@ -20,6 +20,12 @@ PATTERNS: tuple[tuple[str, str, str, float], ...] = (
     ("JWT", "medium", r"(?:^|[^A-Za-z0-9_])(eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})", 0.0),
     ("Generic Secret", "medium", r"(?i)(?:token|secret|password|passwd|api_?key)[\"']?[ \t]*[:=][ \t]*[\"']([^\"'\n \t]{12,})[\"']", 3.0),
 )
+# The same finding where the plain pattern would start again inside a run of token characters: one look
+# ahead per run decides whether it is the first part of a token, so a text is read a fixed number of times.
+_RUN = "[A-Za-z0-9_-]"
+IN_ONE_PASS = {
+    "JWT": rf"(?<!{_RUN})(?={_RUN}++\.eyJ{_RUN}{{10,}}+\.{_RUN}{{10}})(?:{_RUN}*?-)??(eyJ{_RUN}{{10,}}+\.eyJ{_RUN}{{10,}}+\.{_RUN}{{10,}}+)",
+}
 # Text every pattern needs; most rows stop here.
 HINT = r"gh[pousr]_|sk-|AKIA|AIza|xox[abprs]-|PRIVATE KEY|eyJ|(?i:token|secret|passw|api_?key)"
 
@@ -46,13 +52,16 @@ def scan(text: Column) -> Column:
     empty = F.array().cast("array<struct<type:string,confidence:string,preview:string,n:int>>")
     found = []
     for kind, confidence, pattern, floor in PATTERNS:
-        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        if floor:
-            values = F.filter(values, _above(floor))
+        values = _values(text, kind, pattern, floor)
         found.append(F.transform(values, _finding(kind, confidence)))
     return F.when(text.rlike(HINT), F.concat(*found)).otherwise(empty)
 
 
+def _values(text: Column, kind: str, pattern: str, floor: float) -> Column:
+    values = F.regexp_extract_all(text, F.lit(IN_ONE_PASS.get(kind, pattern)), F.lit(1))
+    return F.filter(values, _above(floor)) if floor else values
+
+
 def _above(floor: float):
     return lambda v: entropy(v) >= floor
 
@@ -68,9 +77,7 @@ def redact_text(text: Column) -> Column:
     out = text
     for kind, _, pattern, floor in PATTERNS:
         marker = f"[REDACTED:{kind}]"
-        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        if floor:
-            values = F.filter(values, _above(floor))
+        values = F.array_distinct(_values(text, kind, pattern, floor))
         out = F.aggregate(values, out, _replace_with(marker))
     return F.when(text.rlike(HINT), out).otherwise(text)
 

@@ -9,8 +9,17 @@ from turnloom.functions import text as X
 from turnloom.operators.ordering import first_wins, shared_keys
 
 
+_BLOCK = 1024
+_BEYOND = 10**18  # what longer numbers count as: no chat has that many turns
+
+
+def _number(digits: Column) -> Column:
+    plain = F.regexp_replace(digits, r"^0+(?=\d)", "")
+    return F.when(F.length(plain) > 18, F.lit(_BEYOND)).otherwise(plain.try_cast("bigint"))
+
+
 def parse_selection(selections: DataFrame, expr: str = "selection") -> tuple[DataFrame, DataFrame]:
-    """`"1,3,5-7"` (1-based) per row -> (key, pos) 0-based and distinct, and the bad parts.
+    """`"1,3,5-7"` (1-based) per row -> intervals (key, lo, hi), 0-based with both ends, and the bad parts.
 
     A selection with any bad part selects nothing: it goes to the errors as a whole.
     """
@@ -18,8 +27,8 @@ def parse_selection(selections: DataFrame, expr: str = "selection") -> tuple[Dat
     parts = selections.select(
         *keys, F.posexplode(F.split(F.col(expr), ",")).alias("part", "__raw")
     ).withColumn("__p", X.strip(F.col("__raw")))
-    low = F.regexp_extract("__p", r"^(\d{1,9})(?:-(\d{1,9}))?$", 1).try_cast("bigint")
-    high = F.coalesce(F.regexp_extract("__p", r"^(\d{1,9})(?:-(\d{1,9}))?$", 2).try_cast("bigint"), low)
+    low = _number(F.regexp_extract("__p", r"^(\d+)(?:-(\d+))?$", 1))
+    high = F.coalesce(_number(F.regexp_extract("__p", r"^(\d+)(?:-(\d+))?$", 2)), low)
     blank = F.col("__p") == ""
     ranged = parts.withColumn("__lo", low).withColumn("__hi", high).filter(~blank)
     code = (
@@ -33,22 +42,48 @@ def parse_selection(selections: DataFrame, expr: str = "selection") -> tuple[Dat
         empty.select(*keys, F.lit(0).alias("part"), F.lit("empty").alias("code"))
     )
     good = coded.join(errors.select(*keys).distinct(), keys, "left_anti")
-    chosen = good.select(*keys, F.explode(F.sequence(F.col("__lo") - 1, F.col("__hi") - 1)).alias("pos")).distinct()
-    return chosen, errors
+    return good.select(*keys, (F.col("__lo") - 1).alias("lo"), (F.col("__hi") - 1).alias("hi")).distinct(), errors
+
+
+def positions(intervals: DataFrame) -> DataFrame:
+    """The distinct positions of intervals (keys, lo, hi); a long one is spread over rows in blocks."""
+    keys = [c for c in intervals.columns if c not in ("lo", "hi")]
+    block = F.expr(f"explode(sequence(lo div {_BLOCK}, hi div {_BLOCK}))").alias("b")
+    blocks = intervals.select(*keys, "lo", "hi", block)
+    inside = F.sequence(F.greatest(F.col("lo"), F.col("b") * _BLOCK), F.least(F.col("hi"), F.col("b") * _BLOCK + (_BLOCK - 1)))
+    return blocks.select(*keys, F.explode(inside).alias("pos")).distinct()
 
 
-def select_turns(turns: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Strict: kept turns keep their index; conversations with a position out of range keep nothing."""
-    missing = chosen.join(turns.select("conv_id", F.col("idx").cast("bigint").alias("pos")), ["conv_id", "pos"], "left_anti")
+def _within_chats(turns: DataFrame, intervals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Positions up to the last turn of each chat, and the intervals beyond it.
+
+    Intervals are cut to the chat before they are spread, so `1-999999999` costs what the chat has.
+    """
+    last = turns.groupBy("conv_id").agg(F.max(F.col("idx").cast("bigint")).alias("last"))
+    known = intervals.join(last, "conv_id", "left").withColumn("last", F.coalesce("last", F.lit(-1).cast("bigint")))
+    inner = known.filter("lo <= last").select("conv_id", "lo", F.least("hi", "last").alias("hi"))
+    beyond = known.filter("hi > last").select("conv_id", F.greatest(F.col("lo"), F.col("last") + 1).alias("lo"), "hi").distinct()
+    return positions(inner), beyond
+
+
+def select_turns(turns: DataFrame, intervals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Strict: kept turns keep their index; conversations with a position out of range keep nothing.
+
+    What is missing comes as intervals (conv_id, lo, hi); they may overlap where the selection's do.
+    """
+    chosen, beyond = _within_chats(turns, intervals)
+    holes = chosen.join(turns.select("conv_id", F.col("idx").cast("bigint").alias("pos")), ["conv_id", "pos"], "left_anti")
+    missing = beyond.unionByName(holes.select("conv_id", F.col("pos").alias("lo"), F.col("pos").alias("hi")))
     usable = chosen.join(missing.select("conv_id").distinct(), "conv_id", "left_anti")
     kept = turns.withColumn("pos", F.col("idx").cast("bigint")).join(usable, ["conv_id", "pos"], "left_semi").drop("pos")
     return kept, missing
 
 
-def select_turns_lenient(turns: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+def select_turns_lenient(turns: DataFrame, intervals: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Positions out of range are ignored; a conversation left with none is reported."""
+    chosen, _ = _within_chats(turns, intervals)
     kept = turns.withColumn("pos", F.col("idx").cast("bigint")).join(chosen, ["conv_id", "pos"], "left_semi").drop("pos")
-    empty = chosen.select("conv_id").distinct().join(kept.select("conv_id").distinct(), "conv_id", "left_anti")
+    empty = intervals.select("conv_id").distinct().join(kept.select("conv_id").distinct(), "conv_id", "left_anti")
     return kept, empty
 
 

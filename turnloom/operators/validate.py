@@ -27,8 +27,8 @@ BLOCKING = ("invalid_extension", "unknown_item", "unknown_turn")
 
 @dataclass(frozen=True)
 class Tables:
-    """docs(doc_id, id, version, is_object, created_at, updated_at)
-    conversations(doc_id, ci, id, kind, platform, captured_at)
+    """docs(doc_id, id, version, is_object, created_at, updated_at; has_conversations, has_items)
+    conversations(doc_id, ci, id, kind, platform, captured_at; has_turns)
     turns(doc_id, ci, ti, id, index, role, content, timestamp)
     items(doc_id, i, id, type, content, confidence, importance, strength, status, language, uri, created_at,
           kind, platform, conversation_id, turn_id, start, end, method, agent, captured_at)"""
@@ -47,7 +47,9 @@ def parse_documents(raw: DataFrame, text: str = "raw") -> Tables:
         "doc_id",
         F.from_json("__t", head).alias("d"),
         F.coalesce(F.startswith(F.schema_of_variant(X.strict_json(F.col("__t"))), F.lit("OBJECT")), F.lit(False)).alias("is_object"),
+        "__t",
     )
+    listed = lambda json, path: F.coalesce(F.startswith(F.schema_of_variant(F.try_variant_get(F.try_parse_json(json), path, "variant")), F.lit("ARRAY")), F.lit(False))
     source = "source:struct<kind:string,platform:string,client:string>"
     conv = f"struct<id:string,{source},title:string,url:string,captured_at:string,turns:array<string>>"
     turn = "struct<id:string,index:int,role:string,content:string,timestamp:string>"
@@ -63,9 +65,11 @@ def parse_documents(raw: DataFrame, text: str = "raw") -> Tables:
         "is_object",
         F.col("d.metadata.created_at").alias("created_at"),
         F.col("d.metadata.updated_at").alias("updated_at"),
+        listed("__t", "$.conversations").alias("has_conversations"),
+        listed("__t", "$.items").alias("has_items"),
     )
     convs = body.select("doc_id", F.posexplode("d.conversations").alias("ci", "j")).select(
-        "doc_id", "ci", F.from_json("j", conv).alias("c")
+        "doc_id", "ci", F.from_json("j", conv).alias("c"), listed("j", "$.turns").alias("has_turns")
     )
     turns = convs.select("doc_id", "ci", F.posexplode("c.turns").alias("ti", "j")).select(
         "doc_id", "ci", "ti", F.from_json("j", turn).alias("t")
@@ -77,7 +81,7 @@ def parse_documents(raw: DataFrame, text: str = "raw") -> Tables:
     return Tables(
         docs,
         convs.select(
-            "doc_id", "ci", "c.id", F.col("c.source.kind").alias("kind"), F.col("c.source.platform").alias("platform"), "c.captured_at"
+            "doc_id", "ci", "c.id", F.col("c.source.kind").alias("kind"), F.col("c.source.platform").alias("platform"), "c.captured_at", "has_turns"
         ),
         turns.select("doc_id", "ci", "ti", "t.*"),
         items.select(
@@ -172,6 +176,7 @@ def structural_issues(t: Tables) -> DataFrame:
         ident(col("id"), F.lit("$.id")),
         ts(col("created_at"), F.lit("$.metadata.created_at")),
         ts(col("updated_at"), F.lit("$.metadata.updated_at")),
+        *[_when(~col(c), "schema", F.lit(f"$.{c[4:]}")) for c in ("has_conversations", "has_items") if c in t.docs.columns],
     )
     cp = lambda f: _path(f"$.conversations[%d].{f}", "ci")
     conv = _emit(
@@ -180,6 +185,7 @@ def structural_issues(t: Tables) -> DataFrame:
         among(col("kind"), S.SOURCE_KINDS, cp("source.kind")),
         _when(F.coalesce(F.length("platform"), F.lit(0)) == 0, "schema", cp("source.platform")),
         ts(col("captured_at"), cp("captured_at")),
+        *([_when(~col("has_turns"), "schema", cp("turns"))] if "has_turns" in t.conversations.columns else []),
     )
     tp = lambda f: _path(f"$.conversations[%d].turns[%d].{f}", "ci", "ti")
     turn = _emit(

@@ -34,7 +34,7 @@ chosen as (select distinct conv_id, unnest(range(lo::int - 1, hi::int)) as pos f
 
 
 def p1_parse(spark, sf):
-    return SEL.parse_selection(_selections(spark, sf))[0]
+    return SEL.positions(SEL.parse_selection(_selections(spark, sf))[0])
 
 
 def p1_errors(spark, sf):
@@ -48,7 +48,7 @@ def p2_strict(spark, sf):
 
 def p2_out_of_range(spark, sf):
     chosen, _ = SEL.parse_selection(_selections(spark, sf))
-    return SEL.select_turns(seeded_turns(spark, sf), chosen)[1].select("conv_id", "pos")
+    return SEL.positions(SEL.select_turns(seeded_turns(spark, sf), chosen)[1]).select("conv_id", "pos")
 
 
 def p3_lenient(spark, sf):

@@ -112,22 +112,51 @@ def _span(value: str, most: int) -> int:
     return min(max(1, int(digits.group())), most) if digits else 1
 
 
+_BLOCKS = {"table", "tr", "td", "th", "p", "div", "li", "ul", "ol", "pre", "blockquote"}
+
+
+def _cell_text(cell: _Node) -> str:
+    """The text of a cell on one line; blocks inside are kept apart."""
+    out: list[str] = []
+    stack: list[object] = [cell]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, str):
+            out.append(node)
+        elif node.tag == "br":
+            out.append(" ")
+        else:
+            apart = [" "] if node.tag in _BLOCKS else []
+            stack.extend([*apart, *reversed(node.children), *apart])
+    return re.sub(r"\s+", " ", "".join(out)).strip()
+
+
 def _grid(table: _Node) -> list[list[str]]:
-    """Cells of a table with row and column spans filled in."""
-    held: dict[tuple[int, int], str] = {}
+    """Cells of a table with row and column spans filled in; what hangs down is kept per column."""
+    hanging: dict[int, tuple[int, str]] = {}  # column: rows left, value
     rows = []
-    for r, tr in enumerate(table.within(("tr",))):
+    for tr in table.within(("tr",)):
         row: list[str] = []
+        later: dict[int, tuple[int, str]] = {}
+
+        def fill():
+            while len(row) in hanging:
+                left, value = hanging.pop(len(row))
+                if left > 1:
+                    later[len(row)] = left - 1, value
+                row.append(value)
+
         for cell in tr.within(("td", "th")):
-            while (r, len(row)) in held:
-                row.append(held[(r, len(row))])
-            value = re.sub(r"\s+", " ", cell.text()).strip().replace("|", "\\|")
+            fill()
+            value = _cell_text(cell).replace("|", "\\|")
             wide, tall = (_span(cell.attrs.get(k, ""), most) for k, most in (("colspan", 1000), ("rowspan", 65534)))
             for _ in range(wide):
-                held.update({(r + down, len(row)): value for down in range(1, tall)})
+                hanging.pop(len(row), None)
+                if tall > 1:
+                    later[len(row)] = tall - 1, value
                 row.append(value)
-        while (r, len(row)) in held:
-            row.append(held[(r, len(row))])
+        fill()
+        hanging = {**hanging, **later} if row else hanging
         if row:
             rows.append(row)
     width = max((len(r) for r in rows), default=0)
