@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from turnloom.operators import selection as SEL
+from turnloom.operators.extract import extract_items
 from turnloom.sources import pages as PG
 from turnloom.sources import tree as TR
 from turnloom.sources import turns as ST
@@ -83,3 +84,21 @@ def test_endless_selections_cost_what_the_chat_has(spark, turns):
     assert sorted((r.conv_id, r.lo, r.hi) for r in missing.collect()) == [("a", 17, 17), ("a", 3000, 999_999_998), ("a", 3000, 10**18 - 1), ("c", 1, 3)]
     lenient, empty = SEL.select_turns_lenient(t, chosen)
     assert lenient.filter("conv_id = 'a'").count() == 2999 and [r.conv_id for r in empty.collect()] == ["c"]
+
+
+def test_pages_of_several_speakers_give_turns(spark):
+    html = """<html><body><main class="assistant-message-list"><h1>Sheep</h1>
+      <div class="x USER-bubble y"><p>We decided to <b>shear</b> in May.</p></div>
+      <div data-testid="model-turn"><div class="bot-message"><p>Use</p><pre><code class="language-sh">ls</code></pre></div><span>outside</span></div>
+      <div data-role="user" class="assistant-message"></div><div data-role="user">Should the ram stay?</div>
+      <div data-role="User">not marked</div><aside data-message-author-role="assistant">Yes.</aside></main></body></html>"""
+    pages = spark.createDataFrame([(1, "u", html), (2, "u", "<p>no marks</p>"), (3, "u", None)], "page_id long, url string, html string")
+    turns = PG.page_turns(PG.read_pages(pages))
+    got = [(r.page_id, r.idx, r.role, r.content) for r in turns.withColumnRenamed("conv_pos", "page_id").orderBy("page_id", "idx").collect()]
+    assert got == [
+        (1, 0, "user", "We decided to **shear** in May."), (1, 1, "assistant", "Use\n\n```sh\nls\n```"), (1, 2, "user", "Should the ram stay?"),
+        (1, 3, "assistant", "Yes."), (2, 0, "assistant", "no marks"), (3, 0, "assistant", ""),
+    ]
+    assert {(r.type, r.role) for r in extract_items(turns).collect()} == {("decision", "user"), ("code_artifact", "assistant"), ("question", "user")}
+    deep = "<div>" * 30_000 + '<p class="user-message">hi</p>' + "</div>" * 30_000
+    assert PG._page(deep)["turns"] == [{"role": "user", "content": "hi"}]

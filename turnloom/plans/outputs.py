@@ -520,6 +520,41 @@ def s7_items(spark, sf):
     return extract_items(turns).filter("type = 'reference'").select(F.col("conv_pos").alias("page_id"), "uri")
 
 
+def chat_pages(spark, sf):
+    """The conversations as web pages of several speakers, marked in different ways; system turns are not marked."""
+    t = seeded_turns(spark, sf)
+    text = F.replace(F.replace(F.replace("content", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    kind = (F.col("idx") / 2).cast("int") % 2
+    mark = (
+        F.when((F.col("role") == "user") & (kind == 0), 'data-message-author-role="user"').when(F.col("role") == "user", 'class="row User-Message-7"')
+        .when((F.col("role") == "assistant") & (kind == 0), 'data-role="model" class="user"').when(F.col("role") == "assistant", 'data-testid="turn-Assistant"')
+        .otherwise('class="note"')
+    )
+    div = F.concat(F.lit("<section><nav>copy</nav><div "), mark, F.lit("><p>"), text, F.lit("</p><button>Retry</button></div></section>"))
+    listed = t.groupBy("conv_pos").agg(F.array_sort(F.collect_list(F.struct("idx", div.alias("d")))).alias("d"))
+    body = F.array_join(F.transform("d", lambda x: x["d"]), "\n")
+    return listed.select(
+        F.col("conv_pos").alias("page_id"), F.lit("https://chat.example/").alias("url"),
+        F.concat(F.lit("<html><title>T</title><main class='assistant-message-list'>"), body, F.lit("</main></html>")).alias("html"),
+    )
+
+
+def s7_turns(spark, sf):
+    turns = PG.page_turns(PG.read_pages(chat_pages(spark, sf)))
+    return turns.select(F.col("conv_pos").alias("page_id"), "idx", "role", F.md5(F.regexp_replace("content", r"\s+", " ")).alias("h"))
+
+
+_S7 = f"""with {SEEDED} select conv_pos as page_id, (row_number() over (partition by conv_pos order by idx) - 1)::int as idx, role,
+  md5(regexp_replace(trim(content, ' ' || chr(10)), '\s+', ' ', 'g')) as h from seeded where role in ('user', 'assistant')"""
+
+
+def s7_speaker_items(spark, sf):
+    from turnloom.operators.extract import extract_items
+
+    items = extract_items(PG.page_turns(PG.read_pages(chat_pages(spark, sf))))
+    return items.select(F.col("conv_pos").alias("page_id"), "role", "type", "content")
+
+
 _ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
 
@@ -624,6 +659,8 @@ QUERIES = {
         "select page_id, href, count(*) as n from (select page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) as href from pages) group by all",
     ),
     "f21_page_parts": (f21_parts, _F21),
+    "s7_speaker_turns": (s7_turns, _S7),
+    "s7_speaker_items": (s7_speaker_items, f"with {O.ITEMS} select conv_pos as page_id, role, type, content from items where role in ('user', 'assistant')"),
     "s7_page_items": (
         s7_items, f"select page_id, regexp_replace(regexp_extract(url, {O.lit(R.BARE_URL)}), '[.,;:!?]+$', '') as uri from pages"
     ),

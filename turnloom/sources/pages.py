@@ -213,6 +213,56 @@ def _markdown(node: _Node, in_pre: bool = False) -> str:
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
+# Attributes by which chat pages mark who speaks (role, attribute, how, value); "has" ignores case.
+MARKERS = (
+    ("user", "data-message-author-role", "is", "user"),
+    ("user", "data-role", "is", "user"),
+    ("user", "data-testid", "has", "user-message"),
+    ("user", "class", "has", "user-message"),
+    ("user", "class", "has", "user-bubble"),
+    ("assistant", "data-message-author-role", "is", "assistant"),
+    ("assistant", "data-role", "is", "model"),
+    ("assistant", "data-role", "is", "assistant"),
+    ("assistant", "data-testid", "has", "assistant"),
+    ("assistant", "data-testid", "has", "model"),
+    ("assistant", "class", "has", "assistant-message"),
+    ("assistant", "class", "has", "model-response"),
+    ("assistant", "class", "has", "bot-message"),
+)
+
+
+def _speaker(node: _Node) -> str | None:
+    """Who speaks in an element by its own marks; the first mark counts."""
+    for role, name, how, value in MARKERS:
+        own = node.attrs.get(name, "")
+        if own and (own == value if how == "is" else value in own.lower()):
+            return role
+    return None
+
+
+def _spoken(root: _Node) -> list[dict[str, str]]:
+    """The turns of a page in order: the innermost elements that are marked with a speaker, empty ones left out.
+
+    One walk with an explicit stack; an element is innermost if none was found between its start and its end.
+    """
+    found: list[tuple[str, _Node] | None] = []
+    stack: list[object] = [root]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, tuple):  # the end of a marked element that is at this place of the list
+            place, role, element = node
+            if len(found) == place + 1:
+                found[place] = (role, element)
+        elif isinstance(node, _Node):
+            role = _speaker(node)
+            if role:
+                stack.append((len(found), role, node))
+                found.append(None)
+            stack.extend(c for c in reversed(node.children) if isinstance(c, _Node))
+    turns = [(role, _markdown(node)) for role, node in filter(None, found)]
+    return [{"role": role, "content": content} for role, content in turns if content]
+
+
 def _page(html: str) -> dict[str, object]:
     builder = _Builder()
     builder.feed(html or "")
@@ -226,12 +276,14 @@ def _page(html: str) -> dict[str, object]:
         "code": [{"language": _language(p), "code": p.text(breaks=True).rstrip("\n")} for p in pres],
         "inline": [t for n in nodes if n.tag == "code" and id(n) not in inside and len(t := n.text()) < 200],
         "links": [{"label": n.text(), "href": n.attrs.get("href", "")} for n in nodes if n.tag == "a"],
+        "turns": _spoken(builder.root),
     }
 
 
 PAGE_SCHEMA = (
     "page_id bigint, url string, title string, markdown string, tables array<string>,"
-    " code array<struct<language:string,code:string>>, inline array<string>, links array<struct<label:string,href:string>>"
+    " code array<struct<language:string,code:string>>, inline array<string>, links array<struct<label:string,href:string>>,"
+    " turns array<struct<role:string,content:string>>"
 )
 
 
@@ -242,7 +294,7 @@ def read_pages(pages: DataFrame) -> DataFrame:
         for batch in batches:
             rows = pd.DataFrame([_page(h) for h in batch["html"]], index=batch.index)
             yield pd.concat([batch[["page_id", "url", "title"]], rows], axis=1)[
-                ["page_id", "url", "title", "markdown", "tables", "code", "inline", "links"]
+                ["page_id", "url", "title", "markdown", "tables", "code", "inline", "links", "turns"]
             ]
 
     titled = pages.select("page_id", "url", "html", F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"))
@@ -261,9 +313,11 @@ def page_tables(read: DataFrame) -> DataFrame:
 
 
 def page_turns(read: DataFrame) -> DataFrame:
-    """Pages as one-turn conversations, ready for the extractors."""
+    """Pages as conversations, ready for the extractors: a turn per marked speaker; a page without any is one assistant turn."""
     conv = F.concat(F.lit("p"), F.col("page_id").cast("string"))
-    return read.select(
-        conv.alias("doc_id"), conv.alias("conv_id"), F.col("page_id").alias("conv_pos"), F.lit(0).alias("idx"),
-        F.concat(conv, F.lit("_t0")).alias("turn_id"), F.lit("assistant").alias("role"), F.col("markdown").alias("content"),
+    whole = F.array(F.struct(F.lit("assistant").alias("role"), F.col("markdown").alias("content")))
+    said = F.when(F.size("turns") > 0, F.col("turns")).otherwise(whole)
+    return read.select("page_id", conv.alias("conv_id"), F.posexplode(said).alias("idx", "t")).select(
+        F.col("conv_id").alias("doc_id"), "conv_id", F.col("page_id").alias("conv_pos"), "idx",
+        F.concat("conv_id", F.lit("_t"), F.col("idx").cast("string")).alias("turn_id"), "t.role", "t.content",
     )
