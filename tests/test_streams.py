@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnloom.operators import analytics as AN
+from turnloom.plans.streams import captures
 from turnloom.streaming import jobs as J
+from turnloom.streaming import saves as SV
 
 SCHEMA = "event_id long, key string, ms long, text string"
 
@@ -67,3 +69,33 @@ def test_idle_chats_leave_the_state(spark, tmp_path):
     assert sorted((r.conv_id, r.idx) for r in got) == [("a", 0), ("a", 0), ("a", 1), ("b", 0), ("z", 0), ("z", 1)]
     kept = run(stream, lambda s: J.append_messages(chat(s), "ts", "10 seconds"), tmp_path, "k").collect()
     assert sorted((r.conv_id, r.idx) for r in kept) == [("a", 0), ("a", 1), ("a", 2), ("b", 0), ("z", 0), ("z", 1)]
+
+
+def shown(df):
+    return sorted(map(repr, df.collect()))
+
+
+def test_saves_equal_the_batch_through_compaction_and_repeats(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(c, t, rng.choice(["user", "assistant"]), f"text {c} {t}") for c in range(8) for t in range(rng.randrange(1, 12))]
+    rng.shuffle(rows)
+    src, out = str(tmp_path / "in"), str(tmp_path / "s")
+    schema = "conv_id long, turn long, role string, text string"
+    spark.createDataFrame(rows[:0], schema).write.parquet(src)
+    stream = J.read_stream(spark, src, spark.createDataFrame([], schema).schema, files=1)
+    for lo, hi in ((0, 20), (20, 30), (30, len(rows))):
+        spark.createDataFrame(rows[lo:hi], schema).coalesce(1).write.mode("append").parquet(src)
+        SV.save_documents(captures(stream), out, str(tmp_path / "cp")).awaitTermination()
+        want = SV.judged(captures(spark.createDataFrame(rows[:hi], schema)))
+        assert shown(SV.document_store(spark, out)) == shown(SV.latest_saves(want["log"]).select(*SV.document_store(spark, out).columns))
+        for kind in ("rejects", "acks"):
+            assert shown(spark.read.parquet(f"{out}/{kind}").drop("batch_id")) == shown(want[kind])
+        if hi == 20:
+            assert SV.compact_saves(spark, out) == SV.compact_saves(spark, out)
+    before = shown(SV.document_store(spark, out))
+    SV.compact_saves(spark, out)
+    assert shown(SV.document_store(spark, out)) == before and "robot" not in str(before)
+
+
+def test_an_empty_store_has_no_documents(spark, tmp_path):
+    assert SV.document_store(spark, str(tmp_path / "none")).count() == 0 and SV.compact_saves(spark, str(tmp_path / "none")) == -1

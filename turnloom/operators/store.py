@@ -16,7 +16,8 @@ def upsert(store: DataFrame, incoming: DataFrame, key: str = "doc_id", order: st
     over and over does not gather in one task.
     """
     both = store.withColumn("__new", F.lit(0)).unionByName(incoming.withColumn("__new", F.lit(1)))
-    latest = first_wins(both, [key], [F.col("__new").desc(), F.col(order).desc()])
+    content = F.xxhash64(*[c for c in both.columns if c not in (key, order, "__new")])  # equal times: the same row on every run
+    latest = first_wins(both, [key], [F.col("__new").desc(), F.col(order).desc(), content])
     born = both.groupBy(key).agg(F.min("created_at").alias("__born"))
     return latest.drop("__new").join(born, key).withColumn("created_at", F.col("__born")).drop("__born")
 

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import functions as F
 
 from turnloom.operators import search as SE
+from turnloom.operators import validate as V
 from turnloom.plans.outputs import _W9
 from turnloom.session import checkpoint_dir
 from turnloom.streaming import jobs as J
+from turnloom.streaming import saves as SV
 
 
 def _run_dir(spark) -> str:
@@ -46,6 +49,58 @@ def r1_rejects(spark, sf):
     return spark.read.parquet(f"{base}/rejects").groupBy("doc_id", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
+def captures(t):
+    """Every turn of a (streamed) conversations table saves its chat again, as a document with that turn.
+
+    By the turn's place: 1 in 6 has a role that the format doesn't know, 1 in 6 is cut short, 1 in 6 is of a newer minor version.
+    """
+    at = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    chat = F.concat(F.lit("c"), F.col("conv_id").cast("string"))
+    save = F.concat(chat, F.lit("_t"), F.col("turn").cast("string"))
+    kind = (F.col("conv_id") + F.col("turn")) % 6
+    role = F.when(kind == 1, "robot").otherwise(F.col("role"))
+    turn = F.struct(save.alias("id"), F.col("turn").cast("int").alias("index"), role.alias("role"), F.col("text").alias("content"))
+    source = F.struct(F.lit("browser").alias("kind"), F.lit("chatgpt").alias("platform"))
+    conv = F.struct(chat.alias("id"), source.alias("source"), at.alias("captured_at"), F.array(turn).alias("turns"))
+    doc = F.to_json(F.struct(
+        F.when(kind == 3, "0.2").otherwise("0.1").alias(V.VERSION_FIELD), F.concat(F.lit("doc-"), chat).alias("id"),
+        F.struct(at.alias("created_at"), at.alias("updated_at")).alias("metadata"), F.array(conv).alias("conversations"), F.array().cast("array<string>").alias("items"),
+    ))
+    return t.select(save.alias("save_id"), F.when(kind == 2, F.left(doc, F.lit(40))).otherwise(doc).alias("raw"), F.timestamp_seconds("turn").alias("saved_at"))
+
+
+@lru_cache(maxsize=16)
+def _saved(spark, sf):
+    base = _run_dir(spark)
+    SV.save_documents(captures(_table(spark, sf, "conversations")), f"{base}/s", f"{base}/cp").awaitTermination()
+    return f"{base}/s"
+
+
+def r1_store(spark, sf):
+    return SV.document_store(spark, _saved(spark, sf)).select("doc_id", "save_id", "created_at", "updated_at", F.md5("raw").alias("h"))
+
+
+def r1_save_rejects(spark, sf):
+    return spark.read.parquet(f"{_saved(spark, sf)}/rejects").select("save_id", "severity", "code", "path")
+
+
+def r1_acks(spark, sf):
+    return spark.read.parquet(f"{_saved(spark, sf)}/acks").select("save_id", "doc_id", "status", "errors", "warnings")
+
+
+_SAVES = f"""saves as (select 'c' || conv_id as chat, 'c' || conv_id || '_t' || turn as save_id, turn, (conv_id + turn) % 6 as kind, role, text,
+  strftime(to_timestamp(1700000000 + turn) at time zone 'UTC', '%Y-%m-%dT%H:%M:%SZ') as stamp from conversations),
+good as (select *, row_number() over (partition by chat order by turn desc) as rn, min(stamp) over (partition by chat) as born from saves where kind not in (1, 2))"""
+_R1_STORE = f"""with {_SAVES} select 'doc-' || chat as doc_id, save_id, born as created_at, stamp as updated_at,
+  md5('{{"{V.VERSION_FIELD}":"' || case kind when 3 then '0.2' else '0.1' end || '","id":"doc-' || chat || '","metadata":{{"created_at":"' || stamp || '","updated_at":"' || stamp
+  || '"}},"conversations":[{{"id":"' || chat || '","source":{{"kind":"browser","platform":"chatgpt"}},"captured_at":"' || stamp || '","turns":[{{"id":"' || save_id || '","index":' || turn
+  || ',"role":"' || role || '","content":' || to_json(text)::varchar || '}}]}}],"items":[]}}') as h from good where rn = 1"""
+_R1_BAD = f"""with {_SAVES} select save_id, 'error' as severity, 'schema' as code, '$.conversations[0].turns[0].role' as path from saves where kind = 1
+union all select save_id, 'error', 'not_an_object', '$' from saves where kind = 2"""
+_R1_ACKS = f"""with {_SAVES} select save_id, case when kind <> 2 then 'doc-' || chat end as doc_id, case when kind in (1, 2) then 'rejected' else 'saved' end as status,
+  (kind in (1, 2))::bigint as errors, (kind = 3)::bigint as warnings from saves"""
+
+
 def r2_without_repeats(spark, sf):
     base = _run_dir(spark)
     e = _user(_events(spark, sf)).withColumn("key", F.concat_ws("-", "doc_id", "event_type"))
@@ -117,6 +172,9 @@ select doc_id, min(ts) as created_at, max(ts) as updated_at, arg_max(event_id, t
 QUERIES = {
     "r1_capture_ingest": (r1_ingest, _R1),
     "r1_rejects": (r1_rejects, "select 'u' || user_id as doc_id, 'value_too_small' as code, count(*) as n from events where value < 5 group by 1"),
+    "r1_r2_document_store": (r1_store, _R1_STORE),
+    "r1_save_rejects": (r1_save_rejects, _R1_BAD),
+    "r1_save_acks": (r1_acks, _R1_ACKS),
     "r2_without_repeats": (r2_without_repeats, "select distinct 'u' || user_id || '-' || event_type as key from events"),
     "r3_latest_snapshot": (r3_snapshots, "select 'u' || user_id as doc_id, arg_max(event_id, ts) as event_id from events group by user_id"),
     "r4_live_messages": (
