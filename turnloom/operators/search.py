@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.operators.ordering import first_n
@@ -29,18 +30,42 @@ def write_index(index: DataFrame, table: str, buckets: int = 256) -> None:
     index.write.mode("overwrite").bucketBy(buckets, "token").sortBy("token").saveAsTable(table)
 
 
+def write_search_tables(index: DataFrame, path: str) -> None:
+    """Postings sorted by token over the files, so that a range of tokens is a part of them."""
+    index.repartitionByRange("token").sortWithinPartitions("token", "field", "conv_id").write.mode("overwrite").parquet(f"{path}/postings")
+
+
+def stored_matches(spark: SparkSession, path: str, query: str) -> DataFrame:
+    """(field, conv_id, hits) of one query over written postings.
+
+    Each term is a condition on the start of the token that the Parquet scan takes: only
+    the row groups whose range of tokens meets a term are read, whatever the index holds.
+    """
+    terms = [t for t in dict.fromkeys(re.split(r"[\W]+", query.lower())) if t]
+    postings = spark.read.parquet(f"{path}/postings")
+    if not terms:
+        return postings.select("field", "conv_id", F.lit(0).cast("bigint").alias("hits")).limit(0)
+    starts = [F.startswith("token", F.lit(t)) for t in terms]
+    met = postings.filter(reduce(Column.__or__, starts))
+    held = [F.max(s.cast("int")).alias(f"t{i}") for i, s in enumerate(starts)]
+    hits = reduce(Column.__add__, [s.cast("bigint") for s in starts])
+    per = met.groupBy("field", "conv_id").agg(F.sum(hits).alias("hits"), *held)
+    return per.filter(reduce(Column.__add__, [F.col(f"t{i}") for i in range(len(terms))]) == len(terms)).select("field", "conv_id", "hits")
+
+
 def prefix_matches(index: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, field, conv_id, hits): every term of the query is a prefix of some token of the field.
 
     Terms meet the vocabulary (distinct tokens), not the postings: each token is spread into
-    its prefixes and joined by equality, then the matching tokens fetch their postings.
+    its prefixes of the lengths that terms have and joined by equality, then the matching
+    tokens fetch their postings.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
     wanted = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
     vocabulary = index.select("token").distinct()
-    prefixes = vocabulary.select(
-        "token", F.explode(F.transform(F.sequence(F.lit(1), F.length("token")), lambda n: F.left("token", n))).alias("term")
-    )
+    lengths = [r[0] for r in terms.select(F.length("term")).distinct().collect()]  # as many as the longest term has letters
+    cuts = [F.when(F.length("token") >= n, F.left("token", F.lit(n))) for n in lengths]
+    prefixes = vocabulary.select("token", F.explode(F.array_compact(F.array(*cuts)) if cuts else F.array().cast("array<string>")).alias("term"))
     expanded = terms.join(prefixes, "term").select("query_id", "term", "token")
     met = index.join(expanded, "token").groupBy("query_id", "field", "conv_id", "term").agg(F.count(F.lit(1)).alias("tokens"))
     per = met.groupBy("query_id", "field", "conv_id").agg(F.count(F.lit(1)).alias("terms"), F.sum("tokens").alias("hits"))

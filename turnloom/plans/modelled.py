@@ -13,7 +13,7 @@ from turnloom.operators import evaluate as EV
 from turnloom.operators import reconcile as REC
 from turnloom.operators import semantic as SEM
 from turnloom.operators import validate as V
-from turnloom.operators.context import extract_context
+from turnloom.operators.context import ContextExtractor, extract_context, register, registered, rule_extractor, run_extractors
 from turnloom.operators.documents import assemble
 from turnloom.operators.ordering import number_rows
 from turnloom.operators.selection import size_gate
@@ -368,6 +368,33 @@ _RECON4 = RECON.replace("mpos, 0, 0, item_id, type, content, uri, origin, turn_i
 _X17 = f"""with recursive {O.ITEMS},{NORMAL},{_RECON4} select doc_id, count(*) as items, count(*) filter (where conv_pos % 4 = 0) as fallback_items
 from canon group by doc_id"""
 
+
+def sizes(turns):
+    """A conversation-level extractor of our own: how long each chat is, as a fact."""
+    per = turns.groupBy("doc_id", "conv_id", "conv_pos").agg(F.count(F.lit(1)).alias("n"))
+    return {"items": per.select("doc_id", "conv_id", "conv_pos", F.lit("fact").alias("type"), F.concat("conv_id", F.lit(" has "), F.col("n").cast("string"), F.lit(" turns")).alias("content"))}
+
+
+register(ContextExtractor("sizes", "deterministic", sizes))
+
+
+def d2_extractors(spark, sf):
+    out = run_extractors(seeded_turns(spark, sf), [rule_extractor(), *registered("sizes")], "deterministic")
+    return out["items"].select("doc_id", "conv_id", "type", "content", F.array_join("extractors", ",").alias("extractors"))
+
+
+def d7_repeats(spark, sf):
+    """Rules without de-duplication by content: a repeated statement stays, an item id does not come twice."""
+    return extract_context(seeded_turns(spark, sf), dedupe=False)["items"].select("doc_id", "item_id", "content")
+
+
+def d7_lenient(spark, sf):
+    """Under the lenient policy a quote that is not found still counts if its message is known."""
+    return normalised(spark, sf, "lenient")[0].select("conv_id", "ref", "type", "content", F.col("start").isNotNull().alias("located"))
+
+
+_LENIENT = NORMAL.replace("when cite = 'outside' or q_at = 0 then", "when cite = 'outside' then")
+
 # -- validation -------------------------------------------------------------------
 
 
@@ -614,6 +641,13 @@ select conv_id, md5(prompt) as h, length(prompt) as n from p""",
         f"with {O.ITEMS},{NORMAL} select 'rules' as extractor, type, count(*) as n from items group by all union all select 'model', type, count(*) from accepted group by all",
     ),
     "x17_hybrid_fallback": (x17_modes, _X17),
+    "d2_conversation_extractor": (
+        d2_extractors,
+        _RECON + " select doc_id, (select s.conv_id from seeded s where s.turn_id = r.turn_id) as conv_id, type, content, 'rules' as extractors from rules r "
+        "union all select doc_id, conv_id, 'fact', conv_id || ' has ' || count(*) || ' turns', 'sizes' from seeded group by doc_id, conv_id",
+    ),
+    "d7_without_dedupe": (d7_repeats, f"with {O.ITEMS} select doc_id, item_id, any_value(content) as content from items group by doc_id, item_id"),
+    "d7_lenient_policy": (d7_lenient, f"with {SEEDED},{_LENIENT} select conv_id, ref, type, content, start_at >= 0 as located from accepted"),
     "v1_version_gate": codes("not_an_object", "missing_version", "invalid_version", "unsupported_major_version", "requires_upgrade", "newer_minor_version"),
     "v2_unknown_types": codes("unknown_item_type"),
     "v3_structure": codes("schema"),

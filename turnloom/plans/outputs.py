@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from turnloom.functions import platform as PF
 from turnloom.functions import rules as R
 from turnloom.functions import text as X
 from turnloom.operators import analytics as AN
+from turnloom.operators import compressors as CP
 from turnloom.operators import documents as D
 from turnloom.operators import items as I
 from turnloom.operators import render as RN
@@ -20,7 +22,7 @@ from turnloom.operators import store as ST
 from turnloom.plans import oracle as O
 from turnloom.plans.extraction import FILTER, _FILTER_SQL, _LABEL, _SECTION, stored_items
 from turnloom.plans.seeded import CAPTURED, CONVS, SEEDED, conversations, documents, seeded_turns
-from turnloom.session import cut, spread
+from turnloom.session import checkpoint_dir, cut, spread
 from turnloom.sources import pages as PG
 from turnloom.sources import tree as TR
 
@@ -89,7 +91,7 @@ shown as (select *, case type when 'constraint' then '- **' || upper(replace(str
 select doc_id, -3 as section, 0 as conv_pos, -1 as block, '# Context' || chr(10) || chr(10) || 'Document `' || context_id || '` · v0.1 · updated {NOW}' || chr(10) || chr(10) || 'Sources:' || chr(10) as text from env
 union all select doc_id, -2, conv_pos, -1, '- ' || platform || ' (browser) — "' || title || '", ' || turn_count || ' turns, captured ' || captured_at || ' — ' || url || chr(10) from convs
 union all select doc_id, -1, 0, -1, chr(10) || '> Extraction: ' || case when det > 0 then '{RN.METHOD_NOTES['deterministic']}' || case when heu > 0 then '; ' else '' end else '' end
-   || case when heu > 0 then '{RN.METHOD_NOTES['heuristic']}' else '' end || '.' || chr(10) || case when heu > 0 then '> Confidence values are rule-based estimates, not model judgements. Check important items against the source turn.' || chr(10) else '' end
+   || case when heu > 0 then '{RN.METHOD_NOTES['heuristic']}' else '' end || '.' || chr(10) || case when heu > 0 then '> The numbers rank patterns; no model has judged them. Look up the turn before you rely on an entry.' || chr(10) else '' end
    || case when total < avail then chr(10) || '_Showing ' || total || ' of ' || avail || ' items (filtered)._' || chr(10) else '' end from tot where total > 0
 union all select distinct doc_id, section, -1, -1, chr(10) || '## ' || label || chr(10) || chr(10) from sel
 union all select doc_id, section, conv_pos, idx // 64, string_agg(line, '' order by idx, rank, seq) from shown group by all"""
@@ -108,7 +110,7 @@ shown as (select *, case type when 'constraint' then '- ' || upper(replace(stren
   when 'code_artifact' then coalesce(filename || ':' || chr(10), '') || '```' || language || chr(10) || content || chr(10) || '```' end || chr(10) as line from sel)
 select e.doc_id, -3 as section, 0 as conv_pos, -1 as block, '# Context handoff from CHATGPT' || chr(10) || 'Captured: {CAPTURED}' || chr(10) || 'Selected: ' || (select count(*) from seeded s where s.doc_id = e.doc_id and idx < 3)
   || ' of ' || (select count(*) from seeded s where s.doc_id = e.doc_id) || ' messages, ' || (select count(*) from sel s where s.doc_id = e.doc_id) || ' context items' || chr(10) || chr(10)
-  || 'You are continuing a conversation that started in another AI assistant.' || chr(10) || 'The user selected the context below. Treat it as your own prior memory of this project.' || chr(10) || chr(10) as text from env e
+  || 'This goes on from a chat held elsewhere.' || chr(10) || 'The user selected the context below. Treat it as your own prior memory of this project.' || chr(10) || chr(10) as text from env e
 union all select distinct doc_id, section, -1, -1, '## ' || label || chr(10) from sel
 union all select doc_id, section, conv_pos, idx // 64, string_agg(line, '' order by idx, rank, seq) from shown group by all
 union all select distinct doc_id, section, 9223372036854775807, -1, chr(10) from sel
@@ -162,6 +164,35 @@ def f13_summary(spark, sf):
     return RN.compress(conversations(t), t, max_chars=1500, keep_last=1).select("conv_id", "summary")
 
 
+def d5_compressors(spark, sf):
+    """A compressor of our own beside the one that keeps the last turns."""
+    t = seeded_turns(spark, sf)
+    conv = conversations(t)
+
+    def openers(conversations, turns):
+        return turns.groupBy("conv_id").agg(F.min_by("content", "idx").alias("summary"))
+
+    own = CP.summarise(conv, t, CP.register("openers", openers) and "openers", max_chars=60)
+    last = CP.summarise(conv, t, CP.last_turns(2, 50))
+    return own.unionByName(last.withColumn("compressor", F.lit("last_turns")))
+
+
+_D5 = f"""with {SEEDED}, f as (select conv_id, arg_min(content, idx) as s from seeded group by conv_id),
+l as (select conv_id, idx, role || ': ' || left(content, 50) as t from seeded qualify row_number() over (partition by conv_id order by idx desc) <= 2)
+select conv_id, left(s, 60) as summary, 'openers' as compressor, length(s) > 60 as cut from f
+union all select conv_id, string_agg(t, chr(10) order by idx), 'last_turns', false from l group by conv_id"""
+
+
+def i2_stored(spark, sf):
+    """Three queries over written postings; each reads the part of the tokens it needs."""
+    path = f"{checkpoint_dir(spark)}/search-{uuid.uuid4().hex}"
+    SE.write_search_tables(index_of(spark, sf), path)
+    found = [SE.stored_matches(spark, path, q).withColumn("query_id", F.lit(i).cast("bigint")) for i, q in enumerate(STORED_QUERIES)]
+    return found[0].unionByName(found[1]).unionByName(found[2]).select("query_id", "field", "conv_id", "hits")
+
+
+STORED_QUERIES = ("serv", "Sync th, a", "ch 1")
+
 _FENCE_ANY = "(?s)```([A-Za-z0-9_+-]*)\\n(.*?)```"
 _CODE3 = f"""codes3 as (select conv_id, language, code, row_number() over (partition by conv_id order by least(length(code), 4000) desc, idx desc) as place from (
   select conv_id, idx, case when regexp_extract(content, '{_FENCE_ANY}', 1) = '' then 'text' else regexp_extract(content, '{_FENCE_ANY}', 1) end as language,
@@ -170,7 +201,7 @@ _F13 = f"""with {_SHORT},{CONVS},{SENT},{_top('ctxs', R.CONTEXT_HINTS, 6)},{_top
 lastu as (select conv_id, left(content, 600) as l from seeded where role = 'user' qualify row_number() over (partition by conv_id order by idx desc) = 1),
 lastm as (select conv_id, '**' || role || ':** ' || left(content, 400) || chr(10) || chr(10) as l from seeded qualify row_number() over (partition by conv_id order by idx desc) = 1),
 whole as (select c.conv_id, '# Context handoff from ' || upper(platform) || chr(10) || 'Title: ' || title || chr(10) || 'Captured: ' || captured_at || chr(10) || chr(10)
-  || 'You are continuing a conversation that started in another AI assistant.' || chr(10) || 'Use the context below as if it were your own prior memory of this project.' || chr(10) || chr(10)
+  || 'This goes on from a chat held elsewhere.' || chr(10) || 'Take the points below as known.' || chr(10) || chr(10)
   || coalesce('## Project context' || chr(10) || (select string_agg('- ' || sentence, chr(10) order by place) from ctxs x where x.conv_id = c.conv_id) || chr(10) || chr(10), '')
   || coalesce('## Key decisions' || chr(10) || (select string_agg('- ' || sentence, chr(10) order by place) from decs x where x.conv_id = c.conv_id) || chr(10) || chr(10), '')
   || coalesce('## Open tasks / questions' || chr(10) || (select string_agg('- ' || sentence, chr(10) order by place) from tsks x where x.conv_id = c.conv_id) || chr(10) || chr(10), '')
@@ -604,6 +635,13 @@ QUERIES = {
     "t2_top_sentences": (t2_sentences, f"with {SEEDED},{SENT},{_top('ctxs', R.CONTEXT_HINTS, 6)} select conv_id, place, sentence, score from ctxs"),
     "t3_top_code": (t3_code, f"with {_SHORT},{_CODE3} select conv_id, language, code, place from codes3 where place <= 3"),
     "f13_rule_summary": (f13_summary, _F13),
+    "d5_compressors": (d5_compressors, _D5),
+    "i2_stored_search": (
+        i2_stored,
+        "with " + SEEDED + "," + CONVS + "," + _INDEX.replace("select item_id as query_id, lower(left(text, 2)) || ' ' || ['serv','sync','fast',''][(item_id % 4)::int + 1] as query from benchmark",
+                                                             "select * from (values " + ", ".join(f"({i}::bigint, {O.lit(q.lower())})" for i, q in enumerate(STORED_QUERIES)) + ") v(query_id, query)")
+        + " select query_id, field, conv_id, hits from found",
+    ),
     "f14_context_tag": (
         f14_tag,
         "select doc_id, md5('<context>' || chr(10) || case when length(text) > 2000 then left(text, 2000) || chr(10) || '...[truncated]' else text end || chr(10) || '</context>') as h from documents",
