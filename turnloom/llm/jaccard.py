@@ -10,10 +10,12 @@ large sets are listed under each of those (k = 1); sets near the boundary do
 both, so no pair is missed. The boundary is chosen by the cost of both ways.
 
 Equal sets are one node. Members of a subset or list first meet its most typical
-member, the one with the fullest prefix of shared shingles; components are
-formed; then only members of different components meet. Pairs are sifted by
-parity bits: their Hamming distance is never above the number of shingles in one
-set only, so what it rejects cannot link.
+member, the one with the fullest prefix of shared shingles, and for each of some
+minima of their hashes a member chosen anew among those that share it: a group in
+which many pairs link, but few with any one member, becomes one component by that.
+Components are formed; then only members of different components meet. Pairs are
+sifted by parity bits: their Hamming distance is never above the number of
+shingles in one set only, so what it rejects cannot link.
 A group of near copies so costs a number of pairs in proportion to its size, and
 every pair that could join two components is compared exactly.
 """
@@ -27,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.arrays import Block, blocks, columns, grams, mix, per_block, sequence_hash
-from turnloom.llm.tables import stored
+from turnloom.llm.arrays import _ODD, Block, blocks, columns, grams, mix, per_block, sequence_hash
+from turnloom.llm.tables import any_columns, stored
 from turnloom.operators.components import components
 from turnloom.operators.ordering import first_wins
 
 MEETS = 4  # members of a list that one entry meets, at most, for the cost: most of a long list is one component after the first meeting
 PARITY = 512  # bits
+MINIMA = 16  # further meetings of a set before components are formed; what they link is checked like the rest
 _BITS = [f"__b{i}" for i in range(PARITY // 64)]
 
 
@@ -72,6 +75,11 @@ def parity(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def minima(shingles: np.ndarray) -> list[int]:
+    """The least shingle under each of some orders; equal for two sets with a chance of their similarity."""
+    return [int(mix(shingles * odd).min().astype(np.int64)) for odd in _ODD[:MINIMA]]
+
+
 def may_link(a: str, b: str, percent: int) -> Column:
     """False only for rows a and b (n, parity bits) that cannot reach the similarity."""
     apart = " + ".join(f"bit_count({a}.{c} ^ {b}.{c})" for c in _BITS)
@@ -179,10 +187,10 @@ def _sets(docs: DataFrame, named: DataFrame, wanted: DataFrame, k: int) -> DataF
         bits = np.array([parity(s) for s in sets], np.int64).reshape(-1, len(_BITS))
         return columns(
             block, ["__want"], node=np.array([node_of(s) for s in sets], np.int64), shingles=pa.array([s.tobytes() for s in sets], pa.binary()),
-            n=np.array([len(s) for s in sets], np.int64), **dict(zip(_BITS, bits.T)),
+            n=np.array([len(s) for s in sets], np.int64), mins=pa.array([minima(s) if len(s) else [] for s in sets], pa.list_(pa.int64())), **dict(zip(_BITS, bits.T)),
         )
 
-    made = rows.mapInArrow(per_block(work), "__want bigint, node bigint, shingles binary, n bigint, " + ", ".join(f"{c} bigint" for c in _BITS))
+    made = rows.mapInArrow(per_block(work), "__want bigint, node bigint, shingles binary, n bigint, mins array<bigint>, " + ", ".join(f"{c} bigint" for c in _BITS))
     return made.filter("node = __want").drop("__want").dropDuplicates(["node"])
 
 
@@ -204,13 +212,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
+def _meetings(sets: DataFrame) -> DataFrame:
+    """(center, node): members that share a minimum with one of them, another one for each order."""
+    shared = sets.select("node", F.posexplode("mins").alias("j", "least"))
+    several = shared.groupBy("j", "least").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min_by("node", F.xxhash64("node", "j")).alias("center")).filter("lo < hi")
+    return shared.join(several.select("j", "least", "center"), ["j", "least"]).filter("node <> center").select("center", "node")
+
+
 def linked(docs: DataFrame, named: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, root) of all nodes that link to a different node."""
     prefixes = stored(_prefixes(docs, k, percent))
     buckets = stored(_buckets(prefixes, boundary(prefixes), percent))
     sets = stored(_sets(docs, named, buckets.select("node").distinct(), k))
     marks = sets.select("node", "n", *_BITS)
-    pairs = buckets.filter("node <> center").select("center", "node").distinct()
+    pairs = buckets.filter("node <> center").select("center", "node").union(_meetings(sets)).distinct()
     met = pairs.join(marks.alias("x"), pairs["center"] == F.col("x.node")).join(marks.alias("y"), pairs["node"] == F.col("y.node"))
     star = stored(met.filter(may_link("x", "y", percent)).select(F.col("center").alias("a"), F.col("y.node").alias("b")))
     edges = stored(_verified(star, sets, percent))
@@ -255,6 +270,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     return out.select("doc_id", F.col("__n").alias("n_shingles"), F.when(F.col("__n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+@any_columns("doc_id", "text")
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` without the others of each group: the smallest doc_id stays, then the smallest text. Empty sets all stay."""
     named, names = groups(docs, k, percent)
