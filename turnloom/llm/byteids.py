@@ -33,6 +33,8 @@ class ByteIds:
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes[i] = len(token)
         self._known: dict[str, bytes] = {}
+        self.library = Tokenizer.from_file(path)  # reads names of special ids as these ids
+        self.names = [t.content for t in self.library.get_added_tokens_decoder().values()]
 
     def _plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -60,10 +62,17 @@ class ByteIds:
         return self._known
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [_CHUNKS.findall(t) for t in texts]
+        """Ids of each text as little-endian unsigned 32-bit numbers, as the library gives them.
+
+        A text that holds the name of a special id goes to the library as a whole.
+        """
+        named = {i for i, t in enumerate(texts) if any(n in t for n in self.names)}
+        split = [[] if i in named else _CHUNKS.findall(t) for i, t in enumerate(texts)]
         known = self.learn(c for chunks in split for c in chunks)
-        return [b"".join([known[c] for c in chunks]) for chunks in split]
+        out = [b"".join([known[c] for c in chunks]) for chunks in split]
+        for i in named:
+            out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.uint32).tobytes()
+        return out
 
 
 @lru_cache(maxsize=2)
