@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from turnloom.llm.tables import stored
+from turnloom.llm.tables import any_columns, stored
 
 _KEY = ["__id", "__text"]
 _WORD = r"[^\\x20\\x09-\\x0D]+"
@@ -32,16 +32,22 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _windows(lines: DataFrame, words: int) -> DataFrame:
-    """One row per window: place (lines j to e) and fingerprint, of the shortest windows that start and of those that end at each line."""
+    """One row per window: place (lines j to e) and fingerprint, of the shortest windows that start and of those that end at each line.
+
+    All windows of a document are made inside one array of (j, e, print, digest) and
+    only that is spread over rows: a row carries a window, not the document's lines.
+    """
     add = f"(t, x) -> if(t.s < {words}, struct(t.s + x.w as s, t.n + 1 as n), t)"
     ahead = f"aggregate(slice(a, j + 1, {words}), struct(0 as s, 0 as n), {add})"
     behind = f"aggregate(reverse(slice(a, greatest(j - {words - 1}, 0) + 1, least(j + 1, {words}))), struct(0 as s, 0 as n), {add})"
-    at = lines.select(*_KEY, "a", F.expr("explode(sequence(0, size(a) - 1)) as j")).withColumns({"t": F.expr(ahead), "b": F.expr(behind)})
     # a window that ends here is no new one if it is also the shortest that starts at its first line: without this line it is too short
-    ends = f"if(b.s - a[j].w >= {words}, struct(j - b.n + 1 as j, j as e), null)"
-    spans = F.expr(f"explode(filter(array(if(t.s >= {words}, struct(j as j, j + t.n - 1 as e), null), {ends}), x -> x is not null)) as p")
-    cut = at.select(*_KEY, "a", spans).select(*_KEY, "p.j", "p.e", F.expr("transform(slice(a, p.j + 1, p.e - p.j + 1), x -> x.h)").alias("own"))
-    return cut.select(*_KEY, "j", "e", F.array_min("own").alias("print"), F.xxhash64("own").alias("digest"))
+    ends = f"if(q.b.s - a[j].w >= {words}, struct(j - q.b.n + 1 as j, j as e), null)"
+    spans = f"filter(array(if(q.t.s >= {words}, struct(j as j, j + q.t.n - 1 as e), null), {ends}), x -> x is not null)"
+    both = f"flatten(transform(array(struct({ahead} as t, {behind} as b)), q -> {spans}))"
+    own = "transform(slice(a, p.j + 1, p.e - p.j + 1), x -> x.h)"
+    marked = f"transform({both}, p -> transform(array({own}), o -> struct(p.j as j, p.e as e, array_min(o) as print, xxhash64(o) as digest))[0])"
+    rows = lines.select(*_KEY, F.explode(F.expr(f"flatten(transform(sequence(0, size(a) - 1), j -> {marked}))")).alias("w"))
+    return rows.select(*_KEY, "w.j", "w.e", "w.print", "w.digest")
 
 
 def repeats(docs: DataFrame, words: int = 50) -> tuple[DataFrame, DataFrame]:
@@ -71,6 +77,7 @@ def _kept(lines: DataFrame, runs: DataFrame) -> DataFrame:
     return cuts.select(*_KEY, F.expr(f"concat({gaps}, array(struct(element_at(r, -1).hi + 1 as start, 1000000000 as n)))").alias("__keep"), F.expr("aggregate(r, 0, (t, x) -> t + x.hi - x.lo + 1)").alias("__removed"))
 
 
+@any_columns("doc_id", "text")
 def without_repeats(docs: DataFrame, words: int = 50) -> DataFrame:
     """`docs` with later copies of runs of `words` words or more cut out of `text`, and `__removed` (lines).
 
@@ -79,6 +86,8 @@ def without_repeats(docs: DataFrame, words: int = 50) -> DataFrame:
     run they go with it. Within one document only places behind the first one are
     copies. Rows equal in doc_id and text count as one document and stay alike. A
     null or empty text stays as it is. The first place of a line is never deleted.
+    A text of 100,000 lines is one row of line hashes and windows. Other columns
+    may have any name; one called `__removed` is replaced.
     """
     lines, runs = repeats(docs, words)
     kept = _kept(lines, stored(runs)).select(F.col("__id").alias("__id2"), F.col("__text").alias("__text2"), "__keep", "__removed")
