@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.llm.arrays import Block, blocks, columns
+from turnloom.llm.tables import any_columns
 
 DIM = 512
 N = 3
@@ -103,6 +104,7 @@ def prototypes(docs: DataFrame, dim: int = DIM, n: int = N) -> tuple[list[str],
     return names, np.array([by[k] for k in names]).reshape(len(names), dim)
 
 
+@any_columns("text")
 def identify(docs: DataFrame, names: list[str], vectors: np.ndarray, keep: list[str]) -> DataFrame:
     """The named columns with `__lang` and `__score`, the cosine moved to 0..1.
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.llm.arrays import Block, columns, grams, per_block
-from turnloom.llm.tables import stored
+from turnloom.llm.tables import any_columns, stored
 
 SYMBOLS = b"#*$%&|<>"
 STEPS = 40
@@ -194,6 +194,7 @@ def _valued(rows: DataFrame) -> DataFrame:
     return rows.withColumn("__stratum", stratum).withColumn("__base_failed", base).withColumns({f"__r_{r}": F.expr(e) for r, e in RULES.items()})
 
 
+@any_columns("doc_id", "text", "lang")
 def judge(docs: DataFrame, labels: DataFrame, keep: Sequence[str], allowed: float = 0.03, delta: float = 0.1) -> DataFrame:
     """The named columns of `docs` with the counts (`__n_words` and so on), `__base_failed` and `__kept`.
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.llm.arrays import IS_SPACE, Block, blocks, columns, mix
+from turnloom.llm.tables import any_columns
 
 BITS = 20
 BALANCE = 1.5  # most that a toxic document weighs in training
@@ -103,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, bits: int = BI
     docs(doc_id, text), labels(doc_id, toxic): null labels and ids are not used; a
     document labelled both ways counts as toxic. Without labels nothing is toxic.
     """
-    known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
+    known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("__toxic"))
     known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # `sample` rows
@@ -138,6 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, bits: int = BI
     return Model(np.frombuffer(first["weights"], np.float64), first["bias"])
 
 
+@any_columns("text")
 def score(docs: DataFrame, model: Model, keep: list[str], spans: bool = False) -> DataFrame:
     """The named columns with `__score`, `__predicted`, and with `spans` the offending sentences.
 
