@@ -6,6 +6,8 @@ return the columns of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +16,16 @@ from turnloom.llm.queries import tokenizer_path
 from turnloom.llm.tables import stored
 
 
+def _numbered(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`work` on docs whose further columns are numbered, so that their names meet no other; the result is named as before."""
+    inside = [c if c in ("doc_id", "text", "lang", "n_chars") else f"c{i}" for i, c in enumerate(docs.columns)]
+    return work(docs.toDF(*inside)).select(*inside).toDF(*docs.columns)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or a cutoff certified on the labels go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.judge(docs, labels, docs.columns).filter("__kept").select(*docs.columns)
+    return _numbered(docs, lambda rows: quality.judge(rows, labels, rows.columns).filter("__kept"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,21 +34,31 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The cosine must reach the lowest of the documents labelled good that have the same
     nearest language, and `language.NOISE` in any case.
     """
-    names, vectors = language.prototypes(docs)
-    known = stored(language.identify(docs, names, vectors, docs.columns))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")
-    lowest = known.join(good, "doc_id", "left_semi").groupBy("__lang").agg(F.min("__score").alias("__least"))
-    least = F.greatest(F.lit((1 + language.NOISE) / 2), F.coalesce("__least", F.lit(0.0)))
-    rows = known.join(F.broadcast(lowest), "__lang", "left")  # a row per language
-    return rows.filter((F.col("__lang") != "und") & (F.col("__score") >= least)).select(*docs.columns)
+
+    def kept(rows: DataFrame) -> DataFrame:
+        names, vectors = language.prototypes(rows)
+        known = stored(language.identify(rows, names, vectors, rows.columns))
+        lowest = known.join(good, "doc_id", "left_semi").groupBy("__lang").agg(F.min("__score").alias("__least"))
+        least = F.greatest(F.lit((1 + language.NOISE) / 2), F.coalesce("__least", F.lit(0.0)))
+        placed = known.join(F.broadcast(lowest), "__lang", "left")  # a row per language
+        return placed.filter((F.col("__lang") != "und") & (F.col("__score") >= least))
+
+    return _numbered(docs, kept)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of runs of 50 words or more are cut out; a document that had lines and lost all of them goes."""
-    cut = lines.without_repeats(docs)
-    left = cut.filter(~((F.col("__removed") > 0) & (F.trim(F.regexp_replace("text", "[\\x09-\\x0D]", " ")) == "")))
-    return left.withColumn("n_chars", F.when(F.col("__removed") > 0, F.char_length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+    def cut(rows: DataFrame) -> DataFrame:
+        left = lines.without_repeats(rows)
+        left = left.filter(~((F.col("__removed") > 0) & (F.trim(F.regexp_replace("text", "[\\x09-\\x0D]", " ")) == "")))
+        if "n_chars" not in rows.columns:
+            return left
+        return left.withColumn("n_chars", F.when(F.col("__removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")))
+
+    return _numbered(docs, cut)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
