@@ -9,28 +9,28 @@ from turnloom.sources.fixtures import fixture_gold, fixture_turns, read_fixtures
 
 U, A, S = "user", "assistant", "system"
 CASES = {
-    "correction": ([(U, "I use React for the frontend."), (A, "Nice, React has a large ecosystem."), (U, "Actually, I switched to Vue last week.")], None,
-                   [("fact", U, 0, ["react"]), ("fact", U, 2, ["vue"])], []),
-    "django": ([(U, "I need the backend to use Django."), (A, "You could use FastAPI instead. It is faster for pure APIs.")], None,
-               [("constraint", U, 0, ["django"]), ("decision", A, 1, ["fastapi"])], [("constraint", U, ["fastapi"]), ("decision", U, ["fastapi"])]),
-    "postgres": ([(U, "I prefer PostgreSQL."), (A, "MongoDB may be easier for a document-heavy app.")], None,
-                 [("preference", U, 0, ["postgresql"]), ("decision", A, 1, ["mongodb"])], [("preference", U, ["mongodb"]), ("preference", A, ["mongodb"])]),
-    "boundary": ([(U, "The API must be versioned."), (A, "UNSELECTED: we decided to use GraphQL."), (U, "I prefer small pull requests."), (U, "UNSELECTED: the backend must use Rust.")], [0, 2],
-                 [("constraint", U, 0, ["versioned"]), ("preference", U, 2, ["small pull requests"])], [("decision", A, ["graphql"]), ("constraint", U, ["rust"])]),
-    "system": ([(S, "Always answer in English."), (U, "The app must work offline. What database should we use? Next step: add a sync prototype."),
-                (A, "You could try IndexedDB, see [MDN](https://developer.mozilla.org/docs/IndexedDB).\n```ts\nindexedDB.open('x');\n```")], None,
-               [("constraint", S, 0, ["english"]), ("constraint", U, 1, ["offline"]), ("question", U, 1, ["database"]), ("task", U, 1, ["sync prototype"]),
-                ("decision", A, 2, ["indexeddb"]), ("reference", A, 2, ["developer.mozilla.org"]), ("code_artifact", A, 2, ["indexeddb.open"])], [("constraint", U, ["indexeddb"])]),
-    "typescript": ([(U, "I'm building a TypeScript project. I prefer React and Tailwind. The backend must use Django. Authentication is required."),
-                    (A, "A common stack is the Django REST framework with JWT and PostgreSQL.")], None,
-                   [("fact", U, 0, ["typescript"]), ("preference", U, 0, ["react", "tailwind"]), ("constraint", U, 0, ["django"]), ("constraint", U, 0, ["authentication"]),
-                    ("decision", A, 1, ["rest framework"]), ("decision", A, 1, ["jwt"]), ("decision", A, 1, ["postgresql"])],
-                   [("constraint", U, ["jwt"]), ("constraint", U, ["postgresql"]), ("preference", U, ["postgresql"])]),
+    "correction": ([(U, "I keep bees on the roof."), (A, "Bees stay calm up there."), (U, "Since spring I keep them in the yard.")], None,
+                   [("fact", U, 0, ["roof"]), ("fact", U, 2, ["yard"])], []),
+    "oven": ([(U, "I need the ovens to burn oak."), (A, "You could fire with gas instead. It heats more evenly.")], None,
+               [("constraint", U, 0, ["oak"]), ("decision", A, 1, ["gas"])], [("constraint", U, ["gas"]), ("decision", U, ["gas"])]),
+    "thread": ([(U, "I prefer linen thread."), (A, "Cotton may be easier on a wide loom.")], None,
+                 [("preference", U, 0, ["linen"]), ("decision", A, 1, ["cotton"])], [("preference", U, ["cotton"]), ("preference", A, ["cotton"])]),
+    "boundary": ([(U, "The gate must be latched."), (A, "UNSELECTED: we decided to use chains."), (U, "I prefer short fence posts."), (U, "UNSELECTED: the barn must use slate.")], [0, 2],
+                 [("constraint", U, 0, ["latched"]), ("preference", U, 2, ["short fence posts"])], [("decision", A, ["chains"]), ("constraint", U, ["slate"])]),
+    "system": ([(S, "Always reply in verse."), (U, "The kiln must stay dry. Which glaze should we use? Next step: fire a small tile."),
+                (A, "You could try celadon, see [Notes](https://clay.example/docs/celadon).\n```ts\nkiln.heat('x');\n```")], None,
+               [("constraint", S, 0, ["verse"]), ("constraint", U, 1, ["dry"]), ("question", U, 1, ["glaze"]), ("task", U, 1, ["small tile"]),
+                ("decision", A, 2, ["celadon"]), ("reference", A, 2, ["clay.example"]), ("code_artifact", A, 2, ["kiln.heat"])], [("constraint", U, ["celadon"])]),
+    "boat": ([(U, "I'm designing a canal boat. I prefer oak and cork. The hull must use steel. A lifeboat is required."),
+                    (A, "A usual fitting is the Dutch leeboard frame with rope and pulleys.")], None,
+                   [("fact", U, 0, ["canal boat"]), ("preference", U, 0, ["oak", "cork"]), ("constraint", U, 0, ["steel"]), ("constraint", U, 0, ["lifeboat"]),
+                    ("decision", A, 1, ["leeboard frame"]), ("decision", A, 1, ["rope"]), ("decision", A, 1, ["pulleys"])],
+                   [("constraint", U, ["rope"]), ("constraint", U, ["pulleys"]), ("preference", U, ["pulleys"])]),
 }
 # gold, predicted, matched, origin, provenance, unsupported, forbidden and F1 of the rules, as published
 EXPECTED = {
-    "correction": (2, 0, 0, 0, 0, 0, 0, 0.0), "django": (2, 0, 0, 0, 0, 0, 0, 0.0), "postgres": (2, 1, 1, 1, 1, 0, 0, 2 / 3),
-    "boundary": (2, 2, 2, 2, 2, 0, 0, 1.0), "system": (7, 5, 5, 5, 5, 0, 0, 5 / 6), "typescript": (7, 4, 4, 4, 4, 0, 0, 8 / 11),
+    "correction": (2, 0, 0, 0, 0, 0, 0, 0.0), "oven": (2, 0, 0, 0, 0, 0, 0, 0.0), "thread": (2, 1, 1, 1, 1, 0, 0, 2 / 3),
+    "boundary": (2, 2, 2, 2, 2, 0, 0, 1.0), "system": (7, 5, 5, 5, 5, 0, 0, 5 / 6), "boat": (7, 4, 4, 4, 4, 0, 0, 8 / 11),
     "TOTAL": (22, 12, 12, 12, 12, 0, 0, 24 / 34),
 }
 

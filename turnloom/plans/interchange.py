@@ -102,7 +102,7 @@ _S9 = f"""with {SEEDED},{NORMAL} select conv_id, idx::bigint as call, case when
 def _names(t: E.TurnColumns):
     """An extractor of our own: product names as references."""
     return F.transform(
-        E.X.matches(t.prose, "Redis|Firebase|PostgreSQL|Fastify"),
+        E.X.matches(t.prose, "Porto|vinegar|rye flour|sourdough"),
         lambda x, i: E._draft(seq=i, type="reference", content=x["text"], start=x["start"], end=x["start"] + F.length(x["text"]), uri=x["text"],
                               confidence=1.0, method="deterministic", agent="names@1"),
     )
@@ -120,7 +120,7 @@ def d3_provider(spark, sf):
     """A model call is any function of the prompt; here it answers with the prompt's size or fails."""
 
     def generate(prompt: str) -> str:
-        if "Redis" in prompt:
+        if "Porto" in prompt:
             raise ValueError
         return str(len(prompt))
 
@@ -149,12 +149,12 @@ QUERIES = {
     "s9_model_outputs": (s9_outputs, _S9),
     "d1_own_extractor": (
         d1_extractor,
-        f"with {SEEDED}, n as (select turn_id, content, unnest(['Redis','Firebase','PostgreSQL','Fastify']) as name from seeded) "
+        f"with {SEEDED}, n as (select turn_id, content, unnest(['Porto','vinegar','rye flour','sourdough']) as name from seeded) "
         "select turn_id, name as content, strpos(content, name) - 1 as start_at from n where contains(content, name)",
     ),
     "d3_provider": (
         d3_provider,
-        f"with {SEEDED} select conv_id, not bool_or(contains(content, 'Redis')) as answered, case when bool_or(contains(content, 'Redis')) then 'provider_ValueError' end as code from seeded group by conv_id",
+        f"with {SEEDED} select conv_id, not bool_or(contains(content, 'Porto')) as answered, case when bool_or(contains(content, 'Porto')) then 'provider_ValueError' end as code from seeded group by conv_id",
     ),
     "d4_replay": (
         d4_replay,

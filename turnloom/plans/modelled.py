@@ -25,17 +25,17 @@ from turnloom.session import checkpoint_dir, cut
 # What the scripted model says about a turn with phrase k. Fields:
 # ref suffix, type, content, claimed origin, assertion, confidence, strength, status, quote (null: the phrase itself)
 SCRIPT = {
-    0: ("q", "question", "Should we store sessions in Redis?", "user", "explicit", 0.9, None, "open", None),
-    1: ("c", "constraint", "The API must be versioned", "user", "explicit", 0.95, "must", None, "api MUST be  versioned"),
-    2: ("c", "constraint", "No Firebase", "user", "inferred", 0.9, "must_not", None, "Do not use Firebase."),
-    3: ("c", "constraint", "Never log tokens", "user", "explicit", 0.5, None, None, "We should not log tokens."),
-    4: ("c", "constraint", "The client should retry.", "assistant", "explicit", 0.3, "should", None, "The client should retry."),
-    6: ("p", "preference", "Prefers PostgreSQL", "user", "explicit", 0.9, None, None, "“I prefer PostgreSQL.”"),
-    7: ("d", "decision", "Use Fastify", "user", "explicit", 0.9, None, "accepted", "decided to use Fastify"),
-    8: ("t", "task", "Implement a sync prototype", "user", "explicit", 0.8, None, "answered", "implement a sync prototype"),
-    9: ("t", "task", "Add validation", "user", "explicit", 0.8, None, "done", "not in the text"),
-    10: ("f", "decision", "Builds a sync service", "user", "quoted", 0.7, None, None, "We're building a sync service."),
-    11: ("f", "fact", "The backend is written in TypeScript.", "unknown", "explicit", 0.5, None, None, None),
+    0: ("q", "question", "Should we store seedlings in Porto?", "user", "explicit", 0.9, None, "open", None),
+    1: ("c", "constraint", "The jar must be labelled", "user", "explicit", 0.95, "must", None, "jar MUST be  labelled"),
+    2: ("c", "constraint", "No vinegar", "user", "inferred", 0.9, "must_not", None, "Do not use vinegar."),
+    3: ("c", "constraint", "Never stack crates", "user", "explicit", 0.5, None, None, "We should not stack crates."),
+    4: ("c", "constraint", "The oven should rest.", "assistant", "explicit", 0.3, "should", None, "The oven should rest."),
+    6: ("p", "preference", "Prefers rye flour", "user", "explicit", 0.9, None, None, "“I prefer rye flour.”"),
+    7: ("d", "decision", "Use sourdough", "user", "explicit", 0.9, None, "accepted", "decided to use sourdough"),
+    8: ("t", "task", "Design a tasting menu", "user", "explicit", 0.8, None, "answered", "design a tasting menu"),
+    9: ("t", "task", "Order salt", "user", "explicit", 0.8, None, "done", "not in the text"),
+    10: ("f", "decision", "Plans a harvest feast", "user", "quoted", 0.7, None, None, "We're planning a harvest feast."),
+    11: ("f", "fact", "Our stack is written in pencil.", "unknown", "explicit", 0.5, None, None, None),
     12: ("r", "reference", "https://b.example/x", "user", "explicit", 0.99, None, None, "https://b.example/x"),
     13: ("k", "code_artifact", "export const r = 1;", "assistant", "explicit", 0.99, None, None, "export const r = 1;"),
 }
@@ -529,7 +529,7 @@ def v13_blocking(spark, sf):
 
 
 # -- evaluation -------------------------------------------------------------------
-GOLD = (("constraint", "user", "api"), ("constraint", "user", "versioned"), ("constraint", "user", "firebase"), ("decision", "user", "fastify"),
+GOLD = (("constraint", "user", "jar"), ("constraint", "user", "labelled"), ("constraint", "user", "vinegar"), ("decision", "user", "sourdough"),
         ("preference", "user", "postgresql"), ("task", "user", "sync"), ("question", "user", "redis"), ("reference", "assistant", "guide"), ("fact", "user", "nothing like it"))
 FORBID = (("constraint", "system", "retry", "unconfirmed"), ("constraint", "system", "the", "too broad"), ("decision", "assistant", "fastify", "assistant choice"))
 

@@ -191,7 +191,7 @@ def i2_stored(spark, sf):
     return found[0].unionByName(found[1]).unionByName(found[2]).select("query_id", "field", "conv_id", "hits")
 
 
-STORED_QUERIES = ("serv", "Sync th, a", "ch 1")
+STORED_QUERIES = ("harv", "Tast th, a", "ch 1")
 
 _FENCE_ANY = "(?s)```([A-Za-z0-9_+-]*)\\n(.*?)```"
 _CODE3 = f"""codes3 as (select conv_id, language, code, row_number() over (partition by conv_id order by least(length(code), 4000) desc, idx desc) as place from (
@@ -456,14 +456,14 @@ def index_of(spark, sf):
 def _searches(spark, sf):
     """A query per benchmark row: its first word's start, and the start of a seeded phrase's word."""
     b = spark.read.parquet(f"{sf}/benchmark.parquet")
-    second = F.get(F.array(F.lit("serv"), F.lit("Sync"), F.lit("fast"), F.lit("")), (F.col("item_id") % 4).cast("int"))
+    second = F.get(F.array(F.lit("harv"), F.lit("Tast"), F.lit("sour"), F.lit("")), (F.col("item_id") % 4).cast("int"))
     return b.select(F.col("item_id").alias("query_id"), F.concat(F.lower(F.left("text", F.lit(2))), F.lit(" "), second).alias("query"))
 
 
 _INDEX = f"""tok as (select distinct field, conv_id, token from (
   select 'title' as field, conv_id, unnest(regexp_split_to_array(lower(title), '[^\\p{{L}}\\p{{N}}_]+')) as token from convs
   union all select 'content', conv_id, unnest(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}_]+')) from seeded) where token <> ''),
-qs as (select item_id as query_id, lower(left(text, 2)) || ' ' || ['serv','sync','fast',''][(item_id % 4)::int + 1] as query from benchmark),
+qs as (select item_id as query_id, lower(left(text, 2)) || ' ' || ['harv','tast','sour',''][(item_id % 4)::int + 1] as query from benchmark),
 terms as (select distinct query_id, term from (select query_id, unnest(regexp_split_to_array(query, '[^\\p{{L}}\\p{{N}}_]+')) as term from qs) where term <> ''),
 met as (select query_id, field, conv_id, count(distinct term) as n, count(*) as hits from terms join tok on starts_with(token, term) group by all),
 found as (select m.* from met m where n = (select count(*) from terms t where t.query_id = m.query_id))"""
@@ -638,7 +638,7 @@ QUERIES = {
     "d5_compressors": (d5_compressors, _D5),
     "i2_stored_search": (
         i2_stored,
-        "with " + SEEDED + "," + CONVS + "," + _INDEX.replace("select item_id as query_id, lower(left(text, 2)) || ' ' || ['serv','sync','fast',''][(item_id % 4)::int + 1] as query from benchmark",
+        "with " + SEEDED + "," + CONVS + "," + _INDEX.replace("select item_id as query_id, lower(left(text, 2)) || ' ' || ['harv','tast','sour',''][(item_id % 4)::int + 1] as query from benchmark",
                                                              "select * from (values " + ", ".join(f"({i}::bigint, {O.lit(q.lower())})" for i, q in enumerate(STORED_QUERIES)) + ") v(query_id, query)")
         + " select query_id, field, conv_id, hits from found",
     ),

@@ -13,18 +13,18 @@ from pyspark.sql import functions as F
 from turnloom.session import spread
 
 PHRASES = (
-    "Should we store sessions in Redis?",
-    "The API must be versioned.",
-    "Do not use Firebase.",
-    "We should not log tokens.",
-    "The client should retry.",
-    "I don't know if it must scale.",
-    "I prefer PostgreSQL.",
-    "We decided to use Fastify.",
-    "Please implement a sync prototype.",
-    "Next step: add validation.",
-    "We're building a sync service.",
-    "The backend is written in TypeScript.",
+    "Should we store seedlings in Porto?",
+    "The jar must be labelled.",
+    "Do not use vinegar.",
+    "We should not stack crates.",
+    "The oven should rest.",
+    "I don't know if it must dry.",
+    "I prefer rye flour.",
+    "We decided to use sourdough.",
+    "Please design a tasting menu.",
+    "Next step: order more salt.",
+    "We're planning a harvest feast.",
+    "Our stack is written in pencil.",
     "See [Guide](https://a.example/g) and https://b.example/x.",
     "```ts src/r.ts\nexport const r = 1;\n```",
     "![img](https://c.example/i.png)",
