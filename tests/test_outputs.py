@@ -1,6 +1,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from turnloom.functions import media, secrets
@@ -121,3 +122,21 @@ def test_streams_over_several_batches_equal_one_batch(spark, tmp_path):
         mine = [r for r in good if r[1] == k]
         assert view[k].event_id == max(mine)[0] and view[k].created_at.timestamp() == min(r[2] for r in mine)
     assert spark.read.parquet(bad).count() == len(rows) - len(good)
+
+
+@pytest.mark.parametrize("fan", [1, 2, 5, 256])
+def test_debounce_through_groups_of_blocks_equals_the_walk(spark, fan):
+    """Few windows to a block and few blocks to a group; bursts, gaps over whole groups, ties and a key with most events."""
+    rnd = random.Random(fan)
+    rows, at = [], 0
+    for i in range(4000):
+        at += rnd.choice([0, 1, 1, 2, 3, 9, 10, 11, 25]) if rnd.random() > 0.01 else rnd.randrange(400, 3000)
+        rows.append((i, "hot" if rnd.random() < 0.9 else rnd.choice("ab"), at))
+    want, last = set(), {}
+    for i, k, t in sorted(rows, key=lambda r: (r[2], r[0])):
+        if k not in last or t - last[k] >= 10:
+            want.add(i)
+            last[k] = t
+    df = spark.createDataFrame(rows, "event_id long, key string, s long").withColumn("ts", F.timestamp_seconds(F.col("s") - 20_000)).repartition(5)
+    got = AN.debounce(df, "key", "ts", "event_id", 10, windows_per_block=4, fan=fan)
+    assert {r.event_id for r in got.collect()} == want

@@ -61,15 +61,15 @@ def recent_relays(relays: DataFrame, n: int = 5) -> DataFrame:
 # -- debounce ---------------------------------------------------------------------
 
 
-def _whole_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _whole_blocks(batches: Iterator[pd.DataFrame], column: str = "block") -> Iterator[pd.DataFrame]:
     """Re-cut sorted Arrow batches so that no (key, block) is split between two of them."""
     rest: list[pd.DataFrame] = []
     for batch in batches:
         if batch.empty:
             continue
-        last = (batch["key"] == batch["key"].iloc[-1]) & (batch["block"] == batch["block"].iloc[-1])
+        last = (batch["key"] == batch["key"].iloc[-1]) & (batch[column] == batch[column].iloc[-1])
         first = int(last.to_numpy().argmax())
-        if first == 0 and rest and (rest[-1]["key"].iloc[-1], rest[-1]["block"].iloc[-1]) == (batch["key"].iloc[0], batch["block"].iloc[0]):
+        if first == 0 and rest and (rest[-1]["key"].iloc[-1], rest[-1][column].iloc[-1]) == (batch["key"].iloc[0], batch[column].iloc[0]):
             rest.append(batch)
             continue
         head = pd.concat([*rest, batch.iloc[:first]], ignore_index=True)
@@ -125,30 +125,86 @@ def _transfers(window: int, size: int):
     return run
 
 
+class _Table:
+    """A block from outside: the last emission before it to the last one behind it.
+
+    The next emission is the first entry at or after `last + window`; its chain ends at the
+    exit beside it. Without such an entry nothing is emitted and `last` stays.
+    """
+
+    def __init__(self, entry: np.ndarray, exit_: np.ndarray):
+        self.entry, self.exit = entry, exit_
+
+    def apply(self, last: np.ndarray, window: int) -> np.ndarray:
+        at = np.searchsorted(self.entry, last + window, side="left")
+        return np.where(at < len(self.exit), self.exit[np.minimum(at, len(self.exit) - 1)], last)
+
+
+def _tables(pdf: pd.DataFrame, column: str) -> Iterator[tuple[object, int, _Table, pd.DataFrame]]:
+    """(key, value of the column, table, rows) for each run of sorted rows."""
+    keys, blocks = pdf["key"].to_numpy(), pdf[column].to_numpy()
+    change = np.append(True, (keys[1:] != keys[:-1]) | (blocks[1:] != blocks[:-1]))
+    starts = np.append(np.nonzero(change)[0], len(pdf))
+    entry, exit_ = pdf["entry_us"].to_numpy(), pdf["exit_us"].to_numpy()
+    for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+        yield keys[lo], int(blocks[lo]), _Table(entry[lo:hi], exit_[lo:hi]), pdf.iloc[lo:hi]
+
+
+def _composed(window: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The tables of neighbouring blocks as one table: what enters the first block (or, past
+        it, the next one) is carried through the others."""
+        for pdf in _whole_blocks(batches, "group"):
+            for key, group, _, rows in _tables(pdf, "group"):
+                parts = [t for _, _, t, _ in _tables(rows, "block")]
+                entry, out = parts[0].entry, parts[0].exit
+                for n, part in enumerate(parts[1:]):
+                    out = part.apply(out, window)
+                    if n == 0:  # later entries than the first block's: all meet the first one behind it
+                        entry, out = np.append(entry, part.entry[0]), np.append(out, part.exit[0])
+                keep = np.append(out[1:] != out[:-1], True)
+                yield pd.DataFrame({"key": key, "block": group, "entry_us": entry[keep], "exit_us": out[keep]})
+
+    return run
+
+
 def _entries(window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Walk the blocks of each key in order: the last emission before each block. Only that
         emission is carried on, so a key of any length streams through."""
         key, last = None, None
         for pdf in _whole_blocks(batches):
-            keys, blocks = pdf["key"].to_numpy(), pdf["block"].to_numpy()
-            entry, exit_ = pdf["entry_us"].to_numpy(), pdf["exit_us"].to_numpy()
-            change = np.append(True, (keys[1:] != keys[:-1]) | (blocks[1:] != blocks[:-1]))
-            starts = np.append(np.nonzero(change)[0], len(pdf))
             seen = []
-            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
-                if keys[lo] != key:
-                    key, last = keys[lo], None
-                seen.append(last)
-                at = lo if last is None else lo + int(np.searchsorted(entry[lo:hi], last + window, side="left"))
-                if at < hi:
-                    last = int(exit_[at])
-            first = starts[:-1]
-            yield pd.DataFrame({"key": keys[first], "block": blocks[first], "last_us": pd.array(seen, dtype="Int64")})
+            for k, block, table, _ in _tables(pdf, "block"):
+                if k != key:
+                    key, last = k, None
+                seen.append((k, block, last))
+                last = int(table.exit[0]) if last is None else int(table.apply(np.array([last]), window)[0])
+            yield _known(seen)
+
+    return run
+
+
+def _within(window: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The last emission before each block of a group, from the one before the group."""
+        for pdf in _whole_blocks(batches, "group"):
+            seen = []
+            for key, _, _, rows in _tables(pdf, "group"):
+                first = rows["last_us"].iloc[0]
+                last = None if pd.isna(first) else int(first)
+                for _, block, table, _ in _tables(rows, "block"):
+                    seen.append((key, block, last))
+                    last = int(table.exit[0]) if last is None else int(table.apply(np.array([last]), window)[0])
+            yield _known(seen)
 
     return run
 
 
+def _known(seen: list[tuple[object, int, int | None]]) -> pd.DataFrame:
+    return pd.DataFrame({"key": [k for k, _, _ in seen], "block": [b for _, b, _ in seen], "last_us": pd.array([x for _, _, x in seen], dtype="Int64")})
+
+
 def _emit(window: int, size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _whole_blocks(batches):
@@ -169,13 +225,15 @@ def _emit(window: int, size: int):
     return run
 
 
-def debounce(events: DataFrame, key: str, ts: str, tie: str, seconds: int, windows_per_block: int = 1024) -> DataFrame:
+def debounce(events: DataFrame, key: str, ts: str, tie: str, seconds: int, windows_per_block: int = 1024, fan: int = 256) -> DataFrame:
     """Events that come at least `seconds` after the last *emitted* one of their key.
 
     Emission depends on the one before, so a key is a chain. It is cut into time blocks:
-    each block is turned into a small table from entry to exit, those tables are walked per
-    key (their size follows the time span, not the number of events), and the blocks then
-    emit independently. A key with any share of the events is spread over its blocks.
+    each block is turned into a small table from entry to exit, the tables of `fan`
+    neighbouring blocks are composed into one, and only these are walked per key. The way
+    back is the same: from the group to its blocks, which then emit independently. A key
+    with any share of the events is spread over its blocks and groups; one task per key
+    walks a table for every `fan * windows_per_block` windows.
     """
     us, window = F.unix_micros(F.col(ts).cast("timestamp")), seconds * 1_000_000
     size = window * windows_per_block
@@ -188,8 +246,13 @@ def debounce(events: DataFrame, key: str, ts: str, tie: str, seconds: int, windo
     slim = times.select("key", "block", "us")
     by_block = slim.repartition("key", "block").sortWithinPartitions("key", "block", "us")
     transfers = by_block.mapInPandas(_transfers(window, size), "key string, block long, entry_us long, exit_us long")
-    by_key = transfers.repartition("key").sortWithinPartitions("key", "block", "entry_us")
-    entered = by_key.mapInPandas(_entries(window), "key string, block long, last_us long")
+    grouped = transfers.withColumn("group", F.floor(F.col("block") / F.lit(fan)).cast("bigint"))
+    by_group = grouped.repartition("key", "group").sortWithinPartitions("key", "group", "block", "entry_us")
+    composed = by_group.mapInPandas(_composed(window), "key string, block long, entry_us long, exit_us long")
+    by_key = composed.repartition("key").sortWithinPartitions("key", "block", "entry_us")
+    before = by_key.mapInPandas(_entries(window), "key string, block long, last_us long").withColumnRenamed("block", "group")
+    placed = grouped.join(before, ["key", "group"]).repartition("key", "group").sortWithinPartitions("key", "group", "block", "entry_us")
+    entered = placed.mapInPandas(_within(window), "key string, block long, last_us long")
     ready = slim.join(entered, ["key", "block"]).repartition("key", "block").sortWithinPartitions("key", "block", "us")
     emitted = ready.mapInPandas(_emit(window, size), "key string, us long")
     firsts = times.join(emitted, ["key", "us"], "left_semi").select("key", "__tie")
