@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -102,3 +103,28 @@ def test_pages_of_several_speakers_give_turns(spark):
     assert {(r.type, r.role) for r in extract_items(turns).collect()} == {("decision", "user"), ("code_artifact", "assistant"), ("question", "user")}
     deep = "<div>" * 30_000 + '<p class="user-message">hi</p>' + "</div>" * 30_000
     assert PG._page(deep)["turns"] == [{"role": "user", "content": "hi"}]
+
+
+def test_records_are_cut_out_of_files_by_splits(spark, tmp_path):
+    """Braces, quotes and escapes in strings, arrays on one line, pretty ones, lines of objects, a file that breaks off; splits of 50 bytes."""
+    rng = random.Random(7)
+    bits = ["}", "{", '"', "\\", "\\\\", "[", "]", ",", "\n", "é", "🎉", "a b", "}]", '{"x":"}', "\u2028"]
+    make = lambda d: {"".join(rng.choice(bits) for _ in range(rng.randrange(4))) + str(i): "".join(rng.choice(bits) for _ in range(rng.randrange(6))) if d == 0 or rng.random() < 0.6 else [make(d - 1)] * 2 for i in range(rng.randrange(4))}
+    files = {f"f{i}.json": [make(2) for _ in range(rng.randrange(1, 9))] for i in range(12)}
+    for i, (name, records) in enumerate(files.items()):
+        text = [json.dumps(records), json.dumps(records, indent=2, ensure_ascii=False), "\n".join(map(json.dumps, records)), json.dumps(records[0])][i % 4]
+        files[name] = records[:1] if i % 4 == 3 else records
+        (tmp_path / name).write_text(text + ("\n" if i % 3 == 0 else ""))
+    (tmp_path / "cut.json").write_text('[{"a": "x}"}, {"b": {"c": 1}')
+    (tmp_path / "none.json").write_text(" []\n")
+    (tmp_path / "empty.json").write_text("")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50")
+    try:
+        rows = ST.read_records(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.file, r.pos)):
+        got.setdefault(r.file.rsplit("/", 1)[1], []).append(r.raw)
+    assert got.pop("cut.json") == ['{"a": "x}"}', '{"b": {"c": 1}']
+    assert {n: [json.loads(x) for x in v] for n, v in got.items()} == files

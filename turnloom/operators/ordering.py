@@ -53,3 +53,19 @@ def number_rows(
         .withColumn(name, (F.col("__shift") + F.col("__in") - 1).cast("bigint"))
         .drop("__block", "__in", "__shift")
     )
+
+
+def sums_before(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[Column | str], **values: Column) -> DataFrame:
+    """Each named value summed over the rows before (0 for the first), for keys of any size.
+
+    `block` never decreases along `order`. Rows are summed inside (key, block), and the
+    block totals, few, are summed per key and added.
+    """
+    marked = df.withColumns({f"__v_{n}": v for n, v in values.items()})
+    totals = marked.groupBy(*keys, block).agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in values])
+    earlier = W.partitionBy(*keys).orderBy(block).rowsBetween(W.unboundedPreceding, -1)
+    shifts = totals.select(*keys, block, *[F.coalesce(F.sum(f"__t_{n}").over(earlier), F.lit(0)).alias(f"__s_{n}") for n in values])
+    inner = W.partitionBy(*keys, block).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    placed = marked.join(shifts, [*keys, block])
+    out = placed.withColumns({n: (F.coalesce(F.sum(f"__v_{n}").over(inner), F.lit(0)) + F.col(f"__s_{n}")).cast("bigint") for n in values})
+    return out.drop(*[f"__{x}_{n}" for x in "vs" for n in values])

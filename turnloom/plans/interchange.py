@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from turnloom import schema as S
@@ -12,7 +14,7 @@ from turnloom.operators.selection import size_gate
 from turnloom.plans import oracle as O
 from turnloom.plans.modelled import NORMAL, script_rows
 from turnloom.plans.seeded import CAPTURED, SEEDED, seeded_turns
-from turnloom.session import spread
+from turnloom.session import checkpoint_dir, spread
 from turnloom.sources import turns as ST
 
 
@@ -38,6 +40,19 @@ def s2_records(spark, sf):
     return ST.record_turns(parsed, F.lit("2025-06-01T00:00:00.000Z")).select("file", "conv_id", "platform", "role", F.md5("content").alias("h"))
 
 
+def s2_files(spark, sf):
+    """The same records written as JSON arrays, an array per document, and read back by splits."""
+    path = f"{checkpoint_dir(spark)}/records-{uuid.uuid4().hex}"
+    rows = _records(spark, sf).filter("not endswith(file, '_t5')")
+    doc = F.floor(F.regexp_extract("file", r"c(\d+)_", 1).cast("bigint") / 10)
+    arrays = rows.groupBy(doc.alias("d")).agg(F.array_sort(F.collect_list("raw")).alias("r"))
+    gap = F.when(F.col("d") % 2 == 0, F.lit(",")).otherwise(F.lit(" ,\n\t"))
+    arrays.select(F.concat(F.lit("["), F.array_join(F.transform("r", lambda x: F.concat(x, gap)), ""), F.lit("{}]")).alias("value")).write.text(path)
+    parsed = ST.parse_records(ST.read_records(spark, path))
+    turns = ST.record_turns(parsed, F.lit("2025-06-01T00:00:00.000Z"))
+    return turns.select("conv_id", "platform", "role", F.md5("content").alias("h"))
+
+
 def s2_rejected(spark, sf):
     return ST.parse_records(_records(spark, sf)).filter("reason is not null").select("file", "reason")
 
@@ -137,6 +152,7 @@ def d4_replay(spark, sf):
 
 QUERIES = {
     "s2_s3_records": (s2_records, _S2),
+    "s2_record_files": (s2_files, f"select conv_id, platform, role, h from ({_S2})"),
     "s2_rejected_records": (
         s2_rejected, f"with {SEEDED} select turn_id as file, case idx when 5 then 'not_a_conversation' else 'bad_role' end as reason from seeded where idx in (5, 6)"
     ),

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from turnloom import schema as S
 from turnloom.functions import text as X
-from turnloom.operators.ordering import number_rows
+from turnloom.operators.ordering import number_rows, sums_before
+from turnloom.session import cut
 
 ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})$"
 
@@ -90,15 +91,50 @@ def clean_title(c: Column) -> Column:
     return F.when(short == "", F.lit("Conversation")).otherwise(short)
 
 
+_STRING = r'(?s)"(?:[^"\\]|\\.)*+(?:"|$)'
+_REST = r'(?s)^(?:[^"\\]|\\.)*+(?:"|$)'
+
+
+def _opened(text: Column) -> Column:
+    """Braces opened outside of strings, for a text that starts outside of one."""
+    bare = F.regexp_replace(text, _STRING, "")
+    return F.length(bare) - F.length(F.replace(bare, F.lit("{"), F.lit("")))
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Recorded conversations, one JSON file each, one object or an array of them. `raw` keeps the text."""
-    files = spark.read.text(path, wholetext=True).select(
-        F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file")
+    """(file, pos, raw): the JSON objects of files that hold one, an array of them, or one after the other.
+
+    Files are read in splits and cut at closing braces, wherever these lie, so an array of
+    many gigabytes on one line is read by many tasks. Whether a piece starts inside a
+    string, and how deep, follows from sums over the pieces before it; a record ends where
+    the depth is 0 again. Nothing longer than a record is held. What is left of a file that
+    breaks off is a record that can't be parsed.
+    """
+    pieces = cut(
+        spark.read.option("lineSep", "}").text(path).select(
+            "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"),
+            F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("n"),
+        )
+    )
+    quotes = F.regexp_replace("value", r"(?s)\\.", "")
+    odd = ((F.length(quotes) - F.length(F.replace(quotes, F.lit('"'), F.lit("")))) % 2).cast("bigint")
+    slim = pieces.select(
+        "file", "split", "n", "size", odd.alias("odd"), (F.octet_length("value") + 1).cast("bigint").alias("bytes"),
+        _opened(F.col("value")).alias("outside"), _opened(F.regexp_replace("value", _REST, "")).alias("inside"),
     )
-    is_list = F.ltrim(F.col("raw")).startswith("[")
-    many = F.from_json(F.when(is_list, F.col("raw")), "array<string>")
-    one = F.array(F.when(~is_list, F.col("raw")))
-    return files.select("file", F.posexplode(F.coalesce(F.when(is_list, many), one)).alias("pos", "raw"))
+    stated = sums_before(slim, ["file"], "split", ["n"], quoted=F.col("odd"), at=F.col("bytes"))
+    closes = ((F.col("quoted") + F.col("odd")) % 2 == 0) & (F.col("at") + F.col("bytes") <= F.col("size"))
+    moved = F.when(F.col("quoted") % 2 == 0, F.col("outside")).otherwise(F.col("inside")) - closes.cast("int")
+    deep = sums_before(stated.select("file", "split", "n", closes.alias("closes"), moved.alias("moved"), (F.col("at") + F.col("bytes") <= F.col("size")).alias("brace")),
+                       ["file"], "split", ["n"], depth=F.col("moved"))
+    ends = F.col("closes") & (F.col("depth") + F.col("moved") <= 0)
+    numbered = sums_before(deep, ["file"], "split", ["n"], pos=ends.cast("bigint"))
+    text = F.concat("value", F.when(F.col("brace"), "}").otherwise(""))
+    parts = numbered.select("file", "n", "split", "pos", "brace").join(pieces.select("file", "n", "value"), ["file", "n"])
+    whole = parts.groupBy("file", "pos").agg(F.array_sort(F.collect_list(F.struct("split", "n", text.alias("t")))).alias("p"))
+    joined = F.array_join(F.transform("p", lambda x: x["t"]), "")
+    records = whole.select("file", "pos", F.regexp_replace(joined, r"^[\s,\[\]\x{feff}]+", "").alias("raw"))
+    return records.filter("raw <> ''")
 
 
 def parse_records(records: DataFrame, raw: str = "raw") -> DataFrame:
