@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from turnloom.plans import oracle as O
 from turnloom.plans.modelled import NORMAL, script_rows
 from turnloom.plans.seeded import CAPTURED, SEEDED, seeded_turns
 from turnloom.session import checkpoint_dir, spread
+from turnloom.sources import fixtures as FX
 from turnloom.sources import turns as ST
 
 
@@ -78,6 +80,34 @@ def _documents(spark, sf):
     return spread(t.select(F.col("turn_id").alias("doc_id"), raw.alias("raw")), "doc_id")
 
 
+@lru_cache(maxsize=8)
+def _fixtures(spark, sf):
+    """A fixture per conversation, an array of them per file; every other one selects two turns."""
+    t = seeded_turns(spark, sf)
+    said = F.array_sort(F.collect_list(F.struct("idx", F.struct("role", "content").alias("m"))))
+    per = t.groupBy("conv_id", "conv_pos").agg(F.transform(said, lambda x: x["m"]).alias("messages"))
+    gold = F.array(F.struct(F.lit("question").alias("type"), F.lit("user").alias("origin"), F.lit(0).alias("message"), F.array(F.lit("porto")).alias("match")))
+    bad = F.array(F.struct(F.lit("decision").alias("type"), F.lit("user").alias("origin"), F.array(F.col("conv_id")).alias("match"), F.lit("names a chat").alias("reason")))
+    fixture = F.to_json(F.struct(
+        F.col("conv_id").alias("id"), F.struct(F.lit("chatgpt").alias("source"), F.lit(CAPTURED).alias("capturedAt"), "messages").alias("conversation"),
+        F.when(F.col("conv_pos") % 2 == 0, F.array(F.lit(0), F.lit(2))).alias("selection"), gold.alias("expected"), bad.alias("forbidden"),
+    ))
+    path = f"{checkpoint_dir(spark)}/fixtures-{uuid.uuid4().hex}"
+    files = per.groupBy(F.floor(F.col("conv_pos") / 10).alias("d")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(fixture), ",\n"), F.lit("]")).alias("value"))
+    files.write.partitionBy("d").text(path)
+    return FX.read_fixtures(spark, path, "*.txt")
+
+
+def s8_turns(spark, sf):
+    return FX.fixture_turns(_fixtures(spark, sf)).select("conv_id", "idx", "turn_id", "role", F.md5("content").alias("h"))
+
+
+def s8_specs(spark, sf):
+    gold, bad = FX.fixture_gold(_fixtures(spark, sf))
+    one = gold.select("doc_id", F.lit("expected").alias("kind"), "type", "origin", F.array_join("match", ",").alias("words"))
+    return one.unionByName(bad.select("doc_id", F.lit("forbidden").alias("kind"), "type", "origin", F.array_join("match", ",").alias("words")))
+
+
 def s4_documents(spark, sf):
     return V.validate(V.stored(V.parse_documents(_documents(spark, sf)))).select("doc_id", "severity", "code", "path")
 
@@ -156,6 +186,14 @@ QUERIES = {
     "s2_rejected_records": (
         s2_rejected, f"with {SEEDED} select turn_id as file, case idx when 5 then 'not_a_conversation' else 'bad_role' end as reason from seeded where idx in (5, 6)"
     ),
+    "s8_fixture_turns": (
+        s8_turns, f"with {SEEDED} select conv_id, idx, turn_id, role, md5(content) as h from seeded where conv_pos % 2 = 1 or idx in (0, 2)"
+    ),
+    "s8_fixture_specs": (
+        s8_specs,
+        f"with {SEEDED}, c as (select distinct conv_id as doc_id from seeded) select doc_id, 'expected' as kind, 'question' as type, 'user' as origin, 'porto' as words from c "
+        "union all select doc_id, 'forbidden', 'decision', 'user', doc_id from c",
+    ),
     "s4_documents": (
         s4_documents,
         f"with {SEEDED} select turn_id as doc_id, 'error' as severity, case idx when 5 then 'not_an_object' else 'unsupported_major_version' end as code, "

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from turnloom.operators import search as SE
 from turnloom.operators import validate as V
+from turnloom.operators.ordering import first_wins
 from turnloom.plans.outputs import _W9
 from turnloom.session import checkpoint_dir
 from turnloom.streaming import jobs as J
@@ -110,7 +111,8 @@ def r2_without_repeats(spark, sf):
 def r3_snapshots(spark, sf):
     base = _run_dir(spark)
     e = _user(_events(spark, sf)).select("doc_id", "ts", "event_id")
-    return J.run_to_table(J.latest_snapshots(e, "doc_id", "ts"), f"{base}/out", f"{base}/cp", "complete").select("doc_id", "event_id")
+    changes = J.run_to_table(J.latest_snapshots(e, "doc_id", "ts"), f"{base}/out", f"{base}/cp", "update")
+    return first_wins(changes, ["doc_id"], [F.col("batch_id").desc()]).select("doc_id", "event_id")
 
 
 def r4_append(spark, sf):
@@ -145,7 +147,7 @@ def r6_counters(spark, sf):
 
 def r7_daily(spark, sf):
     base = _run_dir(spark)
-    return J.run_to_table(J.daily(_events(spark, sf).select("ts"), "ts"), f"{base}/out", f"{base}/cp", "complete")
+    return J.run_in_order(_events(spark, sf).select("ts"), "ts", lambda rows: J.daily(rows, "ts", "40 days"), f"{base}/out", f"{base}/cp", f"{base}/marks")
 
 
 def r8_index(spark, sf):
@@ -162,7 +164,7 @@ def r8_index(spark, sf):
 def r9_sessions(spark, sf):
     base = _run_dir(spark)
     e = _events(spark, sf).select("user_id", "ts")
-    out = J.run_to_table(J.sessions(e, "user_id", "ts", "6 hours"), f"{base}/out", f"{base}/cp", "complete")
+    out = J.run_in_order(e, "ts", lambda rows: J.sessions(rows, "user_id", "ts", "6 hours", "40 days"), f"{base}/out", f"{base}/cp", f"{base}/marks")
     return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest"))
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from turnloom import schema as S
 
 
-def read_fixtures(spark: SparkSession, path: str) -> DataFrame:
-    """`*.eval.json` below `path`, one row per fixture."""
-    return spark.read.schema(S.EVAL_FIXTURE).option("multiLine", True).option("pathGlobFilter", "*.eval.json").option(
+def read_fixtures(spark: SparkSession, path: str, names: str = "*.eval.json") -> DataFrame:
+    """The files of these names below `path`, one row per fixture; a file holds one or an array of them."""
+    return spark.read.schema(S.EVAL_FIXTURE).option("multiLine", True).option("pathGlobFilter", names).option(
         "recursiveFileLookup", True
     ).json(path)
 

@@ -73,7 +73,7 @@ def without_repeats(stream: DataFrame, key: str, ts: str, delay: str) -> DataFra
 
 
 def latest_snapshots(snapshots: DataFrame, key: str, order: str) -> DataFrame:
-    """The last snapshot of each key (update mode)."""
+    """The last snapshot of each key. In update mode a trigger writes the keys that it has changed."""
     fields = [c for c in snapshots.columns if c != key]
     return snapshots.groupBy(key).agg(F.max_by(F.struct(*fields), order).alias("s")).select(key, "s.*")
 
@@ -86,14 +86,14 @@ def running_counters(relays: DataFrame, key: str, amount: str, ts: str) -> DataF
 
 
 def daily(events: DataFrame, ts: str, delay: str = "1 day") -> DataFrame:
-    """Tumbling daily counts with a watermark, so that finished days leave the state."""
+    """Tumbling daily counts. In append mode a day is written once, when the watermark has passed it, and leaves the state."""
     return events.withWatermark(ts, delay).groupBy(F.window(ts, "1 day")).agg(F.count(F.lit(1)).alias("n")).select(
         F.col("window.start").cast("date").alias("day"), "n"
     )
 
 
 def sessions(events: DataFrame, key: str, ts: str, gap: str, delay: str = "1 day") -> DataFrame:
-    """Event sessions per key by inactivity gap."""
+    """Event sessions per key by inactivity gap. In append mode a session is written, and forgotten, when the watermark has passed its end."""
     return events.withWatermark(ts, delay).groupBy(F.session_window(ts, gap), key).agg(F.count(F.lit(1)).alias("n")).select(
         key, F.col("session_window.start").alias("started"), F.col("session_window.end").alias("ended"), "n"
     )
