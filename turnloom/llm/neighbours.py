@@ -103,9 +103,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, block_rows: int =
     zero or hold null or non-finite components, and rows without a vec_id, take no
     part. Vectors of different length are never compared. The query set meets all
     vectors block by block; each block returns its k nearest, and of these the
-    nearest stay. Rows that repeat a vec_id with another vector are candidates and
-    queries each, of one ranking per vec_id; equal rows count once. Rows that repeat
-    a query's vec_id are its own and are left out.
+    nearest stay. Every row is a candidate, repeated or not. Rows that repeat a query's
+    vec_id are its own and are left out; with another vector they ask too, in one
+    ranking per vec_id, and equal ones ask once.
     """
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), is_query.alias("q"))
     rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("v"))).withColumn("dim", F.size("v"))
@@ -122,7 +122,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, block_rows: int =
     def block(own: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),)]
         if len(own) and len(queries):
-            own = own[~pd.DataFrame({"i": own["vec_id"], "v": [np.asarray(v).tobytes() for v in own["v"]]}).duplicated().to_numpy()]  # equal rows share a block
             ids = own["vec_id"].to_numpy()
             codes = Codes(np.stack(own["v"].to_numpy()).astype(np.float64))
             for i, v in zip(queries["vec_id"].to_numpy(), queries["v"]):

@@ -88,7 +88,7 @@ def op13(spark: SparkSession, sf: str) -> DataFrame:
 
 NEAREST = """with v as (select vec_id, embedding::double[] as e from embeddings where vec_id is not null and embedding is not null
   and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
-d as (select q.vec_id as query_id, c.vec_id, list_distance(q.e, c.e) as score from v q join v c on q.vec_id <> c.vec_id and q.vec_id % 100 = 0)
+d as (select q.vec_id as query_id, c.vec_id, list_distance(q.e, c.e) as score from (select distinct * from v) q join v c on q.vec_id <> c.vec_id and q.vec_id % 100 = 0)
 select query_id, rank::int as rank, vec_id, score from
   (select *, row_number() over (partition by query_id order by score, vec_id) as rank from d) where rank <= 10"""
 
