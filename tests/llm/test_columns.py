@@ -66,3 +66,22 @@ def test_a_hundred_thousand_lines_in_one_text(spark):
     rows = spark.createDataFrame([(1, text), (2, "before\n" + "\n".join(own[70_000:70_040])), (3, own[5])], "doc_id long, text string")
     got = {r["doc_id"]: (r["text"], r["__removed"]) for r in lines.without_repeats(rows).collect()}
     assert got == {1: ("\n".join(own), 30), 2: ("before", 40), 3: (own[5], 0)}
+
+
+def test_profiles_do_not_depend_on_the_slices(monkeypatch):
+    """A text of 20,000 different n-grams, in one slice and in many."""
+    import random
+
+    import pyarrow as pa
+
+    from turnloom.llm.arrays import Block
+
+    rng = random.Random(1)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(20_000)), "short one", None, "", "Ünder the bridge"] * 2
+    block = Block(pa.RecordBatch.from_pydict({"text": pa.array(texts)}))
+    monkeypatch.setattr(language, "KINDS", 1 << 30)
+    whole, letters = language.bundles(block, 64, 3)
+    for size in (1, 7, 4096):
+        monkeypatch.setattr(language, "KINDS", size if size > 1 else 20_001)
+        part, again = language.bundles(block, 64, 3)
+        assert (part == whole).all() and (again == letters).all()

@@ -23,6 +23,7 @@ DIM = 512
 N = 3
 BOUNDARY = 0x20
 ROWS = 48  # documents per matrix product
+KINDS = 16384  # different n-grams whose vectors are held at a time
 NOISE = 3 / DIM**0.5  # cosines of unlike texts have a standard deviation of about 1 / sqrt(DIM)
 
 
@@ -63,20 +64,22 @@ def bundles(block: Block, dim: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         gram = gram * len(known) + local[at + j]
     kinds, kind = np.unique(gram, return_inverse=True)
     table = np.stack([letter_vector(int(c), dim) for c in known])
-    vectors = np.ones((len(kinds), dim), np.int8)
-    rest = kinds
-    for j in range(n):  # from the last letter to the first
-        vectors *= np.roll(table, j, axis=1)[rest % len(known)]
-        rest = rest // len(known)
-    vectors = vectors.astype(np.float32)
     doc = own[at]
-    for low in range(0, block.n, ROWS):
-        a, b = np.searchsorted(doc, [low, low + ROWS])
-        if a < b:
-            rows = min(ROWS, block.n - low)
-            table_of = np.bincount((doc[a:b] - low) * len(kinds) + kind[a:b], minlength=rows * len(kinds)).reshape(rows, -1)
-            used = np.flatnonzero(table_of.any(axis=0))
-            out[low : low + rows] = table_of[:, used].astype(np.float32) @ vectors[used]
+    for start in range(0, len(kinds), KINDS):  # the vectors of a few kinds at a time, whatever the text holds
+        vectors = np.ones((len(kinds[start : start + KINDS]), dim), np.int8)
+        rest = kinds[start : start + KINDS]
+        for j in range(n):  # from the last letter to the first
+            vectors *= np.roll(table, j, axis=1)[rest % len(known)]
+            rest = rest // len(known)
+        here = slice(None) if len(kinds) <= KINDS else (kind >= start) & (kind < start + KINDS)
+        of, which = doc[here], kind[here] - start
+        for low in range(0, block.n, ROWS):
+            a, b = np.searchsorted(of, [low, low + ROWS])
+            if a < b:
+                rows = min(ROWS, block.n - low)
+                table_of = np.bincount((of[a:b] - low) * len(vectors) + which[a:b], minlength=rows * len(vectors)).reshape(rows, -1)
+                used = np.flatnonzero(table_of.any(axis=0))
+                out[low : low + rows] += table_of[:, used].astype(np.float32) @ vectors[used].astype(np.float32)
     return out, letters
 
 
@@ -109,7 +112,9 @@ def identify(docs: DataFrame, names: list[str], vectors: np.ndarray, keep: list[
     """The named columns with `__lang` and `__score`, the cosine moved to 0..1.
 
     A null text, one without a letter, or a model without languages gives `und` and
-    score 0. Of equal cosines the first language by name wins.
+    score 0. Of equal cosines the first language by name wins. Repeated rows each give
+    their row. A text of any length is one block; the vectors of its n-grams are made
+    `KINDS` at a time.
     """
     chosen = docs.select(*keep, *([] if "text" in keep else ["text"]))
     fields = [f for f in chosen.schema.fields if f.name in keep]

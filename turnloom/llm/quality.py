@@ -90,7 +90,7 @@ def measured(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
         got = counts(block)
         return columns(block, keep, **{f"__{c}": got[c].astype(np.int64) for c in _COUNTS})
 
-    return chosen.mapInArrow(per_block(work), schema)
+    return chosen.mapInArrow(per_block(work, limit=1 << 20), schema)
 
 
 def tail(n: int, k: int, p: float) -> float:
