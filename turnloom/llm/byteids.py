@@ -27,14 +27,13 @@ class ByteIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # names of special ids in a text are plain text
+        self.tokenizer.encode_special_tokens = True  # in chunks, names of special ids are plain text
         self.size = self.tokenizer.get_vocab_size()
         self.bytes = np.zeros(self.size, np.int64)  # in the vocabulary each character is one byte
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes[i] = len(token)
         self._known: dict[str, bytes] = {}
-        self.library = Tokenizer.from_file(path)  # reads names of special ids as these ids
-        self.names = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -70,8 +69,10 @@ class ByteIds:
         split = [[] if i in named else _CHUNKS.findall(t) for i, t in enumerate(texts)]
         known = self.learn(c for chunks in split for c in chunks)
         out = [b"".join([known[c] for c in chunks]) for chunks in split]
+        self.tokenizer.encode_special_tokens = False  # names of special ids are these ids here
         for i in named:
-            out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.uint32).tobytes()
+            out[i] = self._plain(texts[i]).tobytes()
+        self.tokenizer.encode_special_tokens = True
         return out
 
 
