@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnloom.operators import analytics as AN
+from turnloom.plans import streams as P
 from turnloom.plans.streams import captures
 from turnloom.streaming import jobs as J
 from turnloom.streaming import saves as SV
@@ -99,3 +100,16 @@ def test_saves_equal_the_batch_through_compaction_and_repeats(spark, tmp_path):
 
 def test_an_empty_store_has_no_documents(spark, tmp_path):
     assert SV.document_store(spark, str(tmp_path / "none")).count() == 0 and SV.compact_saves(spark, str(tmp_path / "none")) == -1
+
+
+def test_a_table_of_several_files_is_read_as_a_stream(spark, tmp_path):
+    """conversations as a folder of files: no turn may be lost, whatever the files are called."""
+    rows = [(c, t, "user", f"word{c} turn{t}") for c in range(4) for t in range(6)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    table.repartition(3).write.parquet(f"{tmp_path}/many/conversations.parquet")
+    acks, bad = P.r1_acks(spark, f"{tmp_path}/many"), P.r1_save_rejects(spark, f"{tmp_path}/many")
+    assert {r.save_id: r.status for r in acks.collect()} == {f"c{c}_t{t}": "rejected" if (c + t) % 6 in (1, 2) else "saved" for c, t, *_ in rows}
+    assert {r.save_id for r in bad.collect()} == {f"c{c}_t{t}" for c, t, *_ in rows if (c + t) % 6 in (1, 2)}
+    counts = {r.token: r.n for r in P.r8_index(spark, f"{tmp_path}/many").collect()}
+    assert counts == {f"word{c}": 1 for c in range(4)} | {f"turn{t}": 4 for t in range(6)}
+    assert P.r4_append(spark, f"{tmp_path}/many").count() == len(rows)

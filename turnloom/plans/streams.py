@@ -21,9 +21,9 @@ def _run_dir(spark) -> str:
 
 
 def _table(spark, sf, name):
-    """A given table as a stream of files."""
+    """A given table, one file or a folder of files, as a stream of files."""
     schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    return J.read_stream(spark, sf, schema, f"{name}.parquet")
+    return J.read_stream(spark, f"{sf}/{name}.[p]arquet", schema)  # a pattern may name a file; a plain path of a stream must be a folder
 
 
 def _events(spark, sf):
