@@ -1,9 +1,11 @@
 import copy
 import json
+import re
 
 from pyspark.sql import functions as F
 
 from turnloom.operators import validate as V
+from turnloom.plans import modelled as M
 
 
 def document():
@@ -101,3 +103,18 @@ def test_lists_must_be_there_and_be_lists(spark):
     got = {(r.doc_id, r.path) for r in V.validate(V.parse_documents(raw)).filter("code = 'schema'").collect()}
     both = {(n, p) for n in ("none", "text", "object", "null") for p in ("$.conversations", "$.items")}
     assert got == both | {("turns", "$.conversations[0].turns"), ("turns", "$.conversations[1].turns")}
+
+
+def test_places_of_items_beyond_an_int(spark, tmp_path):
+    """Chats whose keys lie far apart: the same faults at the same places, shifted."""
+    far = 579_600  # every choice by arithmetic repeats after so many chats
+    rows = [(c + by, t, "user", "Some words.") for c in range(10, 50) for t in range(8) for by in (0, far)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/t/conversations.parquet")
+    sf = f"{tmp_path}/t"
+    found = [(int(r.doc_id[1:]), r.severity, r.code, r.path) for r in V.validate(M.tampered(spark, sf)).collect()]
+    shift = lambda p: re.sub(r"(conversations|items)\[(\d+)\]", lambda m: f"{m[1]}[{int(m[2]) + far * (100_000 if m[1] == 'items' else 1)}]", p)
+    low = [x for x in found if x[0] < far // 10]
+    assert sorted((d + far // 10, s, c, shift(p)) for d, s, c, p in low) == sorted(x for x in found if x[0] >= far // 10)
+    assert {"unknown_item_type", "duplicate_id", "duplicate_turn_index", "span_without_turn", "source_mismatch", "invalid_timestamp"} <= {x[2] for x in low}
+    assert sum(r.n for r in M.v14_format(spark, sf).collect()) == len(found)
+    assert {int(r.doc_id[1:]) for r in M.v11_upgrade(spark, sf).collect() if r.code is None} >= {1, 1 + far // 10}

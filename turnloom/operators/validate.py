@@ -128,7 +128,7 @@ def _emit(df: DataFrame, *checks: Column) -> DataFrame:
 
 
 def _path(pattern: str, *cols: str) -> Column:
-    return F.format_string(pattern, *[F.col(c).cast("int") for c in cols])
+    return F.format_string(pattern, *[F.col(c).cast("bigint") for c in cols])
 
 
 def version_state(version: Column, is_object: Column, current: str = S.FORMAT_VERSION) -> Column:
@@ -252,18 +252,18 @@ def calendar_issues(t: Tables) -> DataFrame:
 
 def claims(t: Tables) -> DataFrame:
     """Every id a document uses, in claim order (one namespace)."""
-    rank = F.struct(F.lit(0).alias("k"), F.lit(0).alias("x"), F.lit(-1).alias("y"))
+    rank = F.struct(F.lit(0).alias("k"), F.lit(0).cast("bigint").alias("x"), F.lit(-1).alias("y"))
     d = t.docs.select("doc_id", "id", rank.alias("at"), F.lit("id").alias("path"))
     c = t.conversations.select(
-        "doc_id", "id", F.struct(F.lit(1).alias("k"), F.col("ci").cast("int").alias("x"), F.lit(-1).alias("y")).alias("at"),
+        "doc_id", "id", F.struct(F.lit(1).alias("k"), F.col("ci").cast("bigint").alias("x"), F.lit(-1).alias("y")).alias("at"),
         _path("conversations.%d", "ci").alias("path"),
     )
     u = t.turns.select(
-        "doc_id", "id", F.struct(F.lit(1).alias("k"), F.col("ci").cast("int").alias("x"), F.col("ti").cast("int").alias("y")).alias("at"),
+        "doc_id", "id", F.struct(F.lit(1).alias("k"), F.col("ci").cast("bigint").alias("x"), F.col("ti").cast("int").alias("y")).alias("at"),
         _path("conversations.%d.turns.%d", "ci", "ti").alias("path"),
     )
     i = t.items.select(
-        "doc_id", "id", F.struct(F.lit(2).alias("k"), F.col("i").cast("int").alias("x"), F.lit(-1).alias("y")).alias("at"),
+        "doc_id", "id", F.struct(F.lit(2).alias("k"), F.col("i").cast("bigint").alias("x"), F.lit(-1).alias("y")).alias("at"),
         _path("items.%d", "i").alias("path"),
     )
     return reduce(DataFrame.unionByName, (d, c, u, i))
