@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -327,6 +328,28 @@ def test_scores_are_probabilities_and_the_base_is_exact(docs, empty):
     assert scoring.score(empty, training, tokenizer_path("byte_bpe_50k.json")).count() == 0
 
 
+def test_every_training_document_moves_the_weights(spark, monkeypatch):
+    """Two corpora with the same counts that differ only in documents outside the first ones."""
+    monkeypatch.setattr(scoring, "SHARD", 300)
+    monkeypatch.setattr(scoring, "PIECE", 16)
+    monkeypatch.setattr(scoring, "MEANS", 2)
+    rng = random.Random(4)
+    texts = {i: rng.choices("the cat sat on a mat with some red wool".split(), k=30) for i in range(40)}
+    ids = spark.range(40).withColumnRenamed("id", "doc_id")
+    first = {r[0] for r in ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(10).collect()}
+    asked = [(100, "the cat sat on a mat"), (101, None), (102, "")]
+
+    def scores(change):
+        rows = [(i, " ".join(t if i in first else change(t))) for i, t in texts.items()] + asked
+        table = spark.createDataFrame(rows, "doc_id long, text string")
+        got = scoring.score(table, F.col("doc_id") < 100, tokenizer_path("byte_bpe_50k.json"), sample=10)
+        return {r.doc_id: (r.base_score, r.score) for r in got.filter("doc_id >= 100").collect()}
+
+    before, after = scores(list), scores(sorted)
+    assert before[100][0] == pytest.approx(after[100][0]) and before[100][1] != after[100][1]
+    assert all(s < 0 for _, s in before.values())
+
+
 def test_attention_windows_and_gradient():
     rng = np.random.default_rng(0)
     symbols, offs = rng.integers(0, A.SYMBOLS, 100), np.array([0, 13, 13, 60, 100])
