@@ -45,3 +45,25 @@ def test_native_plans_hold_no_python_and_no_cross_join(spark, name):
 def test_scans_read_only_what_is_used(spark):
     text = plan(all_queries()["a7_top_sources"](spark, SF))
     assert "EqualTo(event_type,view)" in text and "value" not in text[text.index("ReadSchema"):][:200]
+
+
+def test_postings_are_met_once_per_distinct_term(spark, monkeypatch):
+    """What the prefix search makes of the index doesn't grow with queries that share their terms; results as by brute force."""
+    from turnloom.operators import search as SE
+
+    texts = {f"c{i}": f"harvest word{i % 7} {'tasting' if i % 5 == 0 else 'other'} tail{i}" for i in range(60)}
+    postings = [("content", t, c) for c, x in texts.items() for t in x.split()] + [("title", "harvest", "c1"), ("content", "harvest", None), ("content", "tastes", None)]
+    index = spark.createDataFrame(postings, "field string, token string, conv_id string")
+    queries = [(i, q) for i, q in enumerate(["har tas", "tas har", "har", "har tas other", "zzz har", "", None, "word1 h"] * 4)]
+    made, kept = [], SE.cut
+    monkeypatch.setattr(SE, "cut", lambda df: made.append(kept(df)) or made[-1])
+    got = SE.prefix_matches(index, spark.createDataFrame(queries, "query_id long, query string")).collect()
+    want = set()
+    for n, q in queries:
+        terms = set((q or "").split())
+        for place in {(f, c) for f, _, c in postings}:
+            hits = [sum(t.startswith(x) for f, t, c in postings if (f, c) == place) for x in terms]
+            if hits and all(hits):
+                want.add((n, *place, sum(hits)))
+    assert {(r.query_id, r.field, r.conv_id, r.hits) for r in got} == want and len(got) == len(want)
+    assert len(made) == 1 and made[0].count() == len({(x, f, c) for f, t, c in postings for x in ("har", "tas", "other", "word1", "h", "zzz") if t.startswith(x)})

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.operators.ordering import first_n
+from turnloom.session import cut
 
 NOT_WORD = r"[^\p{L}\p{N}_]+"
 
@@ -58,18 +59,27 @@ def prefix_matches(index: DataFrame, queries: DataFrame) -> DataFrame:
 
     Terms meet the vocabulary (distinct tokens), not the postings: each token is spread into
     its prefixes of the lengths that terms have and joined by equality, then the matching
-    tokens fetch their postings.
+    tokens fetch their postings, once per distinct term however many queries have it. A
+    query takes the postings of its rarest term and looks its other terms up there.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    wanted = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
+    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    wanted = terms.groupBy("query_id").agg(F.sum("times").alias("n_terms"))
+    distinct = terms.select("term").distinct()
     vocabulary = index.select("token").distinct()
-    lengths = [r[0] for r in terms.select(F.length("term")).distinct().collect()]  # as many as the longest term has letters
+    lengths = [r[0] for r in distinct.select(F.length("term")).distinct().collect()]  # as many as the longest term has letters
     cuts = [F.when(F.length("token") >= n, F.left("token", F.lit(n))) for n in lengths]
     prefixes = vocabulary.select("token", F.explode(F.array_compact(F.array(*cuts)) if cuts else F.array().cast("array<string>")).alias("term"))
-    expanded = terms.join(prefixes, "term").select("query_id", "term", "token")
-    met = index.join(expanded, "token").groupBy("query_id", "field", "conv_id", "term").agg(F.count(F.lit(1)).alias("tokens"))
-    per = met.groupBy("query_id", "field", "conv_id").agg(F.count(F.lit(1)).alias("terms"), F.sum("tokens").alias("hits"))
-    return per.join(wanted, "query_id").filter(F.col("terms") == F.col("n_terms")).select("query_id", "field", "conv_id", "hits")
+    expanded = distinct.join(prefixes, "term").select("term", "token")
+    met = cut(index.join(expanded, "token").groupBy("term", "field", "conv_id").agg(F.count(F.lit(1)).alias("tokens")))
+    # a query can only match where its rarest term does
+    sizes = met.groupBy("term", "field").agg(F.count(F.lit(1)).alias("places"))
+    able = terms.join(sizes, "term").groupBy("query_id", "field").agg(F.count(F.lit(1)).alias("terms"), F.min_by("term", F.struct("places", "term")).alias("least"))
+    able = able.join(wanted, "query_id").filter(F.col("terms") == F.col("n_terms")).select("query_id", "n_terms", "least", F.col("field").alias("f"))
+    places = able.join(met, (F.col("least") == F.col("term")) & F.col("f").eqNullSafe(F.col("field"))).select("query_id", "n_terms", "f", F.col("conv_id").alias("c"))
+    asked = places.join(terms.withColumnRenamed("term", "wanted"), "query_id")
+    found = asked.join(met, (F.col("wanted") == F.col("term")) & F.col("f").eqNullSafe(F.col("field")) & F.col("c").eqNullSafe(F.col("conv_id")))
+    per = found.groupBy("query_id", "n_terms", "field", "conv_id").agg(F.count(F.lit(1)).alias("terms"), F.sum(F.col("tokens") * F.col("times")).alias("hits"))
+    return per.filter(F.col("terms") == F.col("n_terms")).select("query_id", "field", "conv_id", "hits")
 
 
 def search(index: DataFrame, queries: DataFrame, limit: int = 50) -> DataFrame:
