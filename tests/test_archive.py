@@ -5,8 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from turnloom.functions import text as X
 from turnloom.operators import archive as AR
 from turnloom.operators import validate as V
+from turnloom.plans import modelled as M
 
 CONV = "doc_id string, conv_id string, conv_pos long, kind string, platform string, title string, url string, captured_at string"
 ENV = "doc_id string, context_id string, version string, title string, created_at string, updated_at string, created_by string"
@@ -98,3 +100,24 @@ def test_texts_that_are_no_documents_give_no_rows(spark):
     raw = spark.createDataFrame([("a", "[]"), ("b", "nope"), ("c", None), ("d", '{"id":"x"}'), ("e", '{"items":3,"conversations":{}}')], "doc_id string, raw string")
     a = AR.parse(raw)
     assert sorted(r.doc_id for r in a.docs.collect()) == ["d", "e"] and not a.items.count() + a.turns.count() + a.annotations.count() + a.relations.count()
+
+
+def test_what_the_archive_reads_twice_is_stored(spark, tmp_path, monkeypatch):
+    rows = [(c, t, "user", "Ünïted 😀 words.") for c in range(4) for t in range(16)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/t/conversations.parquet")
+    sf = f"{tmp_path}/t"
+    items, relations, _ = M.normalised(spark, sf)
+    assert "regexp" not in relations._jdf.queryExecution().optimizedPlan().toString().lower()  # quotes are not looked for again
+    kept, stored = AR.cut, []
+    monkeypatch.setattr(AR, "cut", lambda df: stored.append(df.columns) or kept(df))
+    back = M.read_back(spark, sf)
+    assert [c[1] for c in stored] == ["i", "item_id", "r"]
+    want = {(r.item_id, r.start, r.end) for r in M.reconciled(spark, sf)["items"].collect()}
+    assert {(r.item_id, r.start, r.end) for r in back["items"].collect()} == want and len(want) > 10
+    assert back["turns"].count() == 64
+
+
+def test_length_in_utf16_units(spark):
+    texts = ["", "plain", "naïve café", "😀", "a😀é𝄞z" * 40, "\uffff\ue000", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.u16_length(F.col("t")).alias("n")).collect()
+    assert [(r.t, r.n) for r in rows] == [(t, None if t is None else len(t.encode("utf-16-be")) // 2) for t in texts]
