@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from turnloom.operators import validate as V
 from turnloom.plans import modelled as M
+from turnloom.plans.registry import all_queries
 
 
 def document():
@@ -118,3 +119,21 @@ def test_places_of_items_beyond_an_int(spark, tmp_path):
     assert {"unknown_item_type", "duplicate_id", "duplicate_turn_index", "span_without_turn", "source_mismatch", "invalid_timestamp"} <= {x[2] for x in low}
     assert sum(r.n for r in M.v14_format(spark, sf).collect()) == len(found)
     assert {int(r.doc_id[1:]) for r in M.v11_upgrade(spark, sf).collect() if r.code is None} >= {1, 1 + far // 10}
+
+
+def test_queries_on_chats_beyond_an_int(spark, tmp_path):
+    """Each query gives as much for chats whose items' places pass an int as for the same chats near zero."""
+    far = 579_600
+    rows = [(c + by, t, "user", "Some words.") for c in range(10, 50) for t in range(8) for by in (0, far)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/u/conversations.parquet")
+    run = all_queries()
+    for name in (
+        "v11_upgrade", "v1_version_gate", "v2_unknown_types", "v3_structure", "v4_timestamps", "v5_timestamp_order", "v6_duplicate_ids",
+        "v7_duplicate_turn_index", "v8_references",
+    ):
+        docs = [int(r.doc_id[1:]) for r in run[name](spark, f"{tmp_path}/u").select("doc_id").collect()]
+        low = sorted(d + far // 10 for d in docs if d < far // 10)
+        assert low == sorted(d for d in docs if d >= far // 10), name
+        assert low or name == "v3_structure", name
+    places = [int(n) for r in run["v14_issue_lines"](spark, f"{tmp_path}/u").collect() for n in re.findall(r"items\[(\d+)\]", r.line)]
+    assert max(places) > 1 << 31
