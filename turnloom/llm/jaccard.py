@@ -15,7 +15,8 @@ minima of their hashes a member chosen anew among those that share it: a group i
 which many pairs link, but few with any one member, becomes one component by that.
 Components are formed; then only members of different components meet. Pairs are
 sifted by parity bits: their Hamming distance is never above the number of
-shingles in one set only, so what it rejects cannot link.
+shingles in one set only, so what it rejects cannot link. A pair is listed under
+the least of its common sigs, so that near copies do not come once for each.
 A group of near copies so costs a number of pairs in proportion to its size, and
 every pair that could join two components is compared exactly.
 """
@@ -37,6 +38,7 @@ from turnloom.operators.ordering import first_wins
 MEETS = 4  # members of a list that one entry meets, at most, for the cost: most of a long list is one component after the first meeting
 PARITY = 512  # bits
 MINIMA = 16  # further meetings of a set before components are formed; what they link is checked like the rest
+FIRST = 16  # sigs of a node by which a pair that has met is known
 _BITS = [f"__b{i}" for i in range(PARITY // 64)]
 
 
@@ -138,15 +140,23 @@ def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, n, one, two, typical): shared tokens with their counts among the first shingles, for k = 1 and 2, and how full of them the first are."""
     counted = _tokens(docs, k, percent).groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     shared = _tokens(docs, k, percent).join(counted, "token")
-    per = shared.groupBy("node", "n", "m").agg(F.array_sort(F.collect_set(F.struct((~F.col("low")).alias("late"), "c", "token"))).alias("s"))
-    per = per.withColumn("early", F.size(F.filter("s", lambda x: ~x["late"])))
-    # behind the tokens of their class that no other set has, which come first and are not listed
-    place = lambda x, i: F.when(x["late"], i + F.col("n") - F.size("s")).otherwise(i + F.col("m") - F.col("early"))
+    per = shared.groupBy("node", "n", "m").agg(F.sort_array(F.collect_set(F.struct((~F.col("low")).alias("late"), "c", "token"))).alias("s"))
     room = F.expr(f"n - cast(ceil(n * {percent} / 100D - 1e-9) as int)")
-    listed = per.select("node", "n", room.alias("room"), F.transform("s", lambda x, i: F.struct(x["token"].alias("token"), x["c"].alias("c"), place(x, i).alias("at"))).alias("s"))
-    two = listed.select("node", "n", "room", F.filter("s", lambda x: x["at"] < F.col("room") + 2).alias("two")).filter(F.size("two") > 0)
-    full = F.shiftleft((F.size("two") * 1000 / (F.col("room") + 2)).cast("bigint"), 40) + F.col("node").bitwiseAND((1 << 40) - 1)  # ties by name
-    return two.select("node", "n", "two", F.filter("two", lambda x: x["at"] < F.col("room") + 1).alias("one"), full.alias("typical"))
+    late = F.array_position("s.late", True).cast("int")
+    listed = per.withColumn("room", room).withColumn("size", F.size("s")).withColumn("early", F.when(late > 0, late - 1).otherwise(F.size("s")))
+
+    def among(first: int) -> list[Column]:
+        """How many early and late tokens lie among the first `room + first`, behind those of their class that no other set has, which are not listed."""
+        left = F.col("room") + first
+        return [F.least("early", F.greatest(left - F.col("m") + F.col("early"), F.lit(0))), F.least(F.col("size") - F.col("early"), F.greatest(left - F.col("n") + F.col("size") - F.col("early"), F.lit(0)))]
+
+    for k, names in ((1, ("e1", "l1")), (2, ("e2", "l2"))):
+        for name, c in zip(names, among(k)):
+            listed = listed.withColumn(name, c)
+    taken = lambda e, l: F.concat(F.slice("s", F.lit(1), F.col(e)), F.slice("s", F.col("early") + 1, F.col(l)))  # noqa: E731, E741
+    number = F.col("e2") + F.col("l2")
+    full = F.shiftleft((number * 1000 / (F.col("room") + 2)).cast("bigint"), 40) + F.col("node").bitwiseAND((1 << 40) - 1)  # ties by name
+    return listed.filter(number > 0).select("node", "n", taken("e2", "l2").alias("two"), taken("e1", "l1").alias("one"), full.alias("typical"))
 
 
 def boundary(prefixes: DataFrame) -> int:
@@ -219,6 +229,20 @@ def _meetings(sets: DataFrame) -> DataFrame:
     return shared.join(several.select("j", "least", "center"), ["j", "least"]).filter("node <> center").select("center", "node")
 
 
+def _across(rest: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: nodes of different roots that share a sig and may link. Every such pair comes under the least sig that both have;
+    under a further one only if the least they share is not among the FIRST least sigs of either."""
+    groups = rest.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c"))
+    major = groups.groupBy("sig").agg(F.max_by("root", F.struct("c", "root")).alias("major"))
+    first = rest.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("sig")), 1, FIRST).alias("first"))
+    marked = rest.join(marks, "node").join(first, "node").join(major, "sig").withColumn("is_major", F.col("root") == F.col("major")).drop("major")
+    once = F.col("y.is_major") | (F.col("x.node") < F.col("y.node"))
+    new = F.expr("coalesce(array_min(array_intersect(x.first, y.first)) >= x.sig, true)")
+    across = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") != F.col("y.root")) & once & may_link("x", "y", percent) & new
+    met = marked.filter("not is_major").alias("x").join(marked.alias("y"), across)
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+
 def linked(docs: DataFrame, named: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, root) of all nodes that link to a different node."""
     prefixes = stored(_prefixes(docs, k, percent))
@@ -234,13 +258,7 @@ def linked(docs: DataFrame, named: DataFrame, k: int, percent: int) -> DataFrame
     labelled = buckets.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
     mixed = labelled.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig")
     rest = stored(labelled.join(mixed, "sig"))
-    groups = rest.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c"))
-    major = groups.groupBy("sig").agg(F.max_by("root", F.struct("c", "root")).alias("major"))
-    marked = rest.join(marks, "node")
-    minor = marked.join(major, "sig").filter("root <> major").drop("major")
-    across = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") != F.col("y.root")) & may_link("x", "y", percent)
-    met = minor.alias("x").join(marked.alias("y"), across)
-    cross = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    cross = _across(rest, marks, percent).distinct()
     tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = stored(_verified(stored(cross.join(tested, ["a", "b"], "left_anti")), sets, percent))
     return components(edges.union(more)) if not more.isEmpty() else roots
