@@ -137,3 +137,14 @@ def test_queries_on_chats_beyond_an_int(spark, tmp_path):
         assert low or name == "v3_structure", name
     places = [int(n) for r in run["v14_issue_lines"](spark, f"{tmp_path}/u").collect() for n in re.findall(r"items\[(\d+)\]", r.line)]
     assert max(places) > 1 << 31
+
+
+def test_places_of_turns_beyond_an_int(spark, tmp_path):
+    """A chat of more than 214,748 turns: the places of its items pass an int by the turn alone."""
+    turns = [1, 17, 300_001, 300_017]
+    spark.createDataFrame([(0, t, "user", "Some words.") for t in turns], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/w/conversations.parquet")
+    places = sorted(r.i for r in M.tampered(spark, f"{tmp_path}/w").items.filter("type = 'constraint'").collect())
+    assert [p // 10_000 for p in places] == turns
+    run = all_queries()
+    for name in ("v1_version_gate", "v2_unknown_types", "v4_timestamps", "v8_references", "v11_upgrade", "v14_issue_lines"):
+        run[name](spark, f"{tmp_path}/w").collect()
