@@ -39,6 +39,7 @@ MEETS = 4  # members of a list that one entry meets, at most, for the cost: most
 PARITY = 512  # bits
 MINIMA = 16  # further meetings of a set before components are formed; what they link is checked like the rest
 FIRST = 16  # sigs of a node by which a pair that has met is known
+BLOCK = 1 << 19  # bytes of text whose sets are made at once: the arrays of words, shingles and tokens take about 50 times as much
 _BITS = [f"__b{i}" for i in range(PARITY // 64)]
 
 
@@ -98,7 +99,7 @@ def nodes(docs: DataFrame, keep: list[str], k: int) -> DataFrame:
         sets = shingle_sets(block, k)
         return columns(block, keep, __n=np.array([len(s) for s in sets], np.int64), __node=np.array([node_of(s) for s in sets], np.int64))
 
-    return chosen.mapInArrow(per_block(work), schema)
+    return chosen.mapInArrow(per_block(work, limit=BLOCK), schema)
 
 
 def _tokens(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -107,7 +108,7 @@ def _tokens(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
-        for block in blocks(batches):
+        for block in blocks(batches, limit=BLOCK):
             token, node, size, lows, low = [], [], [], [], []
             for s in shingle_sets(block, k):
                 n = len(s)
@@ -200,7 +201,7 @@ def _sets(docs: DataFrame, named: DataFrame, wanted: DataFrame, k: int) -> DataF
             n=np.array([len(s) for s in sets], np.int64), mins=pa.array([minima(s) if len(s) else [] for s in sets], pa.list_(pa.int64())), **dict(zip(_BITS, bits.T)),
         )
 
-    made = rows.mapInArrow(per_block(work), "__want bigint, node bigint, shingles binary, n bigint, mins array<bigint>, " + ", ".join(f"{c} bigint" for c in _BITS))
+    made = rows.mapInArrow(per_block(work, limit=BLOCK), "__want bigint, node bigint, shingles binary, n bigint, mins array<bigint>, " + ", ".join(f"{c} bigint" for c in _BITS))
     return made.filter("node = __want").drop("__want").dropDuplicates(["node"])
 
 
