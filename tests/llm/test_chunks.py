@@ -10,6 +10,7 @@ pytest.importorskip("public_tokenizers")
 import public_tokenizers  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
+from turnloom.llm import byteids  # noqa: E402
 from turnloom.llm.byteids import ByteIds  # noqa: E402
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,3 +29,23 @@ def test_a_word_is_learnt_once_whatever_follows_it():
     b = ByteIds(PATH)
     b.encode([f"a wordy{tail} a" for tail in (".", ",", "!", "***", "$$$", ")", "-", "")])
     assert [c for c in b._known if c.startswith(" wordy")] == [" wordy"]
+
+
+def test_the_memory_of_a_worker_is_bounded():
+    b = ByteIds(PATH)
+    for start in range(0, 320_000, 20_000):
+        b.learn(f" w{x}" for x in range(start, start + 20_000))
+    assert len(b._known) <= 260_000
+
+
+def test_a_full_memory_keeps_the_chunks_at_hand(monkeypatch):
+    monkeypatch.setattr(byteids, "MEMORY", 50)
+    b, library = ByteIds(PATH), Tokenizer.from_file(PATH)
+    b.learn([f" old{x}" for x in range(40)] + [" the", " of"])
+    learnt = []
+    monkeypatch.setattr(b, "_plain", lambda text, plain=b._plain: learnt.extend(text.split("\n")) or plain(text))
+    text = " the new" + "".join(f" n{x}" for x in range(30)) + " of"
+    ids = np.frombuffer(b.encode([text])[0], np.uint32).tolist()
+    assert ids == library.encode(text, add_special_tokens=False).ids
+    assert " n3" in learnt and " the" not in learnt and " of" not in learnt
+    assert " the" in b._known and " old3" not in b._known and len(b._known) <= 50

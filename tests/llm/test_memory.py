@@ -1,13 +1,16 @@
 """What one worker holds while it works on a batch of many texts, and after it."""
 
 import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from turnloom.llm import arrays as A
 from turnloom.llm import jaccard as J
 from turnloom.llm import language as L
+from turnloom.llm import packing as P
 
 
 class Rows:
@@ -20,7 +23,8 @@ class Rows:
         self.run = run
         return self
 
-    filter = select
+    filter = toDF = select
+    columns, schema = ["text"], SimpleNamespace(fields=[])
 
 
 def batch():
@@ -47,6 +51,24 @@ def test_tokens_of_a_large_batch_in_little_memory(spark):
     assert peak < 60, peak
 
 
+def test_language_of_a_large_batch_in_little_memory(spark):
+    rows = Rows()
+    L.identify(rows, ["a", "b"], np.random.default_rng(5).standard_normal((2, L.DIM)), [])
+    out, peak = peak_of(rows.run, batch())
+    assert out == 2_500
+    assert peak < 20, peak
+
+
+def test_pieces_of_a_large_batch_in_little_memory(spark, monkeypatch):
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    monkeypatch.setattr(P, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rows, texts = Rows(), batch()
+    P.pieces_of(rows, path, 1024)
+    out, peak = peak_of(rows.run, texts.append_column("doc_id", pa.array(range(texts.num_rows))))
+    assert out >= 2_500
+    assert peak < 28, peak
+
+
 def test_blocks_hand_back_what_is_free(monkeypatch):
     called = []
     monkeypatch.setattr(A, "_TRIM", called.append)

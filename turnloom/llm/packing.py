@@ -26,6 +26,7 @@ from turnloom.llm.cutting import whole
 from turnloom.llm.tables import stored
 
 END = 0
+BLOCK = 1 << 19  # bytes of text that are cut into chunks at once: the chunks and their ids take about 100 times as much
 
 
 def cuts(n: int, capacity: int) -> list[int]:
@@ -46,7 +47,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, keep_ids: bool = F
         seen: defaultdict[int, int] = defaultdict(int)
         task = TaskContext.get().partitionId()
         end = np.array([END], np.uint32).tobytes()
-        for block in blocks(batches):
+        for block in blocks(batches, limit=BLOCK):
             out: dict[str, list] = {k: [] for k in ("row", "start", "length", "ids_crc32", "doc_tokens", "__at", "ids")}
             for row, raw in enumerate(byte_ids(tokenizer).encode(block.texts())):
                 raw += end
