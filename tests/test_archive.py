@@ -2,9 +2,11 @@
 
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tests.oracle import compare
 from turnloom.functions import text as X
 from turnloom.operators import archive as AR
 from turnloom.operators import validate as V
@@ -117,6 +119,31 @@ def test_what_the_archive_reads_twice_is_stored(spark, tmp_path, monkeypatch):
     assert back["turns"].count() == 64
 
 
+def written(spark, path, turns):
+    rows = [(c, t, "user" if t % 2 else "assistant", "Plain words.") for c, n in turns.items() for t in range(n)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{path}/conversations.parquet")
+    return str(path)
+
+
+def test_each_model_item_supersedes_the_one_before(spark, tmp_path):
+    """Every pair of neighbours is a link, over blocks of positions too."""
+    sf, said = written(spark, tmp_path / "t", {1: 30, 2: 1, 12: 2500}), {}
+    for r in sorted(M.script_rows(spark, sf).select("conv_id", "mpos", "ref").collect()):
+        said.setdefault(r.conv_id, []).append(r.ref)
+    want = [(c, i + 1, b, a) for c, refs in said.items() for i, (a, b) in enumerate(zip(refs, refs[1:]))]
+    got = M.script_relations(spark, sf).select("conv_id", "rpos", "from", "to").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 1500
+
+
+def test_the_whole_chain_comes_back_from_the_archive(spark, tmp_path):
+    sf = written(spark, tmp_path / "t", {1: 60, 2: 1, 12: 40})
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from read_parquet('{sf}/conversations.parquet/*.parquet')")
+    fn, sql = M.QUERIES["k2_s4_round_trip_relations"]
+    back = fn(spark, sf)
+    assert compare(back, con, sql) is None and back.filter("type = 'supersedes'").count() > 20
+
+
 def test_length_in_utf16_units(spark):
     texts = ["", "plain", "naïve café", "😀", "a😀é𝄞z" * 40, "\uffff\ue000", None]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.u16_length(F.col("t")).alias("n")).collect()
