@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from turnloom.llm import fingerprints as S
 from turnloom.llm import queries
+from turnloom.operators import components as C
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = {i: i + 32 for i in range(65, 91)}
@@ -56,6 +57,21 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, fp string, component_id int, `a.b` string").repartition(3)
 
 
+def test_no_join_sends_a_table_to_the_driver(docs, monkeypatch):
+    """Not even where all tables look small: behind an explode, a checkpoint and in Parquet they look smaller than they are."""
+    plans = []
+
+    def noted(module, name):
+        kept = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda df: plans.append(str(df._jdf.queryExecution().executedPlan())) or kept(df))
+
+    noted(S, "stored")
+    noted(C, "cut")
+    for df in (S.join(docs), S.one_of_each(docs.drop("fp", "component_id", "a.b"))):
+        plans.append(str(df._jdf.queryExecution().executedPlan()))
+    assert sum("SortMergeJoin" in x for x in plans) > 5 and not [x for x in plans if "Broadcast" in x]
+
+
 def test_rows_equal_all_pairs(docs):
     assert sorted(repr(tuple(r)) for r in S.join(docs).collect()) == plain_rows(ROWS)
 

@@ -15,6 +15,7 @@ pairs are checked with a bit count. A cell of m members costs at most
 `64 / segments` * m rows instead of m^2 pairs, and no link is lost, for a
 component only needs each member's link to the least.
 
+All tables here grow with the input, so no join sends one to the driver (`unsent`).
 Equal fingerprints are one node. Work: 33 rows of two numbers per distinct
 fingerprint at 16 segments, then at most 65 for those that share cells.
 """
@@ -34,6 +35,7 @@ from turnloom.llm.arrays import IS_SPACE, LOWER, Block, blocks, columns
 from turnloom.llm.tables import stored
 from turnloom.operators.components import components
 from turnloom.operators.ordering import first_wins
+from turnloom.session import unsent
 
 SEED = 42
 LINK = 2  # differing bits; the meeting at a common neighbour is exact for two
@@ -120,9 +122,9 @@ def links(nodes: DataFrame, segments: int = 16) -> DataFrame:
             filter(sequence(0, {width - 1}), b -> (shiftright(fp, {width} * seg + b) & 1) = if(step = 1, 0, 1)),
             b -> fp ^ shiftleft(1L, {width} * seg + b)))"""
     )
-    met = stored(grid.join(shared, "cell").select(F.explode(meeting).alias("z"), "fp"))
+    met = stored(grid.join(unsent(shared), "cell").select(F.explode(meeting).alias("z"), "fp"))
     least = met.groupBy("z").agg(F.min("fp").alias("a"), F.max("fp").alias("hi")).filter("a < hi").select("z", "a")
-    pairs = met.join(least, "z").filter("fp <> a").select("a", F.col("fp").alias("b"))
+    pairs = met.join(unsent(least), "z").filter("fp <> a").select("a", F.col("fp").alias("b"))
     return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= LINK).distinct()
 
 
@@ -130,9 +132,9 @@ def _named(signs: DataFrame, segments: int) -> DataFrame:
     """(fp, component_id) from rows (fp, doc_id)."""
     nodes = stored(signs.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(stored(links(nodes.select("fp"), segments))).select(F.col("node").alias("fp"), "root")
-    placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    placed = nodes.join(unsent(roots), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return placed.join(names, "root").select("fp", "component_id")
+    return placed.join(unsent(names), "root").select("fp", "component_id")
 
 
 def join(docs: DataFrame, k: int = 3, segments: int = 16) -> DataFrame:
@@ -149,7 +151,7 @@ def join(docs: DataFrame, k: int = 3, segments: int = 16) -> DataFrame:
     """
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     signs = stored(signed(ids, ["doc_id"], k).select("row.doc_id", "fp"))
-    out = signs.join(_named(signs, segments), "fp")
+    out = signs.join(unsent(_named(signs, segments)), "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -163,7 +165,7 @@ def one_of_each(docs: DataFrame, k: int = 3, segments: int = 16) -> DataFrame:
     names = _named(signs.select("fp", F.col("row.doc_id").cast("bigint").alias("doc_id")), segments)
     text = F.col("row.text").cast("string")
     worded = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    placed = signs.filter(worded).join(names, "fp")
+    placed = signs.filter(worded).join(unsent(names), "fp")
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("f"), F.col("fp")))
     first = first_wins(placed.withColumn("group", group), ["group"], [F.col("row.doc_id").cast("bigint").asc_nulls_last(), text])
     return first.select("row.*").unionByName(signs.filter(~worded).select("row.*"))
