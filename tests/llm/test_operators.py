@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from turnloom.llm import attention as A
 from turnloom.llm import cutting, jaccard, language, lines, neighbours, packing, pieces, quality, scoring, sharding, toxicity
+from turnloom.llm.byteids import byte_ids
 from turnloom.llm.queries import NEAREST, tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -350,6 +351,22 @@ def test_every_training_document_moves_the_weights(spark, monkeypatch):
     assert all(s < 0 for _, s in before.values())
 
 
+def test_training_texts_are_encoded_once_for_scores(docs, monkeypatch):
+    """Counts and weights share one pass of the tokenizer; the second one scores. Pieces hold every id of the library, and an end."""
+    tokenizer, plans, kept = tokenizer_path("byte_bpe_50k.json"), [], scoring.stored
+    monkeypatch.setattr(scoring, "stored", lambda df: plans.append(str(df._jdf.queryExecution().executedPlan())) or kept(df))
+    scoring.score(docs, F.col("doc_id") % 2 == 0, tokenizer, sample=10)
+    assert sum("MapInArrow" in x for x in plans) == 2
+    rows = scoring.encoded(docs, tokenizer).collect()
+    size, kind = byte_ids(tokenizer).size, scoring.raw_type(byte_ids(tokenizer).size)
+    flat = np.concatenate([np.frombuffer(r.s, kind) for r in rows if r.s is not None])
+    ids = collections.Counter()
+    for r in rows:
+        if r.id:
+            ids[r.key] += r.c
+    assert collections.Counter(flat[flat != size].tolist()) == ids and (flat == size).sum() == docs.count()
+
+
 def test_attention_windows_and_gradient():
     rng = np.random.default_rng(0)
     symbols, offs = rng.integers(0, A.SYMBOLS, 100), np.array([0, 13, 13, 60, 100])
